@@ -19,7 +19,7 @@ SPACE_CHARS = (
     + "\u2028\u2029\u202f\u205f\u3000"
 )
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-WORD = r"[\p{L}\p{N}_]+"
+NO_WORD = r"[^\p{L}\p{N}_]+"
 
 
 def col(c: str | Column) -> Column:
@@ -36,9 +36,14 @@ def words(c: str | Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, SPACE + "+"))
 
 
+def word_tokens(c: str | Column) -> Column:
+    """Lower-cased words in order, punctuation dropped."""
+    return F.array_remove(F.split(F.lower(col(c)), NO_WORD), "")
+
+
 def word_set(c: str | Column) -> Column:
     """Distinct lower-cased words, punctuation dropped, in sorted order."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(col(c)), F.lit(f"({WORD})"), F.lit(1))))
+    return F.sort_array(F.array_distinct(word_tokens(c)))
 
 
 def overlap_coefficient(a: Column, b: Column) -> Column:

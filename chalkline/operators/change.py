@@ -10,6 +10,8 @@ blocks; nothing but the summaries of one lecture ever meets in one row.
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -108,46 +110,98 @@ def change_points(
     spans = blocked.groupBy("lecture_id").agg(F.min("_block").alias("_b0"), F.max("_block").alias("_b1"))
     long_lectures = spans.where(F.col("_b0") < F.col("_b1")).select("lecture_id")
 
-    def summarise(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        values = rows.sort_values(order)[value].to_numpy()
-        first = values[kept_rows(values, threshold, None)][-1]
-        listed = block_summary(values, threshold)
-        return pd.DataFrame(
-            {"lecture_id": [key[0]], "_block": [key[1]], "first": [first],
-             "vs": [[v for v, _ in listed]], "ls": [[leaving for _, leaving in listed]]}
-        )
+    block_key = ["lecture_id", "_block"]
 
-    summaries = (
-        blocked.join(long_lectures, "lecture_id", "left_semi")
-        .groupBy("lecture_id", "_block")
-        .applyInPandas(
-            summarise, f"lecture_id {key_type}, _block bigint, first double, vs array<double>, ls array<double>"
-        )
+    def summarise(batches):
+        def row(key, values):
+            listed = block_summary(values, threshold)
+            first = values[kept_rows(values, threshold, None)][-1]
+            return (*key, first, [v for v, _ in listed], [leaving for _, leaving in listed])
+
+        found = (row(key, run[value]) for key, run in sorted_runs(batches, block_key))
+        while some := list(islice(found, 512)):
+            yield pd.DataFrame(some, columns=["lecture_id", "_block", "first", "vs", "ls"])
+
+    summaries = in_order(blocked.join(long_lectures, "lecture_id", "left_semi"), block_key, [order]).mapInPandas(
+        summarise, f"lecture_id {key_type}, _block bigint, first double, vs array<double>, ls array<double>"
     )
 
-    def compose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_block")
-        entering, last = [], None
-        for first, vs, ls in zip(rows["first"], rows["vs"], rows["ls"]):
-            entering.append(last)
-            last = first if last is None else apply_summary(list(zip(vs, ls)), last, threshold)
-        return pd.DataFrame({"lecture_id": key[0], "_block": rows["_block"], "_enter": pd.array(entering, "Float64")})
+    def compose(batches):
+        def entries_of(key, run):
+            last = None
+            for block, first, vs, ls in zip(run["_block"], run["first"], run["vs"], run["ls"]):
+                yield key[0], block, np.nan if last is None else last
+                last = first if last is None else apply_summary(list(zip(vs, ls)), last, threshold)
 
-    entries = summaries.groupBy("lecture_id").applyInPandas(
+        found = (e for key, run in sorted_runs(batches, ["lecture_id"]) for e in entries_of(key, run))
+        while some := list(islice(found, 8192)):
+            yield pd.DataFrame(some, columns=["lecture_id", "_block", "_enter"])
+
+    entries = in_order(summaries, ["lecture_id"], ["_block"]).mapInPandas(
         compose, f"lecture_id {key_type}, _block bigint, _enter double"
     )
 
-    def mark(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        enter = rows["_enter"].iloc[0]
-        last = None if pd.isna(enter) else float(enter)
-        return rows.loc[kept_rows(rows[value].to_numpy(), threshold, last), ["lecture_id", order, value]]
-
-    return (
-        blocked.join(entries, ["lecture_id", "_block"], "left")
-        .groupBy("lecture_id", "_block")
-        .applyInPandas(mark, schema)
-    )
+    def mark(batches):
+        parts: list[tuple] = []
+        waiting = 0
+        for key, run in sorted_runs(batches, block_key):
+            enter = run["_enter"][0]
+            mask = kept_rows(run[value], threshold, None if np.isnan(enter) else float(enter))
+            parts.append((np.full(int(mask.sum()), key[0]), run[order][mask], run[value][mask]))
+            waiting += len(parts[-1][0])
+            if waiting > 8192:
+                yield _frame(parts, ["lecture_id", order, value])
+                parts, waiting = [], 0
+        if parts:
+            yield _frame(parts, ["lecture_id", order, value])
+
+    entered = blocked.join(entries, block_key, "left")
+    return in_order(entered, block_key, [order]).mapInPandas(mark, schema)
+
+
+def in_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows of one key together in one partition and in order."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
+def sorted_runs(batches, keys: list[str]):
+    """(key, columns) of each run of equal keys in sorted batches, joined across batch borders.
+
+    Many short runs of one batch cost a slice each instead of a data frame each.
+    """
+    pending: list[pd.DataFrame] = []
+
+    def emit(rows: pd.DataFrame):
+        columns = {c: rows[c].to_numpy() for c in rows.columns}
+        marks = np.zeros(len(rows), dtype=bool)
+        for k in keys:
+            marks[1:] |= columns[k][1:] != columns[k][:-1]
+        starts = [0, *np.flatnonzero(marks), len(rows)]
+        for a, b in zip(starts, starts[1:]):
+            yield tuple(columns[k][a] for k in keys), {c: v[a:b] for c, v in columns.items()}
+
+    for batch in batches:
+        if batch.empty:
+            continue
+        last = batch[keys].iloc[-1]
+        if pending and not (pending[-1][keys].iloc[-1] == last).all():
+            rows = pd.concat([*pending, batch])
+        elif pending:
+            pending.append(batch)
+            continue
+        else:
+            rows = batch
+        open_run = (rows[keys] == last).all(axis=1).to_numpy()
+        done = rows[~open_run]
+        if len(done):
+            yield from emit(done)
+        pending = [rows[open_run]]
+    if pending:
+        yield from emit(pd.concat(pending))
+
+
+def _frame(parts: list[tuple], names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({n: np.concatenate([p[i] for p in parts]) for i, n in enumerate(names)})
 
 
 def histogram_changes(

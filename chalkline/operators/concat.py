@@ -19,11 +19,11 @@ def ordered_concat(
         df.where(F.col(text).isNotNull())
         .select(*keys, bucket.alias("_bucket"), F.struct(*order, F.col(text).alias("_text")).alias("_row"))
         .groupBy(*keys, "_bucket")
-        .agg(F.array_sort(F.collect_list("_row")).alias("_rows"))
+        .agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
         .select(*keys, F.struct("_bucket", F.array_join(F.col("_rows._text"), sep).alias("_text")).alias("_piece"))
     )
     return (
         pieces.groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("_piece")).alias("_pieces"))
+        .agg(F.sort_array(F.collect_list("_piece")).alias("_pieces"))
         .select(*keys, F.array_join(F.col("_pieces._text"), sep).alias(name))
     )

@@ -31,57 +31,73 @@ def _probe_length(size: Column, threshold: float) -> Column:
     return (size - F.floor(size * F.lit(threshold) - 1e-9)).cast("int")
 
 
-def _set_id(words: Column) -> Column:
-    return F.md5(F.array_join(words, " "))
+def _set_id(text: str) -> Column:
+    return F.coalesce(F.md5(F.array_join(word_set(text), " ")), F.lit(""))
 
 
-def _distinct_sets(df: DataFrame, on: list[str], text: str, prefix: str) -> tuple[DataFrame, DataFrame]:
-    """Rows tagged with the id of their word set, and each distinct set once.
-
-    Copies — repeated slides, boilerplate, copied lectures — are compared only once.
-    """
-    tagged = (
-        df.withColumn(f"_{prefix}set", word_set(text))
-        .where(F.size(f"_{prefix}set") > 0)
-        .withColumn(f"_{prefix}id", _set_id(F.col(f"_{prefix}set")))
+def _line_sets(lines: DataFrame, on: list[str], text: str) -> DataFrame:
+    """Each distinct word set of the lines once: a slide shown again is not compared again."""
+    sets = lines.select(*on, word_set(text).alias("_lset")).withColumn(
+        "_lid", F.coalesce(F.md5(F.array_join("_lset", " ")), F.lit(""))
     )
-    sets = tagged.groupBy(*on, f"_{prefix}id").agg(F.any_value(f"_{prefix}set").alias(f"_{prefix}set"))
-    return tagged.drop(f"_{prefix}set"), sets.withColumn(f"_{prefix}size", F.size(f"_{prefix}set"))
+    return sets.groupBy(*on, "_lid").agg(F.any_value("_lset").alias("_lset")).withColumn("_lsize", F.size("_lset"))
+
+
+# sets of one side are filed under plain words, probes of the other side under marked ones
+_MARK = "\x00"
 
 
-def similar_sets(lsets: DataFrame, wsets: DataFrame, on: list[str], threshold: float) -> DataFrame:
-    """(``on``, ``_lid``, ``_wid``, ``similarity``) of every pair of sets above the threshold."""
+def similar_pairs(
+    lsets: DataFrame, windows: DataFrame, seen: DataFrame, on: list[str], window_key: list[str], threshold: float
+) -> DataFrame:
+    """(``on``, ``_lid``, ``window_key``, ``similarity``) of every line set and window above the threshold.
+
+    Windows keep their word sets in place (``_wset``) and send out only (word, key) rows. ``seen``
+    (``_token``, ``_n``) says how common a word is; it decides how few pairs are looked at, not
+    which are found.
+    """
+    wsize = F.size("_wset")
     ltok = lsets.select(*on, "_lid", "_lsize", F.explode("_lset").alias("_token"))
-    wtok = wsets.select(*on, "_wid", "_wsize", F.explode("_wset").alias("_token"))
 
-    # smaller line: its rarest words, by their number of windows, against all window words
-    seen = wtok.groupBy(*on, "_token").agg(F.count("*").alias("_n"))
-    rarest = Window.partitionBy(*on, "_lid").orderBy("_n", "_token")
+    # a line no larger than the window: the line's rarest words against all window words
+    rarest = Window.partitionBy(*on, "_lid").orderBy(F.coalesce("_n", F.lit(0)), "_token")
     lprobe = (
-        ltok.join(seen, [*on, "_token"])
-        .withColumn("_absent", F.col("_lsize") - F.count("*").over(Window.partitionBy(*on, "_lid")))
-        .withColumn("_r", F.row_number().over(rarest) + F.col("_absent"))
+        ltok.join(seen, "_token", "left")
+        .withColumn("_r", F.row_number().over(rarest))
         .where(F.col("_r") <= _probe_length(F.col("_lsize"), threshold))
         .select(*on, "_lid", "_lsize", "_token")
     )
-    by_line = lprobe.join(wtok, [*on, "_token"]).where(F.col("_lsize") <= F.col("_wsize"))
-
-    # smaller window: its longest words stand in for the rarest, which saves counting the lines
-    ranked = F.array_sort(F.transform("_wset", lambda w: F.struct((-F.length(w)).alias("k"), w.alias("w"))))
-    wprobe = wsets.select(
-        *on, "_wid", "_wsize",
-        F.explode(F.slice(ranked, F.lit(1), _probe_length(F.col("_wsize"), threshold))).alias("_p"),
-    ).select(*on, "_wid", "_wsize", F.col("_p.w").alias("_token"))
-    by_window = wprobe.join(ltok, [*on, "_token"]).where(F.col("_wsize") < F.col("_lsize"))
-
-    pair = [*on, "_lid", "_wid"]
-    candidates = by_line.select(*pair).union(by_window.select(*pair)).distinct()
+
+    # a larger line: the window's longest words, which stand in for the rarest, against all line
+    # words; windows as large as the largest line have no such partner and send nothing
+    largest = lsets.agg(F.max("_lsize")).scalar()
+    by_length = F.sort_array(F.transform("_wset", lambda w: F.struct((-F.length(w)).alias("k"), w.alias("w"))))
+    longest = F.transform(
+        F.slice(by_length, F.lit(1), _probe_length(wsize, threshold)), lambda p: F.concat(F.lit(_MARK), p["w"])
+    )
+    sent = F.when(wsize < largest, F.concat("_wset", longest)).otherwise(F.col("_wset"))
+
+    marked = F.concat(F.lit(_MARK), "_token").alias("_token")
+    index = lprobe.unionByName(ltok.select(*on, "_lid", "_lsize", marked))
+    probes = windows.select(*on, *window_key, wsize.alias("_wsize"), F.explode(sent).alias("_token"))
+    line_is_larger = F.col("_wsize") < F.col("_lsize")
+    met = probes.join(index, [*on, "_token"]).where(line_is_larger == F.startswith("_token", F.lit(_MARK)))
+    candidates = met.select(*on, "_lid", *window_key).distinct()
     return (
         candidates.join(lsets.select(*on, "_lid", "_lset"), [*on, "_lid"])
-        .join(wsets.select(*on, "_wid", "_wset"), [*on, "_wid"])
+        .join(windows.select(*on, *window_key, "_wset"), [*on, *window_key])
         .withColumn("similarity", overlap_coefficient(F.col("_lset"), F.col("_wset")))
         .where(F.col("similarity") > threshold)
-        .select(*pair, "similarity")
+        .select(*on, "_lid", *window_key, "similarity")
+    )
+
+
+def _word_counts(transcripts: DataFrame) -> DataFrame:
+    """In how many transcripts each word stands, combined before the shuffle."""
+    return (
+        transcripts.select(F.explode(word_set("transcript")).alias("_token"))
+        .groupBy("_token")
+        .agg(F.count("*").alias("_n"))
     )
 
 
@@ -94,18 +110,20 @@ def spoken_windows(transcripts: DataFrame, min_words: int = 1) -> DataFrame:
     return windows
 
 
+def _window_sets(transcripts: DataFrame, min_words: int) -> DataFrame:
+    return spoken_windows(transcripts, min_words).select("lecture_id", "start", word_set("chunk").alias("_wset"))
+
+
 def duplicate_pairs(
     lines: DataFrame, transcripts: DataFrame, threshold: float = V.SIMILARITY_THRESHOLD, min_window_words: int = 1
 ) -> DataFrame:
     """Every (line_id, lecture_id, start) above the threshold, lines against all lectures."""
-    ltag, lsets = _distinct_sets(lines.select("line_id", "line"), [], "line", "l")
-    wtag, wsets = _distinct_sets(spoken_windows(transcripts, min_window_words), [], "chunk", "w")
-    return (
-        similar_sets(lsets, wsets, [], threshold)
-        .join(ltag.select("line_id", "_lid"), "_lid")
-        .join(wtag.select("lecture_id", "start", "_wid"), "_wid")
-        .select("line_id", "lecture_id", "start", "similarity")
+    pairs = similar_pairs(
+        _line_sets(lines, [], "line"), _window_sets(transcripts, min_window_words), _word_counts(transcripts),
+        [], ["lecture_id", "start"], threshold,
     )
+    named = lines.select("line_id", _set_id("line").alias("_lid"))
+    return pairs.join(named, "_lid").select("line_id", "lecture_id", "start", "similarity")
 
 
 def novel_lines(
@@ -117,10 +135,12 @@ def novel_lines(
 ) -> DataFrame:
     """Lines that no window of the same lecture's transcript repeats."""
     on = ["lecture_id"]
-    _, lsets = _distinct_sets(lines.select("lecture_id", F.col(text).alias("_text")), on, "_text", "l")
-    _, wsets = _distinct_sets(spoken_windows(transcripts, min_window_words), on, "chunk", "w")
-    spoken = similar_sets(lsets, wsets, on, threshold).select("lecture_id", "_lid")
-    tagged = lines.withColumn("_lid", _set_id(word_set(text)))
+    shown = transcripts.join(lines.select("lecture_id").distinct(), "lecture_id", "left_semi")
+    spoken = similar_pairs(
+        _line_sets(lines, on, text), _window_sets(shown, min_window_words), _word_counts(shown),
+        on, ["start"], threshold,
+    ).select("lecture_id", "_lid")
+    tagged = lines.withColumn("_lid", _set_id(text))
     return tagged.join(spoken, ["lecture_id", "_lid"], "left_anti").drop("_lid")
 
 

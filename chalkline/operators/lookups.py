@@ -82,7 +82,7 @@ def passage_block(found: DataFrame) -> DataFrame:
     return (
         found.select("query_id", "lecture_id", F.struct("rank", block.alias("block")).alias("_b"))
         .groupBy("query_id", "lecture_id")
-        .agg(F.array_sort(F.collect_list("_b")).alias("_bs"))
+        .agg(F.sort_array(F.collect_list("_b")).alias("_bs"))
         .select("query_id", "lecture_id", F.array_join(F.col("_bs.block"), V.BLOCK_SEPARATOR).alias("result"))
     )
 

@@ -203,7 +203,7 @@ def context_text(queries: DataFrame, index: DataFrame, k: int = V.RETRIEVAL_TOP)
     texts = (
         found.select("query_id", F.struct("rank", block.alias("block")).alias("_b"))
         .groupBy("query_id")
-        .agg(F.array_sort(F.collect_list("_b")).alias("_bs"))
+        .agg(F.sort_array(F.collect_list("_b")).alias("_bs"))
         .select("query_id", F.array_join(F.col("_bs.block"), V.BLOCK_SEPARATOR).alias("context"))
     )
     return queries.select("query_id").join(texts, "query_id", "left").select(

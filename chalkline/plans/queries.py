@@ -14,7 +14,7 @@ from chalkline import fixed_values as V
 from chalkline.operators import change, dedup, frames, lookups, prompts, retrieval, temporal
 from chalkline.operators.concat import ordered_concat
 from chalkline.plans.fixtures import view
-from chalkline.session import shared_dir
+from chalkline.session import shared_dir, spread
 from chalkline.sources import readers, writers
 from chalkline.streaming import jobs
 
@@ -39,6 +39,14 @@ class _Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return view(*self._at, name)
 
+    @property
+    def lectures(self) -> DataFrame:
+        return spread(view(*self._at, "lectures"))
+
+    @property
+    def noted_lectures(self) -> DataFrame:
+        return spread(view(*self._at, "noted_lectures"))
+
     @property
     def aligned(self) -> DataFrame:
         return temporal.align(self.ocr_frames, self.segments)

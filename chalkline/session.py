@@ -27,3 +27,13 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan out to all cores if it has fewer splits than there are cores.
+
+    For heavy row-wise work on one small file. Inputs worth a cluster have more splits than cores
+    and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -52,7 +52,7 @@ def read_ocr_frames(spark: SparkSession, path: str) -> DataFrame:
     )
     fail_fast = {"mode": "FAILFAST"}
     fields = F.from_json("value", "ARRAY<MAP<STRING, STRING>>", fail_fast)
-    strict = F.forall(fields, lambda r: F.array_sort(F.map_keys(r)) == F.array(*map(F.lit, OCR_FIELDS)))
+    strict = F.forall(fields, lambda r: F.sort_array(F.map_keys(r)) == F.array(*map(F.lit, OCR_FIELDS)))
     records = F.when(strict, F.from_json("value", f"ARRAY<{OCR_FRAME}>", fail_fast)).otherwise(
         F.raise_error(F.concat(F.lit("OCR record with missing or unknown fields: "), "lecture_id"))
     )

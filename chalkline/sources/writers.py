@@ -29,7 +29,7 @@ def segment_documents(segments: DataFrame, language: str = "language") -> DataFr
         .agg(
             F.any_value(language).alias("language"),
             F.any_value("source").alias("source"),
-            F.array_sort(F.collect_list(entry)).alias("segments"),
+            F.sort_array(F.collect_list(entry)).alias("segments"),
         )
         .select(F.col("lecture_id").cast("string").alias("lecture_id"), "language", "source", "segments")
     )

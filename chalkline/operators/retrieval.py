@@ -184,6 +184,8 @@ def vector_topk(queries: DataFrame, index: DataFrame, k: int = V.RETRIEVAL_TOP)
                 ["query_id", "collection", "id", "distance"]
             ]
 
+        # renamed afresh: both sides may come from one table
+        asked, rows = asked.toDF(*asked.columns), rows.toDF(*rows.columns)
         near = (
             asked.groupBy("collection", "_q", "_i")
             .cogroup(rows.groupBy("collection", "_q", "_i"))

@@ -55,11 +55,12 @@ def search_passages(
     )
     vocabulary = searched.select(F.explode(F.array_distinct(words(F.lower("transcript")))).alias("token")).distinct()
     matches = containing_tokens(vocabulary, terms.select("term").distinct())
-    # at most the distinct words of one window per group, combined before the shuffle
+    # both groups are small by nature: the terms inside one token, the tokens of one window
+    per_token = matches.groupBy("token").agg(F.collect_list("term").alias("_terms"))
     held = (
-        postings.join(matches, "token")
+        postings.join(per_token, "token")
         .groupBy("lecture_id", "start")
-        .agg(F.collect_set("term").alias("_terms"))
+        .agg(F.array_distinct(F.flatten(F.collect_list("_terms"))).alias("_terms"))
         .select("lecture_id", "start", F.explode("_terms").alias("term"))
     )
     scored = held.join(weights, [*on, "term"]).groupBy("lecture_id", "start", "query_id").agg(

@@ -14,8 +14,9 @@ from chalkline.functions.windows import window_step, word_windows
 from chalkline.operators.concat import ordered_concat
 
 BROADCAST_QUERIES = 2048
-QUERY_BLOCK = 1024
-INDEX_BLOCK = 16384
+QUERY_BLOCK = 8192
+INDEX_BLOCK = 65536
+_SLICE = 256
 
 
 # --- index ----------------------------------------------------------------------------
@@ -106,25 +107,29 @@ def collection_counts(index: DataFrame) -> DataFrame:
 def _nearest(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k nearest rows of one block for each query of one block: squared distance, then id."""
     rows = rows.sort_values("id")
-    q = np.stack(queries["embedding"].to_numpy()).astype(float)
     x = np.stack(rows["embedding"].to_numpy()).astype(float)
-    d = (q**2).sum(axis=1)[:, None] + (x**2).sum(axis=1)[None, :] - 2.0 * (q @ x.T)
-    d = np.round(np.maximum(d, 0.0), 6)
-    if "before" in queries and "day" in rows:
-        before = queries["before"].to_numpy(dtype=float)[:, None]
-        day = rows["day"].to_numpy(dtype=float)[None, :]
-        d[~((day < before) | np.isnan(before))] = np.inf
-    k = min(k, d.shape[1])
-    bound = np.partition(d, k - 1, axis=1)[:, k - 1]
-    picks, owners = [], []
-    for i, row in enumerate(d):
-        near = np.flatnonzero((row <= bound[i]) & np.isfinite(row))
-        near = near[np.argsort(row[near], kind="stable")[:k]]
-        picks.append(near)
-        owners.append(np.full(len(near), i))
-    at, owner = np.concatenate(picks), np.concatenate(owners)
+    x_norms = (x**2).sum(axis=1)[None, :]
+    dated = "before" in queries and "day" in rows
+    k = min(k, len(rows))
+    picks, owners, distances = [], [], []
+    for at in range(0, len(queries), _SLICE):
+        part = queries.iloc[at : at + _SLICE]
+        q = np.stack(part["embedding"].to_numpy()).astype(float)
+        d = np.round(np.maximum((q**2).sum(axis=1)[:, None] + x_norms - 2.0 * (q @ x.T), 0.0), 6)
+        if dated:
+            before = part["before"].to_numpy(dtype=float)[:, None]
+            day = rows["day"].to_numpy(dtype=float)[None, :]
+            d[~((day < before) | np.isnan(before))] = np.inf
+        bound = np.partition(d, k - 1, axis=1)[:, k - 1]
+        for i, row in enumerate(d):
+            near = np.flatnonzero((row <= bound[i]) & np.isfinite(row))
+            near = near[np.argsort(row[near], kind="stable")[:k]]
+            picks.append(near)
+            owners.append(np.full(len(near), at + i))
+            distances.append(row[near])
     return pd.DataFrame(
-        {"query_id": queries["query_id"].to_numpy()[owner], "id": rows["id"].to_numpy()[at], "distance": d[owner, at]}
+        {"query_id": queries["query_id"].to_numpy()[np.concatenate(owners)],
+         "id": rows["id"].to_numpy()[np.concatenate(picks)], "distance": np.concatenate(distances)}
     )
 
 

@@ -14,7 +14,7 @@ from chalkline import fixed_values as V
 from chalkline.operators import change, dedup, frames, lookups, prompts, retrieval, temporal
 from chalkline.operators.concat import ordered_concat
 from chalkline.plans.fixtures import view
-from chalkline.session import shared_dir, spread
+from chalkline.session import shared_dir, spread, written
 from chalkline.sources import readers, writers
 from chalkline.streaming import jobs
 
@@ -534,7 +534,8 @@ def clock_label(spark, sf_dir):
 @query
 def prompt_table(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    return prompts.prompt_table(t.noted_lectures, t.aligned, t.figures, chunk_words=PROMPT_WORDS)
+    aligned = written(t.aligned, "aligned")
+    return prompts.prompt_table(t.noted_lectures, aligned, t.figures, chunk_words=PROMPT_WORDS)
 
 
 @query
@@ -544,7 +545,8 @@ def prompt_table_context(spark, sf_dir):
     contexts = retrieval.context_text(
         retrieval.lecture_queries(t.lectures), retrieval.index_lectures(t.sourced)
     ).withColumnRenamed("query_id", "lecture_id")
-    return prompts.prompt_table(t.noted_lectures, t.aligned, t.figures, contexts, chunk_words=PROMPT_WORDS)
+    aligned = written(t.aligned, "aligned")
+    return prompts.prompt_table(t.noted_lectures, aligned, t.figures, contexts, chunk_words=PROMPT_WORDS)
 
 
 # --- streaming --------------------------------------------------------------------------

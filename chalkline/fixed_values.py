@@ -41,6 +41,22 @@ MATH_PATTERNS = [
     r"[A-Za-z]+\s*[=]\s*[A-Za-z0-9\(\)\+\-\*/\^]+",
 ]
 
+# --- other patterns -------------------------------------------------------------------
+LINE_CUT = r"\n|(?<=\])\s"
+LINE_TAG = r"^\[\d+min\]\s*"
+TITLE_DIGITS = r"(\d{8})"
+FENCE_OPEN = r"^```(?:latex|tex)?\s*"
+FENCE_CLOSE = r"```\s*$"
+DOCUMENT_BODY = r"\\begin\{document\}(.*?)\\end\{document\}"
+DOCUMENT_PREAMBLE = r"^(.*?\\begin\{document\})"
+
+# --- labels and names -----------------------------------------------------------------
+CLOCK = "%02d:%02d"
+MINUTE_TAG = "[%02dmin]"
+FIGURE_NAME = "fig_%02d_%02dm%02ds.jpg"
+FIGURE_PATH = "figures/%s"
+FRAME_NAME = "frame_%07d_%ss.jpg"
+
 # --- media requests -------------------------------------------------------------------
 MEDIA_EXTENSIONS = [".mp4", ".m3u8", ".ts"]
 MEDIA_KEYWORDS = ["nln1.wbx.com", "ciscospark", "recording/play", "streamurl"]
@@ -48,10 +64,17 @@ MEDIA_KEYWORDS = ["nln1.wbx.com", "ciscospark", "recording/play", "streamurl"]
 # --- characters removed from file names -----------------------------------------------
 UNSAFE_FILE_CHARS = '<>:"/\\|?*'
 
-# --- lookup messages ------------------------------------------------------------------
+# --- lookup answers -------------------------------------------------------------------
 NO_PASSAGES = "No matching passages found for the query."
+PASSAGE = "[Position: ~%d%% through lecture]\n%s"
+NO_OCR_NEAR = "No OCR data found within %ss of timestamp %ss."
+NO_OCR_TEXT = "Frames found near %ss but no OCR text extracted."
+OCR_LINE = "[%s] %s"
 NO_FIGURES = "No figures available."
+NEAREST_FIGURE = "Closest figure (%ss away):\n  latex_path: %s\n  caption: %s\n  timestamp: %ss"
+UNKNOWN_TOOL = "Unknown tool: %s"
 UNKNOWN_BUILD_ERROR = "Unknown compilation error"
+CONTEXT_PASSAGE = "[Lecture %s, %s]\n%s"
 BLOCK_SEPARATOR = "\n\n---\n\n"
 
 # --- merged documents -----------------------------------------------------------------
@@ -85,6 +108,7 @@ PROMPT_FIGURES_HEAD = (
     "\nReplace LATEX_PATH and CAPTION with the values below.\n"
     "Insert each figure near the section where the corresponding topic is discussed (use the timestamp as a guide).\n\n"
 )
+PROMPT_FIGURE = "[%s] latex_path=%s caption=%s\n"
 PROMPT_FIGURES_TAIL = (
     "\nCRITICAL: Use ONLY the exact latex_path values listed above. "
     "Never invent or modify figure filenames.\n"

@@ -22,6 +22,11 @@ SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 NO_WORD = r"[^\p{L}\p{N}_]+"
 
 
+def spaced(pattern: str) -> str:
+    """A fixed pattern with the package's whitespace and Unicode digits."""
+    return pattern.replace(r"\s", SPACE).replace(r"\d", r"\p{Nd}")
+
+
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -64,13 +69,13 @@ def char_prefix(c: str | Column, n: int = V.CONTEXT_PREFIX_CHARS) -> Column:
 
 def split_lines(c: str | Column) -> Column:
     """Trimmed non-empty pieces, cut at newlines and at whitespace that follows a ``]``."""
-    pieces = F.split(col(c), rf"\n|(?<=\]){SPACE}")
+    pieces = F.split(col(c), spaced(V.LINE_CUT))
     return F.filter(F.transform(pieces, strip), lambda s: s != "")
 
 
 def clean_line(c: str | Column) -> Column:
     """The line without a leading ``[NNmin]`` tag."""
-    return strip(F.regexp_replace(col(c), rf"^\[\p{{Nd}}+min\]{SPACE}*", ""))
+    return strip(F.regexp_replace(col(c), spaced(V.LINE_TAG), ""))
 
 
 def is_mathematical(c: str | Column) -> Column:
@@ -114,28 +119,26 @@ def whole_number(c: str | Column) -> Column:
 def clock(c: str | Column) -> Column:
     """``mm:ss``; minutes do not roll over into hours."""
     minutes, seconds = F.floor(col(c) / 60), F.floor(col(c) % 60)
-    return F.format_string("%02d:%02d", minutes, seconds)
+    return F.format_string(V.CLOCK, minutes, seconds)
 
 
 def minute_tag(c: str | Column) -> Column:
-    return F.format_string("[%02dmin]", F.floor(col(c) / 60))
+    return F.format_string(V.MINUTE_TAG, F.floor(col(c) / 60))
 
 
 def figure_name(number: Column, timestamp: Column) -> Column:
-    return F.format_string(
-        "fig_%02d_%02dm%02ds.jpg", number, F.floor(timestamp / 60), F.floor(timestamp % 60)
-    )
+    return F.format_string(V.FIGURE_NAME, number, F.floor(timestamp / 60), F.floor(timestamp % 60))
 
 
 def frame_name(frame_idx: Column, timestamp: Column) -> Column:
-    return F.concat(F.format_string("frame_%07d_", frame_idx), one_decimal(timestamp), F.lit("s.jpg"))
+    return F.format_string(V.FRAME_NAME, frame_idx, one_decimal(timestamp))
 
 
 # --- dates and names ------------------------------------------------------------------
 
 def title_date(c: str | Column) -> Column:
     """First eight consecutive digits as YYYY-MM-DD, unchecked; null if there are none."""
-    digits = F.nullif(F.regexp_extract(col(c), r"(\p{Nd}{8})", 1), F.lit(""))
+    digits = F.nullif(F.regexp_extract(col(c), spaced(V.TITLE_DIGITS), 1), F.lit(""))
     return F.concat(digits.substr(1, 4), F.lit("-"), digits.substr(5, 2), F.lit("-"), digits.substr(7, 2))
 
 
@@ -192,8 +195,8 @@ def is_media_request(url: str | Column) -> Column:
 
 def strip_fences(c: str | Column) -> Column:
     """Response text without opening and closing code fences."""
-    opened = F.regexp_replace(col(c), rf"(?md)^```(?:latex|tex)?{SPACE}*", "")
-    return strip(F.regexp_replace(opened, rf"(?md)```{SPACE}*$", ""))
+    opened = F.regexp_replace(col(c), "(?md)" + spaced(V.FENCE_OPEN), "")
+    return strip(F.regexp_replace(opened, "(?md)" + spaced(V.FENCE_CLOSE), ""))
 
 
 def parse_verdict(c: str | Column) -> Column:
@@ -202,8 +205,7 @@ def parse_verdict(c: str | Column) -> Column:
     return F.from_json(text, "include BOOLEAN, caption STRING, reason STRING")
 
 
-_BODY = r"(?s)\\begin\{document\}(.*?)\\end\{document\}"
-_PREAMBLE = r"(?s)^(.*?\\begin\{document\})"
+_BODY, _PREAMBLE = "(?s)" + V.DOCUMENT_BODY, "(?s)" + V.DOCUMENT_PREAMBLE
 
 
 def document_body(c: str | Column) -> Column:

@@ -94,10 +94,12 @@ def change_points(
     value: str = "score",
     order: str = "ord",
     block_rows: int = BLOCK_ROWS,
+    entering: DataFrame | None = None,
 ) -> DataFrame:
     """Kept rows of each lecture's series, as (lecture_id, ``order``, ``value``).
 
-    ``order`` is an integer, distinct within the lecture; blocks are ranges of it.
+    ``order`` is an integer, distinct within the lecture; blocks are ranges of it. ``entering``
+    (lecture_id, ``value``) is the last kept value where a series goes on from an earlier one.
     """
     schema = series.select("lecture_id", order, F.col(value).cast("double").alias(value)).schema
     key_type = schema["lecture_id"].dataType.simpleString()
@@ -105,6 +107,11 @@ def change_points(
         "lecture_id", order, F.col(value).cast("double").alias(value),
         F.floor(F.col(order) / block_rows).alias("_block"),
     )
+    if entering is None:
+        blocked = blocked.withColumn("_start", F.lit(None).cast("double"))
+    else:
+        before = entering.select("lecture_id", F.col(value).cast("double").alias("_start"))
+        blocked = blocked.join(before, "lecture_id", "left")
 
     # only lectures of several blocks need summaries
     spans = blocked.groupBy("lecture_id").agg(F.min("_block").alias("_b0"), F.max("_block").alias("_b1"))
@@ -113,22 +120,23 @@ def change_points(
     block_key = ["lecture_id", "_block"]
 
     def summarise(batches):
-        def row(key, values):
+        def row(key, start, values):
             listed = block_summary(values, threshold)
             first = values[kept_rows(values, threshold, None)][-1]
-            return (*key, first, [v for v, _ in listed], [leaving for _, leaving in listed])
+            return (*key, start, first, [v for v, _ in listed], [leaving for _, leaving in listed])
 
-        found = (row(key, run[value]) for key, run in sorted_runs(batches, block_key))
+        found = (row(key, run["_start"][0], run[value]) for key, run in sorted_runs(batches, block_key))
         while some := list(islice(found, 512)):
-            yield pd.DataFrame(some, columns=["lecture_id", "_block", "first", "vs", "ls"])
+            yield pd.DataFrame(some, columns=["lecture_id", "_block", "start", "first", "vs", "ls"])
 
     summaries = in_order(blocked.join(long_lectures, "lecture_id", "left_semi"), block_key, [order]).mapInPandas(
-        summarise, f"lecture_id {key_type}, _block bigint, first double, vs array<double>, ls array<double>"
+        summarise, f"lecture_id {key_type}, _block bigint, start double, first double, vs array<double>, ls array<double>"
     )
 
     def compose(batches):
         def entries_of(key, run):
-            last = None
+            start = run["start"][0]
+            last = None if np.isnan(start) else start
             for block, first, vs, ls in zip(run["_block"], run["first"], run["vs"], run["ls"]):
                 yield key[0], block, np.nan if last is None else last
                 last = first if last is None else apply_summary(list(zip(vs, ls)), last, threshold)
@@ -145,7 +153,7 @@ def change_points(
         parts: list[tuple] = []
         waiting = 0
         for key, run in sorted_runs(batches, block_key):
-            enter = run["_enter"][0]
+            enter = run["_start"][0] if np.isnan(run["_enter"][0]) else run["_enter"][0]
             mask = kept_rows(run[value], threshold, None if np.isnan(enter) else float(enter))
             parts.append((np.full(int(mask.sum()), key[0]), run[order][mask], run[value][mask]))
             waiting += len(parts[-1][0])

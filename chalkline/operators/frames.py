@@ -141,7 +141,7 @@ def named_figures(verdicts: DataFrame) -> DataFrame:
     """Accepted figures, numbered in order of acceptance, with file name and document path."""
     numbered = number_within(accepted_figures(verdicts), "lecture_id", "ord", "figure_no")
     named = numbered.withColumn("filename", figure_name(F.col("figure_no"), F.col("timestamp_sec")))
-    return named.withColumn("latex_path", F.concat(F.lit("figures/"), F.col("filename")))
+    return named.withColumn("latex_path", F.format_string(V.FIGURE_PATH, "filename"))
 
 
 def figure_summary(verdicts: DataFrame) -> DataFrame:

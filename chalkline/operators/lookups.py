@@ -77,9 +77,7 @@ def search_passages(
 
 def passage_block(found: DataFrame) -> DataFrame:
     """(query_id, lecture_id, result): the passages of a search as one text, best first."""
-    block = F.concat(
-        F.lit("[Position: ~"), F.col("position_pct").cast("string"), F.lit("% through lecture]\n"), F.col("passage")
-    )
+    block = F.format_string(V.PASSAGE, "position_pct", "passage")
     return (
         found.select("query_id", "lecture_id", F.struct("rank", block.alias("block")).alias("_b"))
         .groupBy("query_id", "lecture_id")
@@ -114,7 +112,7 @@ def dispatch(lookups: DataFrame, lectures: DataFrame, aligned: DataFrame, figure
         ocr_at(calls(known[1]), aligned),
         nearest_figure(calls(known[2]), figures),
         lookups.where(~F.col("tool").isin(known)).withColumn(
-            "result", F.concat(F.lit("Unknown tool: "), F.col("tool"))
+            "result", F.format_string(V.UNKNOWN_TOOL, "tool")
         ),
     ]
     out = answers[0].select("call_id", "tool", "result")

@@ -206,7 +206,7 @@ def context_text(queries: DataFrame, index: DataFrame, k: int = V.RETRIEVAL_TOP)
     found = vector_topk(queries, index, k).join(
         index.select("collection", "id", "lecture_date", "source", "document"), ["collection", "id"]
     )
-    block = F.concat(F.lit("[Lecture "), "lecture_date", F.lit(", "), "source", F.lit("]\n"), "document")
+    block = F.format_string(V.CONTEXT_PASSAGE, "lecture_date", "source", "document")
     texts = (
         found.select("query_id", F.struct("rank", block.alias("block")).alias("_b"))
         .groupBy("query_id")

@@ -154,9 +154,9 @@ def ocr_at(lookups: DataFrame, aligned: DataFrame) -> DataFrame:
         F.abs(F.col("timestamp_sec") - t) <= F.col("_window"),
     )
     text = strip("ocr_text")
-    line = F.when(text == "", "").otherwise(F.concat(clock("timestamp_sec"), F.lit("] "), text))
+    line = F.when(text != "", F.format_string(V.OCR_LINE, clock("timestamp_sec"), text))
     found = ordered_concat(
-        pairs.withColumn("_line", F.when(text != "", F.concat(F.lit("["), line))),
+        pairs.withColumn("_line", line),
         ["lecture_id", "timestamp_seconds", "_window"], ["timestamp_sec", "frame_index"], "_line", "\n",
         F.floor(F.col("timestamp_sec") / 600), "_lines",
     )
@@ -169,14 +169,8 @@ def ocr_at(lookups: DataFrame, aligned: DataFrame) -> DataFrame:
         .join(answers, ["lecture_id", "timestamp_seconds", "_window"], "left")
         .withColumn(
             "result",
-            F.when(
-                F.col("_near").isNull(),
-                F.concat(F.lit("No OCR data found within "), shown_window, F.lit("s of timestamp "), shown_time, F.lit("s.")),
-            )
-            .when(
-                F.col("_lines").isNull(),
-                F.concat(F.lit("Frames found near "), shown_time, F.lit("s but no OCR text extracted.")),
-            )
+            F.when(F.col("_near").isNull(), F.format_string(V.NO_OCR_NEAR, shown_window, shown_time))
+            .when(F.col("_lines").isNull(), F.format_string(V.NO_OCR_TEXT, shown_time))
             .otherwise(F.col("_lines")),
         )
         .drop("_window", "_near", "_lines")
@@ -240,10 +234,9 @@ def nearest_figure(lookups: DataFrame, figures: DataFrame) -> DataFrame:
         F.when(F.col("prev").isNotNull() & use_prev, F.col("prev")).otherwise(F.col("next")).alias("_fig"),
     )
     fig_time = F.col("_fig.timestamp_sec")
-    text = F.concat(
-        F.lit("Closest figure ("), whole_number(F.abs(fig_time - F.col("timestamp_seconds"))), F.lit("s away):\n  latex_path: "),
-        F.col("_fig.latex_path"), F.lit("\n  caption: "), F.col("_fig.caption"),
-        F.lit("\n  timestamp: "), one_decimal(fig_time), F.lit("s"),
+    text = F.format_string(
+        V.NEAREST_FIGURE, whole_number(F.abs(fig_time - F.col("timestamp_seconds"))),
+        F.col("_fig.latex_path"), F.col("_fig.caption"), one_decimal(fig_time),
     )
     return (
         lookups.join(best, ["lecture_id", "timestamp_seconds"], "left")

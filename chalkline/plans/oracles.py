@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from chalkline import fixed_values as V
 from chalkline.plans.fixtures import check_sql
-from chalkline.plans.queries import CHANGE_THRESHOLD, PROMPT_WORDS
+from chalkline.plans.queries import CHANGE_THRESHOLD, PROMPT_WORDS, SCENE_THRESHOLD
 
 SP = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 CHARS = (
@@ -258,6 +258,13 @@ EXTRA: dict[str, str] = {
           CASE WHEN abs(r.score - w.kept) > {CHANGE_THRESHOLD} THEN r.score ELSE w.kept END,
           abs(r.score - w.kept) > {CHANGE_THRESHOLD}
         FROM walk w JOIN numbered r ON r.lecture_id = w.lecture_id AND r.n = w.n + 1""",
+    "scenes": """SELECT id % 10 AS lecture_id, id AS ord, list(CAST(n AS DOUBLE) ORDER BY bin) AS h,
+        row_number() OVER (PARTITION BY id % 10 ORDER BY id) AS n FROM hists GROUP BY id""",
+    "scene_walk": f"""SELECT lecture_id, ord, n, h AS kept, true AS keep FROM scenes WHERE n = 1
+        UNION ALL SELECT lecture_id, ord, n, CASE WHEN d > {SCENE_THRESHOLD} THEN h ELSE kept END, d > {SCENE_THRESHOLD}
+        FROM (SELECT r.lecture_id, r.ord, r.n, r.h, w.kept, sqrt(greatest(0.0, 1
+          - list_sum(list_transform(list_zip(r.h, w.kept), lambda p: sqrt(p[1] * p[2]))) / sqrt(list_sum(r.h) * list_sum(w.kept)))) AS d
+          FROM scene_walk w JOIN scenes r ON r.lecture_id = w.lecture_id AND r.n = w.n + 1) x""",
     "prompt_transcripts": """SELECT l.lecture_id, coalesce(l.transcript,
           (SELECT string_agg(a.speech, ' ' ORDER BY a.timestamp_sec, a.frame_index) FROM aligned a
            WHERE a.lecture_id = l.lecture_id AND a.speech <> ''), '') AS transcript FROM noted_lectures l""",
@@ -435,6 +442,7 @@ SQL: dict[str, str] = {
               FROM term_windows t JOIN query_terms q ON q.term = t.term GROUP BY q.query_id, t.lecture_id, t.start) s
         JOIN search_windows w ON w.lecture_id = s.lecture_id AND w.start = s.start WHERE s.rank <= 3""",
     "change_points": "SELECT lecture_id, ord, score FROM walk WHERE keep",
+    "scene_changes": "SELECT lecture_id, ord FROM scene_walk WHERE keep",
     "figure_names": """SELECT lecture_id, ord, timestamp_sec, caption, reason, figure_no, filename,
         'figures/' || filename AS latex_path FROM (SELECT *, printf('fig_%02d_%02dm%02ds.jpg', figure_no,
           CAST(floor(timestamp_sec / 60) AS BIGINT), CAST(floor(timestamp_sec % 60) AS BIGINT)) AS filename
@@ -466,7 +474,7 @@ SQL: dict[str, str] = {
         ON s.lecture_id = f.lecture_id AND (abs(s.start_sec - f.timestamp_sec) < 30
           OR (s.start_sec <= f.timestamp_sec AND f.timestamp_sec <= s.end_sec))""",
 }
-SQL["change_points_stream"] = SQL["change_points"]
+SQL["change_points_stream"] = SQL["change_points_batches"] = SQL["change_points"]
 SQL["index_upsert_stream"] = f"SELECT {INDEX_COLUMNS} FROM index_base"
 
 ORACLES: dict[str, str] = {name: check_sql(body, EXTRA) for name, body in SQL.items()}

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from chalkline.functions import text as T
 from chalkline.functions.vectors import hashed_embedding
-from chalkline.functions.windows import prompt_chunks, window_step, word_windows
-from chalkline import fixed_values as V
+from chalkline.functions.windows import prompt_chunks
 from chalkline.operators import change, dedup, frames, lookups, prompts, retrieval, temporal
 from chalkline.operators.concat import ordered_concat
 from chalkline.plans.fixtures import view
@@ -22,6 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 CHANGE_THRESHOLD = 50.0
+SCENE_THRESHOLD = 0.14
 PROMPT_WORDS = 1000
 
 
@@ -416,6 +416,14 @@ def change_points(spark, sf_dir):
     return change.change_points(_tables(spark, sf_dir).frame_scores, CHANGE_THRESHOLD)
 
 
+@query
+def scene_changes(spark, sf_dir):
+    """Change points of histogram series: one histogram per supplier, ten series of suppliers."""
+    hists = frames.histogram(_tables(spark, sf_dir).samples)
+    series = hists.select((F.col("id") % 10).alias("lecture_id"), F.col("id").alias("ord"), "hist")
+    return change.histogram_changes(series, SCENE_THRESHOLD)
+
+
 @query
 def figure_names(spark, sf_dir):
     return frames.named_figures(_tables(spark, sf_dir).verdicts)
@@ -573,6 +581,16 @@ def change_points_stream(spark, sf_dir):
     return spark.read.parquet(f"{path}/out")
 
 
+@query
+def change_points_batches(spark, sf_dir):
+    series = _stream(spark, sf_dir, "events").select(
+        F.col("user_id").alias("lecture_id"), F.col("event_id").alias("ord"), F.col("value").alias("score")
+    )
+    path = shared_dir(spark, "changes-batches")
+    jobs.change_batches(series, CHANGE_THRESHOLD, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/out/kept").drop("version")
+
+
 @query
 def index_upsert_stream(spark, sf_dir):
     rows = _stream(spark, sf_dir, "documents").select(

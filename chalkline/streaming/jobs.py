@@ -12,8 +12,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from chalkline import fixed_values as V
 from chalkline.functions.vectors import Embedding
-from chalkline.operators.change import kept_rows
-from chalkline.operators.retrieval import index_chunks
+from chalkline.operators.change import change_points, kept_rows
+from chalkline.operators.retrieval import index_chunks, latest_per_key
 from chalkline.sources.writers import write_version
 
 
@@ -57,6 +57,42 @@ def change_stream(series: DataFrame, threshold: float, value: str = "score", ord
     )
 
 
+def change_batches(
+    series: DataFrame, threshold: float, path: str, checkpoint: str, value: str = "score", order: str = "ord"
+) -> StreamingQuery:
+    """The same as :func:`change_stream` with the batch operator inside each micro-batch.
+
+    Use it where one lecture may fill a micro-batch: its rows are worked on block by block in many
+    tasks instead of in one stateful task. Each batch writes its kept rows below ``path/kept`` and
+    the last kept row of every lecture below ``path/state``, and reads only the state before it.
+    """
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select("lecture_id", order, F.col(value).cast("double").alias(value))
+        last = None
+        if batch_id > 0:
+            last = spark.read.schema(rows.schema).parquet(f"{path}/state/version={batch_id - 1}")
+            known = last.select("lecture_id", F.col(order).alias("_last"))
+            rows = rows.join(known, "lecture_id", "left")
+            rows = rows.where(F.col("_last").isNull() | (F.col(order) > F.col("_last"))).drop("_last")
+        change_points(rows, threshold, value, order, entering=last).write.mode("overwrite").parquet(
+            f"{path}/kept/version={batch_id}"
+        )
+        state = spark.read.schema(rows.schema).parquet(f"{path}/kept/version={batch_id}")
+        state = state if last is None else state.unionByName(last)
+        latest_per_key(state, ["lecture_id"], [order]).write.mode("overwrite").parquet(
+            f"{path}/state/version={batch_id}"
+        )
+
+    return (
+        series.writeStream.foreachBatch(keep)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def index_stream(
     lectures: DataFrame, path: str, checkpoint: str, embedding: Embedding | None = None
 ) -> StreamingQuery:

@@ -9,14 +9,20 @@ LINE = "lecture_id bigint, frame_index int, line_no int, line string"
 TRANSCRIPT = "lecture_id bigint, transcript string"
 
 
+def vocabulary_of(text):
+    return {w for w in re.split(r"\W+", text.lower()) if w}
+
+
 def similarity(a, b):
-    x, y = set(re.findall(r"\b\w+\b", a.lower())), set(re.findall(r"\b\w+\b", b.lower()))
-    return len(x & y) / min(len(x), len(y)) if x and y else 0.0
+    smaller, larger = sorted((vocabulary_of(a), vocabulary_of(b)), key=len)
+    return sum(w in larger for w in smaller) / len(smaller) if smaller else 0.0
 
 
 def windows_of(text):
-    words = text.split()
-    return [(i, " ".join(words[i:i + 50])) for i in range(0, len(words), 25)]
+    rest, at = text.split(), 0
+    while rest:
+        yield at, " ".join(rest[:50])
+        rest, at = rest[25:], at + 25
 
 
 def corpus(rng, n_lectures, hot):

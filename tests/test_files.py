@@ -87,15 +87,20 @@ def stream_in_two_batches(spark, first, second, run):
     return base
 
 
-def test_change_stream_resumes_and_drops_late_rows(spark):
+@pytest.mark.parametrize("stateful", [True, False])
+def test_change_stream_resumes_and_drops_late_rows(spark, stateful):
     rows = lambda *x: spark.createDataFrame([(1, o, float(v)) for o, v in x], "lecture_id bigint, ord bigint, score double")
     first, second = rows((0, 1), (1, 1.1), (2, 5)), rows((3, 5.2), (4, 9), (1, 50))
 
     def run(stream, base):
-        jobs.run_available(jobs.change_stream(stream, 1.0), f"{base}/out", f"{base}/cp")
+        if stateful:
+            jobs.run_available(jobs.change_stream(stream, 1.0), f"{base}/out", f"{base}/cp")
+        else:
+            jobs.change_batches(stream, 1.0, f"{base}/out", f"{base}/cp").awaitTermination()
 
     base = stream_in_two_batches(spark, first, second, run)
-    got = sorted((r.ord, r.score) for r in spark.read.parquet(f"{base}/out").collect())
+    kept = f"{base}/out" if stateful else f"{base}/out/kept"
+    got = sorted((r.ord, r.score) for r in spark.read.parquet(kept).collect())
     assert got == [(0, 1.0), (2, 5.0), (4, 9.0)]
     in_time = first.union(second.where("score < 50"))
     assert got == sorted((r.ord, r.score) for r in change.change_points(in_time, 1.0).collect())

@@ -48,7 +48,7 @@ def plan(spark, name):
 
 
 IN_PYTHON = {
-    "change_points", "change_points_stream", "hashed_vectors", "index_lectures", "index_pages",
+    "change_points", "change_points_stream", "change_points_batches", "scene_changes", "hashed_vectors", "index_lectures", "index_pages",
     "vector_topk", "lecture_context", "prompt_table_context",
 }
 

@@ -86,13 +86,13 @@ def test_hashed_vectors_have_unit_length(spark):
 
 
 def search(text, query):
-    words, scored = text.split(), []
-    for i in range(0, len(words), 50):
-        chunk = " ".join(words[i:i + 100])
-        score = sum(w in chunk.lower() for w in query.lower().split())
-        if score:
-            scored.append((-score, i, round(100 * i / len(words)), chunk))
-    return [(i, -s, p, c) for s, i, p, c in sorted(scored, key=lambda x: x[0])[:3]]
+    """Expected (start, score, position, passage) rows: one row per window that holds anything."""
+    tokens, asked, rows = text.split(), query.lower().split(), []
+    for start in range(0, len(tokens), 50):
+        passage = " ".join(tokens[start:start + 100])
+        score = len([w for w in asked if passage.lower().find(w) >= 0])
+        rows.append((start, score, round(100 * start / len(tokens)), passage))
+    return sorted((r for r in rows if r[1]), key=lambda r: (-r[1], r[0]))[:3]
 
 
 def test_search_equals_scan(spark):

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from chalkline.operators import change, temporal
 
 FRAME = "lecture_id bigint, frame_index int, timestamp_sec double, image_path string, raw_text string, is_slide boolean"
@@ -126,6 +128,17 @@ def test_change_points_do_not_depend_on_blocks(spark):
         assert sorted((r.lecture_id, r.ord) for r in got) == want
 
 
+def test_a_series_goes_on_from_an_earlier_one(spark):
+    rng = random.Random(12)
+    whole = {k: [rng.gauss(0, 3) for _ in range(400)] for k in (1, 2)}
+    df = series(spark, whole)
+    head = change.change_points(df.where("ord < 150"), 2.0, block_rows=64)
+    last = head.groupBy("lecture_id").agg(F.max_by("score", "ord").alias("score"))
+    tail = change.change_points(df.where("ord >= 150"), 2.0, block_rows=64, entering=last)
+    got = sorted((r.lecture_id, r.ord) for r in head.union(tail).collect())
+    assert got == sorted((k, i) for k, v in whole.items() for i in kept(v, 2.0))
+
+
 def test_block_summary_is_exact():
     import numpy as np
 

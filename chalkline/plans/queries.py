@@ -481,7 +481,8 @@ def lecture_context(spark, sf_dir):
 def hashed_vectors(spark, sf_dir):
     embed = hashed_embedding()
     rows = _tables(spark, sf_dir).lectures.select("lecture_id", embed(F.col("transcript")).alias("v"))
-    return rows.select("lecture_id", F.posexplode("v").alias("dim", "x")).where(F.col("x") > 0).withColumn(
+    # outer: a plain explode would add a size test below, which runs the embedding a second time
+    return rows.select("lecture_id", F.posexplode_outer("v").alias("dim", "x")).where(F.col("x") > 0).withColumn(
         "x", F.round("x", 6)
     )
 

@@ -14,6 +14,7 @@ from chalkline import fixed_values as V
 from chalkline.functions.vectors import Embedding
 from chalkline.operators.change import change_points, kept_rows
 from chalkline.operators.retrieval import index_chunks, latest_per_key
+from chalkline.operators.temporal import BASE_BIN_SEC, PAD_SEC
 from chalkline.sources.writers import write_version
 
 
@@ -118,7 +119,9 @@ def align_stream(
 
     Both streams carry ``recorded_at``, the moment the recording started, so that event time goes
     on from lecture to lecture. The state of either side is released once the other has moved past
-    the align window and the longest segment.
+    the align window and the longest segment. The streams meet on (lecture, time bin): a segment is
+    filed under each bin it can reach, a frame under its own, so a pair comes out once and a hot
+    lecture's state is spread over its bins.
     """
     delay = f"{int(window + longest_segment)} seconds"
 
@@ -126,11 +129,16 @@ def align_stream(
         return F.timestamp_micros(F.unix_micros("recorded_at") + (F.col(seconds) * 1000000).cast("bigint"))
 
     f = frames.select(
-        "lecture_id", "frame_index", "timestamp_sec", moment("timestamp_sec").alias("frame_time")
+        "lecture_id", "frame_index", "timestamp_sec", moment("timestamp_sec").alias("frame_time"),
+        F.floor(F.col("timestamp_sec") / BASE_BIN_SEC).alias("bin"),
     ).withWatermark("frame_time", delay)
     s = segments.select(
         F.col("lecture_id").alias("_lecture"), "id", "start_sec", "end_sec", "text",
         moment("start_sec").alias("segment_time"),
+        F.explode(F.sequence(
+            F.floor((F.col("start_sec") - window - PAD_SEC) / BASE_BIN_SEC),
+            F.floor((F.greatest("end_sec", F.col("start_sec") + window) + PAD_SEC) / BASE_BIN_SEC),
+        )).alias("_bin"),
     ).withWatermark("segment_time", delay)
     t, start, end = F.col("timestamp_sec"), F.col("start_sec"), F.col("end_sec")
     reach = F.expr(
@@ -138,7 +146,8 @@ def align_stream(
         f"AND frame_time <= segment_time + INTERVAL {int(window + longest_segment)} SECONDS"
     )
     near = (F.abs(start - t) < window) | ((start <= t) & (t <= end))
-    return f.join(s, (F.col("lecture_id") == F.col("_lecture")) & reach & near).select(
+    same = (F.col("lecture_id") == F.col("_lecture")) & (F.col("bin") == F.col("_bin"))
+    return f.join(s, same & reach & near).select(
         "lecture_id", "frame_index", "id", "text"
     )
 

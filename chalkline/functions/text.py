@@ -116,10 +116,13 @@ def whole_number(c: str | Column) -> Column:
     return F.bround(col(c), 0).cast("bigint").cast("string")
 
 
+def _minutes_seconds(t: Column) -> tuple[Column, Column]:
+    return F.floor(t / 60), F.floor(F.pmod(t, F.lit(60.0)))
+
+
 def clock(c: str | Column) -> Column:
     """``mm:ss``; minutes do not roll over into hours."""
-    minutes, seconds = F.floor(col(c) / 60), F.floor(col(c) % 60)
-    return F.format_string(V.CLOCK, minutes, seconds)
+    return F.format_string(V.CLOCK, *_minutes_seconds(col(c)))
 
 
 def minute_tag(c: str | Column) -> Column:
@@ -127,7 +130,7 @@ def minute_tag(c: str | Column) -> Column:
 
 
 def figure_name(number: Column, timestamp: Column) -> Column:
-    return F.format_string(V.FIGURE_NAME, number, F.floor(timestamp / 60), F.floor(timestamp % 60))
+    return F.format_string(V.FIGURE_NAME, number, *_minutes_seconds(timestamp))
 
 
 def frame_name(frame_idx: Column, timestamp: Column) -> Column:

@@ -67,11 +67,6 @@ VIEWS: dict[str, str] = {
         chr(10), chr(92), 'end{document}', chr(10), '```', chr(10)) AS raw FROM @conversations""",
     "log_lines": """SELECT o_custkey AS build_id, o_orderkey AS line_no,
         CASE WHEN o_orderkey % 7 = 0 THEN concat('! ', o_orderpriority) ELSE o_orderpriority END AS value FROM @orders""",
-    "noted_lectures": """SELECT lecture_id, course, lecture_date,
-        CASE WHEN lecture_id IN (SELECT conv_id FROM @conversations) THEN CAST(NULL AS STRING) ELSE transcript END AS transcript
-        FROM (SELECT doc_id AS lecture_id, source AS course,
-          CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INT) AS STRING) AS lecture_date, text AS transcript
-          FROM @documents) t""",
 }
 
 

@@ -154,6 +154,8 @@ def distance(a: str, b: str) -> str:
 
 
 EXTRA: dict[str, str] = {
+    "noted_lectures": """SELECT lecture_id, course, lecture_date,
+        CASE WHEN lecture_id IN (SELECT lecture_id FROM segments) THEN NULL ELSE transcript END AS transcript FROM lectures""",
     "aligned": """SELECT f.lecture_id, f.frame_index, f.timestamp_sec,
         coalesce(string_agg(s.text, ' ' ORDER BY s.id), '') AS speech, f.raw_text AS ocr_text, f.is_slide, f.image_path
         FROM ocr_frames f LEFT JOIN segments s ON s.lecture_id = f.lecture_id

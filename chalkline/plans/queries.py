@@ -45,7 +45,10 @@ class _Tables:
 
     @property
     def noted_lectures(self) -> DataFrame:
-        return spread(view(*self._at, "noted_lectures"))
+        """Lectures to write notes for: those with segments have no transcript file of their own."""
+        spoken = self.segments.select("lecture_id").distinct().withColumn("_spoken", F.lit(True))
+        known = self.lectures.join(spoken, "lecture_id", "left")
+        return known.withColumn("transcript", F.when(F.col("_spoken").isNull(), F.col("transcript"))).drop("_spoken")
 
     @property
     def aligned(self) -> DataFrame:
@@ -551,9 +554,9 @@ def prompt_table(spark, sf_dir):
 def prompt_table_context(spark, sf_dir):
     """Prompts with context: every lecture asks the index of all lectures of its course."""
     t = _tables(spark, sf_dir)
-    contexts = retrieval.context_text(
-        retrieval.lecture_queries(t.lectures), retrieval.index_lectures(t.sourced)
-    ).withColumnRenamed("query_id", "lecture_id")
+    index = written(retrieval.index_lectures(t.sourced), "index")
+    asked = retrieval.lecture_queries(t.lectures)
+    contexts = retrieval.context_text(asked, index).withColumnRenamed("query_id", "lecture_id")
     aligned = written(t.aligned, "aligned")
     return prompts.prompt_table(t.noted_lectures, aligned, t.figures, contexts, chunk_words=PROMPT_WORDS)
 

@@ -13,6 +13,8 @@ OCR_FRAME = (
     "STRUCT<frame_index: INT, timestamp_sec: DOUBLE, image_path: STRING, raw_text: STRING, "
     "blocks: ARRAY<STRUCT<text: STRING, confidence: DOUBLE>>, is_slide: BOOLEAN>"
 )
+# every line end text files may use, as str.splitlines knows them
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 OCR_FIELDS = ["blocks", "frame_index", "image_path", "is_slide", "raw_text", "timestamp_sec"]
 
 
@@ -80,5 +82,5 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.text(path, wholetext=True)
     return files.select(
         stem("_metadata.file_path").alias("build_id"),
-        F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("line_no", "value"),
+        F.posexplode(F.split("value", LINE_END)).alias("line_no", "value"),
     )

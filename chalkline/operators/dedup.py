@@ -25,6 +25,7 @@ from chalkline.functions.text import (
 )
 from chalkline.functions.windows import word_windows
 from chalkline.operators.concat import ordered_concat
+from chalkline.session import written
 
 
 def _probe_length(size: Column, threshold: float) -> Column:
@@ -133,9 +134,19 @@ def novel_lines(
     threshold: float = V.SIMILARITY_THRESHOLD,
     min_window_words: int = 1,
 ) -> DataFrame:
-    """Lines that no window of the same lecture's transcript repeats."""
+    """Lines that no window of the same lecture's transcript repeats.
+
+    The lines and the transcripts they meet are read several times, so both are written once
+    instead of being joined together again for each reading.
+    """
     on = ["lecture_id"]
-    shown = transcripts.join(lines.select("lecture_id").distinct(), "lecture_id", "left_semi")
+    lines = written(lines, "lines")
+    shown = written(
+        transcripts.select("lecture_id", "transcript").join(
+            lines.select("lecture_id").distinct(), "lecture_id", "left_semi"
+        ),
+        "transcripts",
+    )
     spoken = similar_pairs(
         _line_sets(lines, on, text), _window_sets(shown, min_window_words), _word_counts(shown),
         on, ["start"], threshold,

@@ -9,6 +9,7 @@ from chalkline import fixed_values as V
 from chalkline.functions.text import words
 from chalkline.functions.windows import word_windows
 from chalkline.operators.temporal import nearest_figure, ocr_at
+from chalkline.session import written
 
 _GRAM = 3
 
@@ -46,9 +47,11 @@ def search_passages(
     terms = queries.select("query_id", *on, F.explode(words(F.lower("query"))).alias("term"))
     weights = terms.groupBy("query_id", *on, "term").agg(F.count("*").alias("weight"))
 
-    searched = lectures
+    searched = lectures.select("lecture_id", "transcript")
     if on:
-        searched = lectures.join(queries.select("lecture_id").distinct(), "lecture_id", "left_semi")
+        # read three times below, joined once
+        asked = queries.select("lecture_id").distinct()
+        searched = written(searched.join(asked, "lecture_id", "left_semi"), "searched")
     windows = word_windows(searched, "transcript", size, step, ["lecture_id"])
     postings = windows.select(
         "lecture_id", "start", F.explode(F.array_distinct(words(F.lower("chunk")))).alias("token")

@@ -26,9 +26,9 @@ SELECT conv_id, n_turns, sha256(digest) AS turns_sha256, length(learned)::BIGINT
 FROM whole
 """
 
-_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), w -> w <> '')"
+_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
 _SHINGLES = """list_distinct(CASE WHEN len(w) = 0 THEN []
-        ELSE list_transform(range(1, greatest(len(w) - 4, 1) + 1), i -> array_to_string(w[i:i + 4], ' ')) END)"""
+        ELSE list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')) END)"""
 
 #: Documents and items that share a benchmark item's shingles to 0.8 or more.
 ORACLES["op9_decontamination"] = f"""

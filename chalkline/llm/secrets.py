@@ -33,6 +33,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 IDENTIFIER = re.compile(r"[A-Za-z][A-Za-z0-9_-]{5,}")
 #: Mean log-likelihood ratio per transition (nats) from which a string counts as random.
 THRESHOLD = 0.75
+#: Observations that the distribution of single characters is worth in each state.
+BACKOFF = 10.0
 #: Most documents that labelled samples are taken from.
 SAMPLE_DOCS = 4000
 
@@ -95,8 +97,8 @@ def labelled_samples(docs: DataFrame, most: int = SAMPLE_DOCS, text: str = "text
 def fit(samples: DataFrame) -> np.ndarray:
     """The log-likelihood ratio of every transition, from (label, string): 1 random, 0 ordinary.
 
-    Transition counts are added up in Spark; the driver gets one number per label and transition. With add-one
-    smoothing, a label without samples is a model in which all transitions are alike. Null labels and strings are ignored.
+    Transition counts are added up in Spark; the driver gets one number per label and transition. In the model of a
+    label without samples all transitions are alike. Null labels and strings are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,10 +112,12 @@ def fit(samples: DataFrame) -> np.ndarray:
 
     rows = samples.select("label", "string").where("label IS NOT NULL AND string IS NOT NULL")
     per_task = rows.mapInArrow(run, "label long, a long, b long, n long")
-    counts = np.ones((2, STATES, STATES))
+    counts = np.zeros((2, STATES, STATES))
     for r in per_task.groupBy("label", "a", "b").agg(F.sum("n").alias("n")).collect():
         counts[r.label, r.a, r.b] += r.n
-    logs = np.log(counts / counts.sum(axis=2, keepdims=True))
+    # rare states lean on how often a character occurs at all
+    single = (counts.sum(axis=1) + 1) / (counts.sum(axis=(1, 2)) + STATES)[:, None]
+    logs = np.log((counts + BACKOFF * single[:, None, :]) / (counts.sum(axis=2, keepdims=True) + BACKOFF))
     return logs[1] - logs[0]
 
 

@@ -22,9 +22,9 @@ from chalkline.session import written
 
 SAMPLE_ROWS = 20_000
 CALIBRATION_QUERIES = 200
-BRANCH = 16
-LEAF_ROWS = 64
-RECALL = 0.97
+BRANCH = 8
+LEAF_ROWS = 512
+RECALL = 0.95
 BLOCK_ROWS = 4096
 #: What the order of sums may change in a dot product of unit vectors.
 _SLACK = 1e-9

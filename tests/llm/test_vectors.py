@@ -85,7 +85,7 @@ def test_repeated_keys(spark):
 
 def test_traversal_meets_every_leaf_once(clustered):
     x = V._unit(np.array([v for _, v in clustered]))
-    tree = V.Tree.fit(x)
+    tree = V.Tree.fit(x, 16, 64)
     order = list(tree.traverse(x[0]))
     assert sorted(order) == list(range(tree.leaves)) and tree.leaves > 20
     assert tree.assign(x).max() < tree.leaves

@@ -18,6 +18,8 @@ import numpy as np
 _INNER_SPACE = re.compile(r"\s (?:\s|\Z)")
 #: Longer words are encoded, but not remembered.
 _LONG = 200
+#: Words that are encoded as one text.
+_JOINED = 2000
 
 
 def resolve(name: str) -> str:
@@ -32,7 +34,7 @@ def resolve(name: str) -> str:
 class PieceTable:
     """Remembered pre-tokens with their ids; forgets all when ``bound`` is passed."""
 
-    def __init__(self, name: str, bound: int = 600_000):
+    def __init__(self, name: str, bound: int = 1_000_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -59,9 +61,12 @@ class PieceTable:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, words: list[str]) -> None:
-        """Encode words, set apart by an added token's string, in one call."""
+        """Encode words, thousands to a text, set apart by an added token's string."""
         mark, between = self.split
-        ids = np.array(self.whole(between.join(words)), np.int32)
+        texts = [w[:-1] if w[-1:] == " " else " " + w for w in words]
+        joined = [between.join(texts[at : at + _JOINED]) for at in range(0, len(texts), _JOINED)]
+        found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        ids = np.concatenate([np.array(x, np.int32) for e in found for x in (e.ids, [mark])])[:-1]
         ends = np.append(np.flatnonzero(ids == mark), len(ids))
         sizes = np.diff(ends, prepend=-1) - 1
         n = len(self.code)
@@ -81,6 +86,7 @@ class PieceTable:
         encoded as a whole."""
         if len(self.code) > self.bound:
             self.clear()
+        # words as the dictionary has them: without the space in front, the first one with a space behind
         words: list[list[str] | None] = []
         for text in texts:
             if not text:
@@ -88,12 +94,16 @@ class PieceTable:
             elif not self.separable or _INNER_SPACE.search(text) or any(a in text for a in self.added):
                 words.append(None)
             else:
-                first, *rest = text.split(" ")
-                parts = [" " + w for w in rest]
-                if first:
-                    parts.insert(0, first)
-                words.append(None if max(map(len, parts)) > _LONG else parts)
+                parts = text.split(" ")
+                if parts[0]:
+                    parts[0] += " "
+                else:
+                    del parts[0]
+                words.append(parts)
         new = set().union(*(w for w in words if w)).difference(self.code)
+        if long := {w for w in new if len(w) > _LONG}:
+            words = [w if w is None or long.isdisjoint(w) else None for w in words]
+            new = set().union(*(w for w in words if w)).difference(self.code)
         if new:
             self._learn(list(new))
         get = self.code.__getitem__

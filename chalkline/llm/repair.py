@@ -44,12 +44,14 @@ def compress(
     Each round counts all adjacent pairs and replaces the ``per_round`` most frequent ones that
     occur ``least`` times or more; where chosen pairs overlap, the leftmost is replaced.
     """
-    symbols = ids.astype(np.int64)
+    # a pair is one number; 32 bits hold it while symbols fit 16
+    kind, shift = (np.uint32, 16) if base + rounds * per_round <= 1 << 16 else (np.uint64, 32)
+    symbols = ids.astype(kind)
     rules = np.zeros((0, 2), np.int64)
     for _ in range(rounds):
         if len(symbols) < 2:
             break
-        pairs = (symbols[:-1] << 32) | symbols[1:]
+        pairs = (symbols[:-1] << kind(shift)) | symbols[1:]
         ordered = np.sort(pairs)
         first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
         count = np.diff(first, append=len(ordered))
@@ -58,27 +60,31 @@ def compress(
             break
         often = often[np.argsort(-count[often], kind="stable")[:per_round]]
         chosen = np.sort(ordered[first[often]])
-        # few left symbols head a chosen pair, which settles most positions without a search
-        heads = np.zeros(base + len(rules), bool)
-        heads[chosen >> 32] = True
-        maybe = np.flatnonzero(heads[symbols[:-1]])
-        place = np.minimum(np.searchsorted(chosen, pairs[maybe]), len(chosen) - 1)
-        hit = chosen[place] == pairs[maybe]
-        at, rule = maybe[hit], place[hit]
+        # the chosen pairs as a small table: rows for their left symbols, columns for their right ones
+        left, right = chosen >> kind(shift), chosen & kind((1 << shift) - 1)
+        size = base + len(rules)
+        row, column = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        rows, columns = np.unique(left), np.unique(right)
+        row[rows], column[columns] = np.arange(1, len(rows) + 1), np.arange(1, len(columns) + 1)
+        table = np.full((len(rows) + 1) * (len(columns) + 1), -1, np.int32)
+        table[row[left] * (len(columns) + 1) + column[right]] = np.arange(len(chosen))
+        found = table[row[symbols[:-1]] * (len(columns) + 1) + column[symbols[1:]]]
+        at = np.flatnonzero(found >= 0)
+        rule = found[at]
         # of neighbouring hits, every other one counts
         starts = np.append(True, np.diff(at) != 1)
         run = np.flatnonzero(starts)
         even = (np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))) % 2 == 0
         at, rule = at[even], rule[even]
-        symbols[at] = base + len(rules) + rule
+        symbols[at] = (base + len(rules) + rule).astype(kind)
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols = symbols[keep]
-        rules = np.concatenate([rules, np.stack([chosen >> 32, chosen & 0xFFFFFFFF], 1)])
+        rules = np.concatenate([rules, np.stack([left, right], 1).astype(np.int64)])
     lengths = np.ones(len(rules), np.int64)
     for i, (a, b) in enumerate(rules.tolist()):
         lengths[i] = (lengths[a - base] if a >= base else 1) + (lengths[b - base] if b >= base else 1)
-    return symbols, rules, lengths
+    return symbols.astype(np.int64), rules, lengths
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
@@ -204,7 +210,9 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
             for r in batch.to_pylist():
                 shard = Shard(r["shard"])
                 n = len(shard.sizes)
-                crcs = [zlib.crc32(shard.document(k).astype("<u4").tobytes()) for k in range(n)]
+                # all of them, so the shard is expanded at once
+                ids = shard.ids(0, int(shard.doc_ends[-1])).astype("<u4")
+                crcs = [zlib.crc32(d) for d in np.split(ids, shard.doc_ends[:-1])]
                 columns = [r["doc_ids"], [r["part"]] * n, [r["seq"]] * n, range(n), shard.doc_ends - shard.sizes, shard.sizes, crcs]
                 names = ["doc_id", "part", "seq", "doc_no", "before", "n_tokens", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)

@@ -136,16 +136,16 @@ def change_points(
     )
 
     def compose(batches):
-        def entries_of(key, run):
-            start = run["start"][0]
-            last = None if np.isnan(start) else start
-            for block, first, vs, ls in zip(run["_block"], run["first"], run["vs"], run["ls"]):
-                yield key[0], block, np.nan if last is None else last
+        """What enters each block: one number of state per lecture, carried over batches."""
+        key, last = None, None
+        for batch in batches:
+            found = []
+            for lecture, block, start, first, vs, ls in batch.itertuples(index=False):
+                if lecture != key or key is None:
+                    key, last = lecture, None if np.isnan(start) else start
+                found.append((lecture, block, np.nan if last is None else last))
                 last = first if last is None else apply_summary(list(zip(vs, ls)), last, threshold)
-
-        found = (e for key, run in sorted_runs(batches, ["lecture_id"]) for e in entries_of(key, run))
-        while some := list(islice(found, 8192)):
-            yield pd.DataFrame(some, columns=["lecture_id", "_block", "_enter"])
+            yield pd.DataFrame(found, columns=["lecture_id", "_block", "_enter"])
 
     entries = in_order(summaries, ["lecture_id"], ["_block"]).mapInPandas(
         compose, f"lecture_id {key_type}, _block bigint, _enter double"
@@ -214,59 +214,128 @@ def _frame(parts: list[tuple], names: list[str]) -> pd.DataFrame:
     return pd.DataFrame({n: np.concatenate([p[i] for p in parts]) for i, n in enumerate(names)})
 
 
+def _unit_roots(hists: np.ndarray) -> np.ndarray:
+    """Square roots scaled to unit length: the Bhattacharyya distance is a function of their products. An empty
+    histogram is zero, at distance 1 from all."""
+    roots = np.sqrt(hists)
+    norms = np.sqrt((roots**2).sum(axis=1))
+    return roots / np.where(norms > 0, norms, 1.0)[:, None]
+
+
+def kept_histograms(unit: np.ndarray, threshold: float, last: np.ndarray | None) -> list[int]:
+    """Rows kept of a series entered with ``last`` (None: keep the first row)."""
+    kept, at, n = [], 0, len(unit)
+    if last is None and n:
+        kept, last, at = [0], unit[0], 1
+    while at < n:
+        size, hit = _CHUNK, -1
+        while at < n and hit < 0:
+            far = np.sqrt(np.maximum(0.0, 1.0 - unit[at : at + size] @ last)) > threshold
+            if far.any():
+                hit = at + int(far.argmax())
+            at, size = at + size, size * 4
+        if hit >= 0:
+            kept.append(hit)
+            last, at = unit[hit], hit + 1
+    return kept
+
+
 def histogram_changes(
     frames: DataFrame, threshold: float, hist: str = "hist", order: str = "ord", block_rows: int = 4096
 ) -> DataFrame:
-    """Kept rows when the distance is that of two histograms (Bhattacharyya).
+    """Kept rows when the distance is that of two histograms (Bhattacharyya, 1 if one is empty).
 
-    Without an order on histograms a block has no short summary. Each block therefore starts from
-    a guess of what enters it — at first nothing — and is run again only if the previous block
-    turns out to leave something else. The runs settle as soon as one row of a block is kept for
-    either guess, mostly at once; the result is exact when no block's entry changes any more.
+    Without an order on histograms a block has no short summary. Each block first runs side by side with all others from
+    a guess of what enters it: nothing, so that its first row is kept. Then the blocks whose guess
+    was wrong run once more, each with what its predecessor left. Where that still changes what a block
+    leaves, one pass follows the lecture from there on in order, with one histogram of state, and passes over every
+    block that is entered with what it already ran with. Three jobs whatever the series; the result is exact.
     """
     key_type = frames.schema["lecture_id"].dataType.simpleString()
     order_type = frames.schema[order].dataType.simpleString()
+    block_key = ["lecture_id", "_block"]
     blocked = frames.select(
         "lecture_id", order, F.col(hist).cast("array<double>").alias("hist"),
         F.floor(F.col(order) / block_rows).alias("_block"),
     )
     out = f"lecture_id {key_type}, _block bigint, kept array<{order_type}>, leave array<double>, enter array<double>"
 
+    def block(key, orders, hists, enter):
+        """A block's row for a given entering histogram."""
+        last = None if enter is None else _unit_roots(np.asarray(enter, dtype=float)[None, :])[0]
+        kept = kept_histograms(_unit_roots(hists), threshold, last)
+        leave = hists[kept[-1]].tolist() if kept else enter
+        return *key, [orders[i] for i in kept], leave, enter
+
+    def frame(rows):
+        return pd.DataFrame(rows, columns=["lecture_id", "_block", "kept", "leave", "enter"])
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
-        hists = np.sqrt(np.stack(rows["hist"].to_numpy()))
-        norm = np.sqrt((hists**2).sum(axis=1))
-        unit = hists / np.where(norm > 0, norm, 1.0)[:, None]
         enter = rows["enter"].iloc[0]
-        kept, last = [], None
-        if enter is not None:
-            last = np.sqrt(np.asarray(enter, dtype=float))
-            last = last / max(np.sqrt((last**2).sum()), 1e-300)
-        for i in range(len(rows)):
-            if last is None or np.sqrt(max(0.0, 1.0 - float(unit[i] @ last))) > threshold:
-                kept.append(i)
-                last = unit[i]
-        leave = rows["hist"].iloc[kept[-1]] if kept else enter
-        return pd.DataFrame(
-            {"lecture_id": [rows["lecture_id"].iloc[0]], "_block": [rows["_block"].iloc[0]],
-             "kept": [rows[order].iloc[kept].tolist()], "leave": [list(leave)],
-             "enter": [None if enter is None else list(enter)]}
-        )
+        key = rows["lecture_id"].iloc[0], rows["_block"].iloc[0]
+        hists = np.stack(rows["hist"].to_numpy())
+        return frame([block(key, rows[order].tolist(), hists, None if enter is None else list(enter))])
 
     def run_blocks(df: DataFrame) -> DataFrame:
-        return df.groupBy("lecture_id", "_block").applyInPandas(run, out)
+        return df.groupBy(*block_key).applyInPandas(run, out)
 
-    nothing = F.lit(None).cast("array<double>")
-    done = written(run_blocks(blocked.withColumn("enter", nothing)), "changes")
     previous = Window.partitionBy("lecture_id").orderBy("_block")
-    while True:
-        wanted = done.withColumn("_want", F.lag("leave").over(previous))
-        stale = wanted.where(~F.col("enter").eqNullSafe(F.col("_want")))
-        if stale.isEmpty():
-            break
-        again = blocked.join(
-            stale.select("lecture_id", "_block", F.col("_want").alias("enter")), ["lecture_id", "_block"]
-        )
-        current = wanted.where(F.col("enter").eqNullSafe(F.col("_want"))).drop("_want")
-        done = written(current.unionByName(run_blocks(again)), "changes")
-    return done.select("lecture_id", F.explode("kept").alias(order))
+
+    def wanted(done: DataFrame) -> DataFrame:
+        return done.withColumn("_want", F.lag("leave").over(previous))
+
+    stale = ~F.col("enter").eqNullSafe(F.col("_want"))
+    guessed = written(run_blocks(blocked.withColumn("enter", F.lit(None).cast("array<double>"))), "changes")
+    first = wanted(guessed)
+    again = blocked.join(first.where(stale).select(*block_key, F.col("_want").alias("enter")), block_key)
+    second = written(first.where(~stale).select(*guessed.columns).unionByName(run_blocks(again)), "changes")
+
+    # what is left: lectures from their first stale block on
+    late = wanted(second).where(stale).groupBy("lecture_id").agg(F.min("_block").alias("_from"))
+    rest = second.join(late, "lecture_id", "left")
+    settled = rest.where(F.col("_from").isNull() | (F.col("_block") < F.col("_from")))
+    before = wanted(second).join(late, "lecture_id").where(F.col("_block") == F.col("_from"))
+    states = rest.where(F.col("_block") >= F.col("_from")).select(*guessed.columns).join(
+        before.select(*block_key, "_want"), block_key, "left"
+    )
+    # a block's own row comes before its histograms, which are read only if its entry has changed
+    none = F.lit(None)
+    heads = states.select(
+        *block_key, F.lit(-(2**63)).alias("_at"), none.cast(order_type).alias(order), none.cast("array<double>").alias("hist"),
+        "kept", "leave", "enter", "_want",
+    )
+    bodies = blocked.join(late, "lecture_id").where(F.col("_block") >= F.col("_from")).select(
+        *block_key, F.col(order).cast("bigint").alias("_at"), order, "hist", none.cast(f"array<{order_type}>").alias("kept"),
+        none.cast("array<double>").alias("leave"), none.cast("array<double>").alias("enter"), none.cast("array<double>").alias("_want"),
+    )
+
+    def follow(batches):
+        lecture = last = None
+        skipped = True
+        for batch in batches:
+            found = []
+            for row in batch.itertuples(index=False):
+                key, _, _, place, body, kept, leave, enter, start = row
+                if kept is not None:
+                    if lecture is None or key != lecture:
+                        lecture, last = key, start
+                    skipped = _same(enter, last)
+                    if skipped:
+                        found += [(key, k) for k in kept]
+                        last = leave
+                elif not skipped:
+                    unit, state = _unit_roots(np.stack([body, body if last is None else last]))
+                    if last is None or np.sqrt(max(0.0, 1.0 - float(unit @ state))) > threshold:
+                        found.append((key, place))
+                        last = body
+            yield pd.DataFrame(found, columns=["lecture_id", order])
+
+    followed = in_order(heads.unionByName(bodies), ["lecture_id"], ["_block", "_at"]).mapInPandas(
+        follow, f"lecture_id {key_type}, {order} {order_type}"
+    )
+    return settled.select("lecture_id", F.explode("kept").alias(order)).unionByName(followed)
+
+
+def _same(a, b) -> bool:
+    return (a is None) == (b is None) and (a is None or np.array_equal(a, b))

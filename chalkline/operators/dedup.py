@@ -93,13 +93,9 @@ def similar_pairs(
     )
 
 
-def _word_counts(transcripts: DataFrame) -> DataFrame:
-    """In how many transcripts each word stands, combined before the shuffle."""
-    return (
-        transcripts.select(F.explode(word_set("transcript")).alias("_token"))
-        .groupBy("_token")
-        .agg(F.count("*").alias("_n"))
-    )
+def _word_counts(windows: DataFrame) -> DataFrame:
+    """In how many windows each word stands, combined before the shuffle."""
+    return windows.select(F.explode("_wset").alias("_token")).groupBy("_token").agg(F.count("*").alias("_n"))
 
 
 def spoken_windows(transcripts: DataFrame, min_words: int = 1) -> DataFrame:
@@ -115,16 +111,23 @@ def _window_sets(transcripts: DataFrame, min_words: int) -> DataFrame:
     return spoken_windows(transcripts, min_words).select("lecture_id", "start", word_set("chunk").alias("_wset"))
 
 
+def _compared(lines: DataFrame, transcripts: DataFrame, min_words: int) -> DataFrame:
+    """The window sets of the lectures that have lines, written once: they are read several times, and hold no text."""
+    shown = transcripts.select("lecture_id", "transcript").join(
+        lines.select("lecture_id").distinct(), "lecture_id", "left_semi"
+    )
+    return written(_window_sets(shown, min_words), "window-sets")
+
+
 def duplicate_pairs(
     lines: DataFrame, transcripts: DataFrame, threshold: float = V.SIMILARITY_THRESHOLD, min_window_words: int = 1
 ) -> DataFrame:
-    """Every (line_id, lecture_id, start) above the threshold, lines against all lectures."""
-    pairs = similar_pairs(
-        _line_sets(lines, [], "line"), _window_sets(transcripts, min_window_words), _word_counts(transcripts),
-        [], ["lecture_id", "start"], threshold,
-    )
-    named = lines.select("line_id", _set_id("line").alias("_lid"))
-    return pairs.join(named, "_lid").select("line_id", "lecture_id", "start", "similarity")
+    """Every (lecture_id, line_id, start) above the threshold: lines against the windows of their own lecture."""
+    on = ["lecture_id"]
+    windows = _compared(lines, transcripts, min_window_words)
+    pairs = similar_pairs(_line_sets(lines, on, "line"), windows, _word_counts(windows), on, ["start"], threshold)
+    named = lines.select("lecture_id", "line_id", _set_id("line").alias("_lid"))
+    return pairs.join(named, ["lecture_id", "_lid"]).select("lecture_id", "line_id", "start", "similarity")
 
 
 def novel_lines(
@@ -136,20 +139,13 @@ def novel_lines(
 ) -> DataFrame:
     """Lines that no window of the same lecture's transcript repeats.
 
-    The lines and the transcripts they meet are read several times, so both are written once
-    instead of being joined together again for each reading.
+    The lines and the word sets of the windows they meet are read several times, so both are written once.
     """
     on = ["lecture_id"]
     lines = written(lines, "lines")
-    shown = written(
-        transcripts.select("lecture_id", "transcript").join(
-            lines.select("lecture_id").distinct(), "lecture_id", "left_semi"
-        ),
-        "transcripts",
-    )
+    windows = _compared(lines, transcripts, min_window_words)
     spoken = similar_pairs(
-        _line_sets(lines, on, text), _window_sets(shown, min_window_words), _word_counts(shown),
-        on, ["start"], threshold,
+        _line_sets(lines, on, text), windows, _word_counts(windows), on, ["start"], threshold
     ).select("lecture_id", "_lid")
     tagged = lines.withColumn("_lid", _set_id(text))
     return tagged.join(spoken, ["lecture_id", "_lid"], "left_anti").drop("_lid")

@@ -68,26 +68,24 @@ def frames_present(frames: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def histogram(values: DataFrame, bins: int = V.HISTOGRAM_BINS, upper: int = 256) -> DataFrame:
-    """Dense ``bins``-bin histogram of ``v`` over [0, upper) per ``id``."""
-    counted = (
-        values.where((F.col("v") >= 0) & (F.col("v") < upper))
-        .groupBy("id", F.floor(F.col("v") * bins / upper).cast("int").alias("bin"))
-        .agg(F.count("*").alias("n"))
-    )
-    per_id = counted.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_m"))
+    """Dense ``bins``-bin histogram of ``v`` over [0, upper) per ``id``; all zero for an id without such values."""
+    place = F.when((F.col("v") >= 0) & (F.col("v") < upper), F.floor(F.col("v") * bins / upper).cast("int"))
+    counted = values.groupBy("id", place.alias("bin")).agg(F.count("*").alias("n"))
+    entry = F.when(F.col("bin").isNotNull(), F.struct("bin", "n"))
+    per_id = counted.groupBy("id").agg(F.map_from_entries(F.collect_list(entry)).alias("_m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.col("_m")[b], F.lit(0)))
     return per_id.select("id", dense.cast("array<double>").alias("hist"))
 
 
 def bhattacharyya(a: Column, b: Column) -> Column:
-    """Histogram distance in [0, 1]; independent of the scale of either histogram."""
+    """Histogram distance in [0, 1]; independent of the scale of either histogram. 1 if one is empty."""
 
     def total(x: Column) -> Column:
         return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)
 
     shared = total(F.zip_with(a, b, lambda x, y: F.sqrt(x * y)))
     mass = F.sqrt(total(a) * total(b))
-    return F.sqrt(F.greatest(F.lit(0.0), 1.0 - F.when(mass > 0, shared / mass).otherwise(F.lit(1.0))))
+    return F.sqrt(F.greatest(F.lit(0.0), 1.0 - F.when(mass > 0, shared / mass).otherwise(F.lit(0.0))))
 
 
 def density_score(masks: DataFrame) -> DataFrame:

@@ -2,79 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chalkline import fixed_values as V
 from chalkline.functions.text import words
-from chalkline.functions.windows import word_windows
 from chalkline.operators.temporal import nearest_figure, ocr_at
-from chalkline.session import written
-
-_GRAM = 3
-
-
-def containing_tokens(tokens: DataFrame, terms: DataFrame) -> DataFrame:
-    """(token, term) for every distinct token that contains the distinct term as a substring.
-
-    Terms are filed under their first one to three characters and tokens under all their runs of
-    one to three characters, so the two meet on equal keys; containment is then checked.
-    """
-    anchors = terms.select("term", F.substring("term", 1, _GRAM).alias("_gram"))
-    runs = [F.regexp_extract_all("token", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, _GRAM + 1)]
-    grams = tokens.select("token", F.explode(F.array_distinct(F.concat(*runs))).alias("_gram"))
-    return grams.join(anchors, "_gram").where(F.contains("token", "term")).select("token", "term")
 
 
 def search_passages(
     lectures: DataFrame,
     queries: DataFrame,
-    on: list[str] | None = None,
     k: int = V.SEARCH_TOP,
     size: int = V.SEARCH_WINDOW,
     step: int = V.SEARCH_STEP,
 ) -> DataFrame:
-    """The k best windows of each lecture per query, by the number of query words they contain.
+    """The k best windows of a query's lecture, by the number of query words they contain.
 
     A query word counts as often as the query repeats it, and as soon as it is a substring of the
-    lower-cased window. ``queries`` is (query_id, query); with ``on=["lecture_id"]`` each query
-    searches its own lecture only, otherwise all of them.
+    lower-cased window. ``queries`` is (query_id, lecture_id, query).
 
-    Words hold no whitespace, so a window contains a word exactly if one of its tokens does:
-    tokens are matched with words once per distinct token, and windows only by equality.
+    A query meets its lecture in one join; windows are scored and ranked inside that row, and only the text of the
+    winners leaves it. Nothing is shuffled afterwards.
     """
-    on = on or []
-    terms = queries.select("query_id", *on, F.explode(words(F.lower("query"))).alias("term"))
-    weights = terms.groupBy("query_id", *on, "term").agg(F.count("*").alias("weight"))
-
-    searched = lectures.select("lecture_id", "transcript")
-    if on:
-        # read three times below, joined once
-        asked = queries.select("lecture_id").distinct()
-        searched = written(searched.join(asked, "lecture_id", "left_semi"), "searched")
-    windows = word_windows(searched, "transcript", size, step, ["lecture_id"])
-    postings = windows.select(
-        "lecture_id", "start", F.explode(F.array_distinct(words(F.lower("chunk")))).alias("token")
-    )
-    vocabulary = searched.select(F.explode(F.array_distinct(words(F.lower("transcript")))).alias("token")).distinct()
-    matches = containing_tokens(vocabulary, terms.select("term").distinct())
-    # both groups are small by nature: the terms inside one token, the tokens of one window
-    per_token = matches.groupBy("token").agg(F.collect_list("term").alias("_terms"))
-    held = (
-        postings.join(per_token, "token")
-        .groupBy("lecture_id", "start")
-        .agg(F.array_distinct(F.flatten(F.collect_list("_terms"))).alias("_terms"))
-        .select("lecture_id", "start", F.explode("_terms").alias("term"))
-    )
-    scored = held.join(weights, [*on, "term"]).groupBy("lecture_id", "start", "query_id").agg(
-        F.sum("weight").alias("score")
-    )
-    best = Window.partitionBy("query_id", "lecture_id").orderBy(F.desc("score"), "start")
-    top = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    position = F.bround(F.lit(100.0) * F.col("start") / F.col("n_words"), 0).cast("int")
-    return top.join(windows, ["lecture_id", "start"]).select(
-        "query_id", "lecture_id", "rank", "start", "score",
-        position.alias("position_pct"), F.col("chunk").alias("passage"),
+    asked = queries.select("query_id", "lecture_id", words(F.lower("query")).alias("_terms"))
+    met = lectures.select("lecture_id", words("transcript").alias("_words")).join(asked, "lecture_id")
+    n = F.size("_words")
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+
+    def text(start: Column) -> Column:
+        return F.array_join(F.slice(F.col("_words"), start + 1, size), " ")
+
+    def score(window: Column) -> Column:
+        return F.size(F.filter(F.col("_terms"), lambda term: F.contains(window, term))).cast("bigint")
+
+    lowered = F.transform(starts, lambda start: F.lower(text(start)))
+    scored = F.transform(lowered, lambda window, i: F.struct((-score(window)).alias("score"), (i * step).alias("start")))
+    best = F.slice(F.sort_array(F.filter(scored, lambda w: w["score"] < 0)), 1, k)
+    ranked = met.select("query_id", "lecture_id", "_words", F.posexplode(best).alias("_pos", "_w"))
+    start = F.col("_w.start")
+    return ranked.select(
+        "query_id", "lecture_id", (F.col("_pos") + 1).alias("rank"), start.alias("start"), (-F.col("_w.score")).alias("score"),
+        F.bround(F.lit(100.0) * start / n, 0).cast("int").alias("position_pct"), text(start).alias("passage"),
     )
 
 
@@ -93,7 +62,7 @@ def search_answers(lookups: DataFrame, lectures: DataFrame) -> DataFrame:
     """Text answer per search call; equal questions to one lecture are searched once."""
     asked = lookups.select("lecture_id", F.coalesce("query", F.lit("")).alias("query")).distinct()
     asked = asked.withColumn("query_id", F.struct("lecture_id", "query"))
-    blocks = passage_block(search_passages(lectures, asked, on=["lecture_id"]))
+    blocks = passage_block(search_passages(lectures, asked))
     answers = blocks.select("query_id.lecture_id", "query_id.query", "result")
     return (
         lookups.withColumn("_q", F.coalesce("query", F.lit("")))
@@ -104,20 +73,20 @@ def search_answers(lookups: DataFrame, lectures: DataFrame) -> DataFrame:
 
 
 def dispatch(lookups: DataFrame, lectures: DataFrame, aligned: DataFrame, figures: DataFrame) -> DataFrame:
-    """(call_id, result) of every lookup call, each kind of call answered as a set."""
-    known = ["search_transcript", "get_ocr_at_timestamp", "get_figure_at_timestamp"]
-
-    def calls(tool: str) -> DataFrame:
-        return lookups.where(F.col("tool") == tool)
+    """(call_id, tool, result): one row per lookup call, each kind of call answered as a set.
 
+    A call of an unknown kind, or of none, is told so.
+    """
     answers = [
-        search_answers(calls(known[0]), lectures),
-        ocr_at(calls(known[1]), aligned),
-        nearest_figure(calls(known[2]), figures),
-        lookups.where(~F.col("tool").isin(known)).withColumn(
-            "result", F.format_string(V.UNKNOWN_TOOL, "tool")
-        ),
+        search_answers(lookups.where(F.col("tool") == "search_transcript"), lectures),
+        ocr_at(lookups.where(F.col("tool") == "get_ocr_at_timestamp"), aligned),
+        nearest_figure(lookups.where(F.col("tool") == "get_figure_at_timestamp"), figures),
     ]
+    known = F.coalesce(
+        F.col("tool").isin("search_transcript", "get_ocr_at_timestamp", "get_figure_at_timestamp"), F.lit(False)
+    )
+    shown = F.coalesce("tool", F.lit("None"))
+    answers.append(lookups.where(~known).withColumn("result", F.format_string(V.UNKNOWN_TOOL, shown)))
     out = answers[0].select("call_id", "tool", "result")
     for answer in answers[1:]:
         out = out.unionByName(answer.select("call_id", "tool", "result"))

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from chalkline import fixed_values as V
 from chalkline.functions.text import collection_name, lecture_day, stem_date, word_prefix
@@ -13,9 +14,8 @@ from chalkline.functions.vectors import Embedding, hashed_embedding
 from chalkline.functions.windows import window_step, word_windows
 from chalkline.operators.concat import ordered_concat
 
-BROADCAST_QUERIES = 2048
-QUERY_BLOCK = 8192
-INDEX_BLOCK = 65536
+QUERY_BLOCK_BYTES = 8 << 20
+INDEX_BLOCK_BYTES = 32 << 20
 _SLICE = 256
 
 
@@ -45,10 +45,15 @@ def index_chunks(
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The row with the greatest ``order`` per key, combined before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    latest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
-    return latest.select(*keys, "_row.*").select(*df.columns)
+    """The row with the greatest ``order`` per key; of rows with an equal one, that with the greatest hash.
+
+    The rank is limited before the shuffle, so of a key's copies one per task travels.
+    """
+    columns = df.columns
+    best = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order), F.desc("_tie"))
+    simple = [c for c in columns if not isinstance(df.schema[c].dataType, MapType)]
+    ranked = df.withColumn("_tie", F.xxhash64(*simple)).withColumn("_rank", F.row_number().over(best))
+    return ranked.where(F.col("_rank") == 1).select(*columns)
 
 
 def upsert(base: DataFrame, batch: DataFrame, order: list[str], replace: bool = False) -> DataFrame:
@@ -102,6 +107,12 @@ def collection_counts(index: DataFrame) -> DataFrame:
     return index.groupBy("collection").agg(F.count("*").alias("chunks"))
 
 
+def indexed_courses(courses: DataFrame, index: DataFrame) -> DataFrame:
+    """The rows of ``courses`` (course, ...) whose collection has at least one chunk."""
+    held = index.select(F.col("collection").alias("_held"))
+    return courses.join(held, collection_name("course") == F.col("_held"), "left_semi")
+
+
 # --- nearest chunks -------------------------------------------------------------------
 
 def _nearest(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -137,14 +148,15 @@ def vector_topk(queries: DataFrame, index: DataFrame, k: int = V.RETRIEVAL_TOP)
     """(query_id, collection, id, distance, rank) of the k nearest chunks in a query's collection.
 
     ``queries`` is (query_id, collection, embedding) and may carry ``before_day``, which leaves
-    only chunks of earlier days; ``index`` is (collection, id, embedding[, lecture_day]).
+    only chunks of earlier days and needs ``lecture_day`` on the index; ``index`` is (collection, id, embedding[, lecture_day]).
 
-    Few queries (counted first) travel to the index, which is then read in place and not
-    shuffled. Many queries meet it block by block: both sides of a collection are cut into blocks
-    of bounded size, so that a hot collection becomes many equal pieces of work. In either case a
-    block gives at most k rows per query; pairs are never rows.
+    Both sides of a collection are cut into blocks of bounded bytes and every pair of blocks is one piece
+    of work, so a hot collection becomes many equal pieces. A piece gives at most k rows per query; pairs are
+    never rows.
     """
-    dated = "before_day" in queries.columns and "lecture_day" in index.columns
+    dated = "before_day" in queries.columns
+    if dated and "lecture_day" not in index.columns:
+        raise ValueError("queries have before_day, but the index has no lecture_day")
     asked = queries.select(
         "query_id", "collection", "embedding", *([F.unix_date("before_day").alias("before")] if dated else [])
     )
@@ -152,50 +164,36 @@ def vector_topk(queries: DataFrame, index: DataFrame, k: int = V.RETRIEVAL_TOP)
     types = {f.name: f.dataType.simpleString() for f in [*asked.schema, *rows.schema]}
     out = f"query_id {types['query_id']}, collection {types['collection']}, id {types['id']}, distance double"
 
-    head = asked.limit(BROADCAST_QUERIES + 1).toPandas()
-    if len(head) <= BROADCAST_QUERIES:
-        by_collection = {c: g for c, g in head.groupby("collection", sort=False)}
-        shared = index.sparkSession.sparkContext.broadcast(by_collection)
-
-        def scan(batches):
-            for batch in batches:
-                for collection, part in batch.groupby("collection", sort=False):
-                    wanted = shared.value.get(collection)
-                    if wanted is not None:
-                        yield _nearest(wanted, part, k).assign(collection=collection)[
-                            ["query_id", "collection", "id", "distance"]
-                        ]
-
-        near = rows.mapInPandas(scan, out)
-    else:
-        q_blocks = asked.groupBy("collection").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("_nq"))
-        i_blocks = rows.groupBy("collection").agg(F.ceil(F.count("*") / INDEX_BLOCK).alias("_ni"))
-        blocks = q_blocks.join(i_blocks, "collection")
-
-        def others(n: str) -> Column:
-            return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-
-        asked = asked.join(blocks, "collection").withColumn(
-            "_q", F.pmod(F.xxhash64("query_id"), F.col("_nq"))
-        ).withColumn("_i", others("_ni")).drop("_nq", "_ni")
-        rows = rows.join(blocks, "collection").withColumn(
-            "_i", F.pmod(F.xxhash64("id"), F.col("_ni"))
-        ).withColumn("_q", others("_nq")).drop("_nq", "_ni")
-
-        def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-            if q.empty or x.empty:
-                return pd.DataFrame({"query_id": [], "collection": [], "id": [], "distance": []})
-            return _nearest(q, x, k).assign(collection=q["collection"].iloc[0])[
-                ["query_id", "collection", "id", "distance"]
-            ]
-
-        # renamed afresh: both sides may come from one table
-        asked, rows = asked.toDF(*asked.columns), rows.toDF(*rows.columns)
-        near = (
-            asked.groupBy("collection", "_q", "_i")
-            .cogroup(rows.groupBy("collection", "_q", "_i"))
-            .applyInPandas(meet, out)
-        )
+    def blocks_of(df: DataFrame, block_bytes: int, name: str) -> DataFrame:
+        size = F.sum(8 * F.size("embedding") + 64)
+        return df.groupBy("collection").agg(F.greatest(F.ceil(size / block_bytes), F.lit(1)).alias(name))
+
+    grid = blocks_of(asked, QUERY_BLOCK_BYTES, "_nq").join(blocks_of(rows, INDEX_BLOCK_BYTES, "_ni"), "collection")
+
+    def others(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+
+    asked = asked.join(grid, "collection").withColumn(
+        "_q", F.pmod(F.xxhash64("query_id"), F.col("_nq"))
+    ).withColumn("_i", others("_ni")).drop("_nq", "_ni")
+    rows = rows.join(grid, "collection").withColumn(
+        "_i", F.pmod(F.xxhash64("id"), F.col("_ni"))
+    ).withColumn("_q", others("_nq")).drop("_nq", "_ni")
+
+    def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or x.empty:
+            return pd.DataFrame({"query_id": [], "collection": [], "id": [], "distance": []})
+        return _nearest(q, x, k).assign(collection=q["collection"].iloc[0])[
+            ["query_id", "collection", "id", "distance"]
+        ]
+
+    # renamed afresh: both sides may come from one table
+    asked, rows = asked.toDF(*asked.columns), rows.toDF(*rows.columns)
+    near = (
+        asked.groupBy("collection", "_q", "_i")
+        .cogroup(rows.groupBy("collection", "_q", "_i"))
+        .applyInPandas(meet, out)
+    )
     best = Window.partitionBy("query_id").orderBy("distance", "id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

@@ -143,37 +143,36 @@ def first_context(candidates: DataFrame, aligned: DataFrame, window: float = V.A
 
 def ocr_at(lookups: DataFrame, aligned: DataFrame) -> DataFrame:
     """Text answer per lookup: OCR of the aligned rows within its window (inclusive), with clock
-    labels; one message if no row is near and another if the near rows have no text."""
-    t = F.col("timestamp_seconds")
+    labels; one message if no row is near and another if the near rows have no text. A call
+    without a time asks for second 0, one without a window for the default one."""
+    t = F.coalesce("timestamp_seconds", F.lit(0.0))
     window = F.coalesce("window_seconds", F.lit(float(V.LOOKUP_WINDOW_SEC)))
-    asked = lookups.select("lecture_id", t, window.alias("_window")).distinct()
+    asking = lookups.withColumn("_at", t).withColumn("_window", window)
+    key = ["lecture_id", "_at", "_window"]
     pairs = band_pairs(
         aligned.select("lecture_id", "frame_index", "timestamp_sec", "ocr_text"),
-        asked, ["lecture_id"], "timestamp_sec",
-        t - F.col("_window"), t + F.col("_window"),
-        F.abs(F.col("timestamp_sec") - t) <= F.col("_window"),
+        asking.select(*key).distinct(), ["lecture_id"], "timestamp_sec",
+        F.col("_at") - F.col("_window"), F.col("_at") + F.col("_window"),
+        F.abs(F.col("timestamp_sec") - F.col("_at")) <= F.col("_window"),
     )
     text = strip("ocr_text")
     line = F.when(text != "", F.format_string(V.OCR_LINE, clock("timestamp_sec"), text))
-    found = ordered_concat(
-        pairs.withColumn("_line", line),
-        ["lecture_id", "timestamp_seconds", "_window"], ["timestamp_sec", "frame_index"], "_line", "\n",
-        F.floor(F.col("timestamp_sec") / 600), "_lines",
-    )
-    near = pairs.groupBy("lecture_id", "timestamp_seconds", "_window").agg(F.count("*").alias("_near"))
-    answers = near.join(found, ["lecture_id", "timestamp_seconds", "_window"], "left")
+    # rows without text count as near and add no line, so one aggregate answers both questions
+    answers = ordered_concat(
+        pairs.withColumn("_line", line), key, ["timestamp_sec", "frame_index"], "_line", "\n",
+        F.floor(F.col("timestamp_sec") / 600), "_lines", keep_empty=True,
+    ).withColumn("_near", F.lit(True))
     shown_window = F.coalesce(F.col("window_seconds").cast("string"), F.lit(str(V.LOOKUP_WINDOW_SEC)))
-    shown_time = t.cast("string")
+    shown_time = F.coalesce(F.col("timestamp_seconds").cast("string"), F.lit("0"))
     return (
-        lookups.withColumn("_window", window)
-        .join(answers, ["lecture_id", "timestamp_seconds", "_window"], "left")
+        asking.join(answers, key, "left")
         .withColumn(
             "result",
             F.when(F.col("_near").isNull(), F.format_string(V.NO_OCR_NEAR, shown_window, shown_time))
-            .when(F.col("_lines").isNull(), F.format_string(V.NO_OCR_TEXT, shown_time))
+            .when(F.col("_lines") == "", F.format_string(V.NO_OCR_TEXT, shown_time))
             .otherwise(F.col("_lines")),
         )
-        .drop("_window", "_near", "_lines")
+        .drop("_at", "_window", "_near", "_lines")
     )
 
 
@@ -220,42 +219,46 @@ def neighbours(probes: DataFrame, targets: DataFrame, bin_sec: float = 600.0) ->
 
 
 def nearest_figure(lookups: DataFrame, figures: DataFrame) -> DataFrame:
-    """Text answer per lookup: the figure nearest in time, the first in list order on a tie."""
+    """Text answer per lookup: the figure nearest in time, the first in list order on a tie. A call
+    without a time asks for second 0."""
+    asking = lookups.withColumn("_at", F.coalesce("timestamp_seconds", F.lit(0.0)))
     targets = _first_per_time(figures, ["timestamp_sec", "ord", "latex_path", "caption"], ["ord"]).select(
         "lecture_id", F.col("timestamp_sec").alias("at"), F.col("_first").alias("target")
     )
-    probes = lookups.select("lecture_id", F.col("timestamp_seconds").alias("at")).distinct()
+    probes = asking.select("lecture_id", F.col("_at").alias("at")).distinct()
     near = neighbours(probes, targets)
     t = F.col("at")
     d_prev, d_next = F.abs(F.col("prev.timestamp_sec") - t), F.abs(F.col("next.timestamp_sec") - t)
     use_prev = F.col("next").isNull() | (d_prev < d_next) | ((d_prev == d_next) & (F.col("prev.ord") < F.col("next.ord")))
     best = near.select(
-        "lecture_id", F.col("at").alias("timestamp_seconds"),
+        "lecture_id", F.col("at").alias("_at"),
         F.when(F.col("prev").isNotNull() & use_prev, F.col("prev")).otherwise(F.col("next")).alias("_fig"),
     )
     fig_time = F.col("_fig.timestamp_sec")
     text = F.format_string(
-        V.NEAREST_FIGURE, whole_number(F.abs(fig_time - F.col("timestamp_seconds"))),
+        V.NEAREST_FIGURE, whole_number(F.abs(fig_time - F.col("_at"))),
         F.col("_fig.latex_path"), F.col("_fig.caption"), one_decimal(fig_time),
     )
     return (
-        lookups.join(best, ["lecture_id", "timestamp_seconds"], "left")
+        asking.join(best, ["lecture_id", "_at"], "left")
         .withColumn("result", F.when(F.col("_fig").isNull(), V.NO_FIGURES).otherwise(text))
-        .drop("_fig")
+        .drop("_fig", "_at")
     )
 
 
-def stride_sample(frames: DataFrame, fps: float, interval: float = V.FRAME_INTERVAL_SEC) -> DataFrame:
+def stride_sample(frames: DataFrame, fps: str | float = "fps", interval: float = V.FRAME_INTERVAL_SEC) -> DataFrame:
     """Every ``max(1, int(fps · interval))``-th frame with its time.
 
-    A lecture's sample ends before the first sampled frame that is not ``readable``.
+    ``fps`` is a column, as recordings differ, or one number for all. A lecture's sample ends before the first sampled
+    frame that is not ``readable``.
     """
-    step = max(1, int(fps * interval))
-    hits = frames.where(F.col("frame_idx") % step == 0)
+    rate = F.col(fps).cast("double") if isinstance(fps, str) else F.lit(float(fps))
+    step = F.greatest(F.lit(1).cast("bigint"), (rate * interval).cast("bigint"))
+    hits = frames.withColumn("_rate", rate).where(F.col("frame_idx") % step == 0)
     broken = hits.where(~F.col("readable")).groupBy("lecture_id").agg(F.min("frame_idx").alias("_stop"))
     return (
         hits.join(broken, "lecture_id", "left")
         .where(F.col("_stop").isNull() | (F.col("frame_idx") < F.col("_stop")))
-        .drop("_stop", "readable")
-        .withColumn("timestamp_sec", F.col("frame_idx") / F.lit(float(fps)))
+        .withColumn("timestamp_sec", F.col("frame_idx") / F.col("_rate"))
+        .drop("_stop", "_rate", "readable")
     )

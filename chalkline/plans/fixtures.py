@@ -16,14 +16,19 @@ VIEWS: dict[str, str] = {
         lang AS language, text AS transcript FROM @documents""",
     "segments": """SELECT conv_id AS lecture_id, CAST(turn AS INT) AS id, CAST(turn * 20 AS DOUBLE) AS start_sec,
         CAST(turn * 20 + 18 AS DOUBLE) AS end_sec, text FROM @conversations""",
+    "untranscribed": """SELECT DISTINCT -1 - conv_id AS lecture_id, 'Rebuilt' AS course, '2024-02-02' AS lecture_date,
+        CAST(NULL AS STRING) AS transcript FROM @conversations WHERE conv_id % 2 = 1""",
+    "long_segments": """SELECT conv_id AS lecture_id, CAST(turn AS INT) AS id, CAST(turn * 20 AS DOUBLE) AS start_sec,
+        CAST(CASE WHEN turn = 1 AND conv_id % 2 = 0 THEN 9999 ELSE turn * 20 + 18 END AS DOUBLE) AS end_sec, text
+        FROM @conversations WHERE conv_id % 5 > 0""",
     "ocr_frames": """SELECT conv_id AS lecture_id, CAST(turn AS INT) AS frame_index,
         CAST(turn * 20 + 7 AS DOUBLE) AS timestamp_sec,
         concat('frame_', CAST(turn AS STRING), '.jpg') AS image_path, text AS raw_text, turn % 2 = 0 AS is_slide
         FROM @conversations WHERE role = 'assistant'""",
     "spoken_turns": """SELECT conv_id AS lecture_id, CAST(turn AS INT) AS id, text
         FROM @conversations WHERE role = 'user'""",
-    "bench_lines": "SELECT item_id AS line_id, text AS line FROM @benchmark",
-    "queries": "SELECT item_id AS query_id, text AS query FROM @benchmark",
+    "queries": """SELECT d.doc_id AS query_id, d.doc_id AS lecture_id, b.text AS query
+        FROM @documents d JOIN @benchmark b ON b.item_id = d.doc_id % 40""",
     "frame_scores": """SELECT user_id AS lecture_id, event_id AS ord,
         CAST((event_id * 7) % 5400 AS DOUBLE) AS timestamp_sec, event_type,
         concat('frame_', CAST(event_id AS STRING), '.jpg') AS image_path, value AS score FROM @events""",
@@ -31,14 +36,13 @@ VIEWS: dict[str, str] = {
         concat('figures/fig_', CAST(event_id AS STRING), '.jpg') AS latex_path,
         concat('caption ', CAST(event_id AS STRING)) AS caption
         FROM @events WHERE event_type = 'purchase'""",
-    "frame_series": """SELECT user_id % 10 AS lecture_id, event_id AS frame_idx, value, value < 200 AS readable
-        FROM @events""",
+    "frame_series": """SELECT user_id % 10 AS lecture_id, event_id AS frame_idx, value, value < 200 AS readable,
+        CAST(0.35 + 0.2 * (user_id % 10) AS DOUBLE) AS fps FROM @events""",
     "frame_stats": """SELECT user_id AS lecture_id, avg(value * (user_id % 7)) AS gray_mean,
         stddev_pop(value) AS gray_std FROM @events GROUP BY user_id""",
-    "samples": """SELECT l_suppkey AS id, CAST(l_quantity * 5 AS INT) AS v,
+    "samples": """SELECT l_suppkey AS id, CASE WHEN l_suppkey % 10 = 7 THEN 999 ELSE CAST(l_quantity * 5 AS INT) END AS v,
         CASE WHEN l_returnflag = 'R' THEN 255 ELSE 0 END AS mask FROM @lineitem""",
     "vectors": "SELECT label AS collection, vec_id AS id, embedding FROM @embeddings",
-    "vector_queries": "SELECT label AS collection, min(vec_id) AS id FROM @embeddings GROUP BY label",
     "page_text": """SELECT conv_id AS file_id, turn AS page_no, CASE WHEN turn % 5 = 4 THEN '' ELSE text END AS text
         FROM @conversations""",
     "titles": """SELECT o_orderkey AS id,
@@ -56,8 +60,9 @@ VIEWS: dict[str, str] = {
         FROM @pages""",
     "lookups": """SELECT event_id AS call_id, user_id AS lecture_id,
         CASE event_id % 4 WHEN 0 THEN 'search_transcript' WHEN 1 THEN 'get_ocr_at_timestamp'
-        WHEN 2 THEN 'get_figure_at_timestamp' ELSE 'other' END AS tool, event_type AS query,
-        CAST(event_id % 160 AS DOUBLE) AS timestamp_seconds, CAST(60 AS DOUBLE) AS window_seconds FROM @events""",
+        WHEN 2 THEN 'get_figure_at_timestamp' ELSE CASE WHEN event_id % 8 = 3 THEN 'other' END END AS tool, event_type AS query,
+        CASE WHEN event_id % 23 > 0 THEN CAST(event_id % 160 AS DOUBLE) END AS timestamp_seconds,
+        CASE WHEN event_id % 3 > 0 THEN CAST(45 AS DOUBLE) END AS window_seconds FROM @events""",
     "verdicts": """SELECT user_id AS lecture_id, event_id AS ord, CAST((event_id * 7) % 5400 AS DOUBLE) AS timestamp_sec,
         CASE WHEN event_id % 10 = 7 THEN 'nope' ELSE concat('```json', chr(10), '{"include": ',
         CASE WHEN event_id % 3 = 0 THEN 'true' ELSE 'false' END,

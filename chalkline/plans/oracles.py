@@ -154,8 +154,10 @@ def distance(a: str, b: str) -> str:
 
 
 EXTRA: dict[str, str] = {
-    "noted_lectures": """SELECT lecture_id, course, lecture_date,
-        CASE WHEN lecture_id IN (SELECT lecture_id FROM segments) THEN NULL ELSE transcript END AS transcript FROM lectures""",
+    "noted_lectures": """SELECT lecture_id, course, lecture_date, transcript FROM lectures
+        UNION ALL SELECT lecture_id, course, lecture_date, transcript FROM untranscribed""",
+    "noted_aligned": """SELECT CASE WHEN lecture_id % 2 = 1 THEN -1 - lecture_id ELSE lecture_id END AS lecture_id,
+        frame_index, timestamp_sec, speech, ocr_text FROM aligned""",
     "aligned": """SELECT f.lecture_id, f.frame_index, f.timestamp_sec,
         coalesce(string_agg(s.text, ' ' ORDER BY s.id), '') AS speech, f.raw_text AS ocr_text, f.is_slide, f.image_path
         FROM ocr_frames f LEFT JOIN segments s ON s.lecture_id = f.lecture_id
@@ -170,6 +172,8 @@ EXTRA: dict[str, str] = {
     "resourced": """SELECT lecture_id, course, lecture_date, source, 'Second reading: ' || transcript AS transcript
         FROM sourced WHERE language <> 'en'""",
     "index_again": last_by(f"({index_rows('resourced')}) q", "id", "lecture_id"),
+    "index_upserted": f"""SELECT {INDEX_COLUMNS} FROM index_again UNION ALL
+        SELECT {INDEX_COLUMNS} FROM index_base WHERE id NOT IN (SELECT id FROM index_again)""",
     "page_joined": """SELECT file_id, string_agg(text, chr(10) || chr(10) ORDER BY page_no) AS transcript
         FROM page_text WHERE text <> '' GROUP BY file_id""",
     "page_lectures": f"""SELECT p.file_id AS lecture_id, f.course, {stem_date('f.stem')} AS lecture_date, 'pdf' AS source,
@@ -189,7 +193,7 @@ EXTRA: dict[str, str] = {
     "hists": """SELECT i.id, b.bin, count(s.v) AS n FROM (SELECT DISTINCT id FROM samples) i
         CROSS JOIN (SELECT CAST(unnest(range(0, 64)) AS INT) AS bin) b
         LEFT JOIN samples s ON s.id = i.id AND CAST(floor(s.v / 4) AS INT) = b.bin GROUP BY i.id, b.bin""",
-    "vq": "SELECT v.* FROM vectors v JOIN vector_queries q ON q.id = v.id",
+    "vq": "SELECT * FROM vectors",
     "vtop": f"""SELECT q.id AS query_id, v.collection, v.id, {distance('q.embedding', 'v.embedding')} AS distance
         FROM vq q JOIN vectors v ON v.collection = q.collection
         QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY distance, v.id) <= 5""",
@@ -217,17 +221,22 @@ EXTRA: dict[str, str] = {
         SELECT lecture_id, {strip('ocr_text')} AS ocr_text, timestamp_sec, frame_index FROM aligned) a
         WHERE ocr_text <> ''
         QUALIFY row_number() OVER (PARTITION BY lecture_id, ocr_text ORDER BY timestamp_sec, frame_index) = 1""",
+    "noted_ocr_first": f"""SELECT lecture_id, ocr_text, timestamp_sec, frame_index FROM (
+        SELECT lecture_id, {strip('ocr_text')} AS ocr_text, timestamp_sec, frame_index FROM noted_aligned) a
+        WHERE ocr_text <> ''
+        QUALIFY row_number() OVER (PARTITION BY lecture_id, ocr_text ORDER BY timestamp_sec, frame_index) = 1""",
     "ocr_answer": f"""SELECT l.call_id, count(a.frame_index) AS near,
         string_agg(CASE WHEN {strip('a.ocr_text')} <> '' THEN '[' || {clock('a.timestamp_sec')} || '] ' || {strip('a.ocr_text')} END,
           chr(10) ORDER BY a.timestamp_sec, a.frame_index) AS lines
         FROM lookups l LEFT JOIN aligned a
-        ON a.lecture_id = l.lecture_id AND abs(a.timestamp_sec - l.timestamp_seconds) <= l.window_seconds
+        ON a.lecture_id = l.lecture_id AND abs(a.timestamp_sec - coalesce(l.timestamp_seconds, 0)) <= coalesce(l.window_seconds, 60)
         GROUP BY l.call_id""",
-    "ocr_result": """SELECT l.call_id, CASE WHEN near = 0 THEN 'No OCR data found within ' || CAST(window_seconds AS VARCHAR)
-          || 's of timestamp ' || CAST(timestamp_seconds AS VARCHAR) || 's.'
-        WHEN lines IS NULL THEN 'Frames found near ' || CAST(timestamp_seconds AS VARCHAR) || 's but no OCR text extracted.'
+    "ocr_result": """SELECT l.call_id, CASE WHEN near = 0 THEN 'No OCR data found within ' || coalesce(CAST(window_seconds AS VARCHAR), '60')
+          || 's of timestamp ' || coalesce(CAST(timestamp_seconds AS VARCHAR), '0') || 's.'
+        WHEN lines IS NULL THEN 'Frames found near ' || coalesce(CAST(timestamp_seconds AS VARCHAR), '0') || 's but no OCR text extracted.'
         ELSE lines END AS result FROM lookups l JOIN ocr_answer a ON a.call_id = l.call_id""",
-    "figure_near": """SELECT l.call_id, l.timestamp_seconds AS at, arg_min(f, (abs(f.timestamp_sec - l.timestamp_seconds), f.ord)) AS f
+    "figure_near": """SELECT l.call_id, coalesce(l.timestamp_seconds, 0) AS at,
+        arg_min(f, (abs(f.timestamp_sec - coalesce(l.timestamp_seconds, 0)), f.ord)) AS f
         FROM lookups l JOIN figures f ON f.lecture_id = l.lecture_id GROUP BY l.call_id, l.timestamp_seconds""",
     "figure_result": f"""SELECT l.call_id, CASE WHEN n.f IS NULL THEN '{V.NO_FIGURES}' ELSE
         'Closest figure (' || CAST(CAST(round_even(abs(n.f.timestamp_sec - n.at), 0) AS BIGINT) AS VARCHAR)
@@ -245,15 +254,12 @@ EXTRA: dict[str, str] = {
     "search_text": f"""SELECT lecture_id, query, string_agg('[Position: ~'
         || CAST(CAST(round_even(100.0 * start / n_words, 0) AS INT) AS VARCHAR) || '% through lecture]' || chr(10) || chunk,
         {lit(V.BLOCK_SEPARATOR)} ORDER BY score DESC, start) AS result FROM search_hits GROUP BY lecture_id, query""",
-    "query_terms": f"""SELECT query_id, term, count(*) AS weight
-        FROM (SELECT query_id, unnest({words('lower(query)')}) AS term FROM queries) a GROUP BY query_id, term""",
-    "term_windows": """SELECT w.lecture_id, w.start, t.term FROM search_windows w
-        JOIN (SELECT DISTINCT term FROM query_terms) t ON contains(w.low, t.term)""",
-    "window_sets": f"""SELECT lecture_id, start, {word_set('chunk')} AS ws
-        FROM ({windows('lectures', 'transcript', 'lecture_id', 50, 25)}) x""",
-    "line_sets": f"SELECT line_id, {word_set('line')} AS ls FROM bench_lines",
-    "window_words": "SELECT lecture_id, start, len(ws) AS size, unnest(ws) AS word FROM window_sets",
-    "line_words": "SELECT line_id, len(ls) AS size, unnest(ls) AS word FROM line_sets",
+    "asked_terms": f"""SELECT query_id, lecture_id, unnest({words('lower(query)')}) AS term FROM queries""",
+    "told": "SELECT lecture_id, string_agg(text, ' ' ORDER BY id) AS transcript FROM segments GROUP BY lecture_id",
+    "told_window_rows": f"""SELECT lecture_id, start, {word_set('chunk')} AS ws
+        FROM ({windows('told', 'transcript', 'lecture_id', 50, 25)}) x""",
+    "slide_sets": f"""SELECT lecture_id, CAST(frame_index AS INT) * 4096 + line_no AS line_id, {word_set('line')} AS ls
+        FROM slide_lines""",
     "numbered": "SELECT *, row_number() OVER (PARTITION BY lecture_id ORDER BY ord) AS n FROM frame_scores",
     "walk": f"""SELECT lecture_id, ord, score, n, score AS kept, true AS keep FROM numbered WHERE n = 1
         UNION ALL SELECT r.lecture_id, r.ord, r.score, r.n,
@@ -264,18 +270,22 @@ EXTRA: dict[str, str] = {
         row_number() OVER (PARTITION BY id % 10 ORDER BY id) AS n FROM hists GROUP BY id""",
     "scene_walk": f"""SELECT lecture_id, ord, n, h AS kept, true AS keep FROM scenes WHERE n = 1
         UNION ALL SELECT lecture_id, ord, n, CASE WHEN d > {SCENE_THRESHOLD} THEN h ELSE kept END, d > {SCENE_THRESHOLD}
-        FROM (SELECT r.lecture_id, r.ord, r.n, r.h, w.kept, sqrt(greatest(0.0, 1
-          - list_sum(list_transform(list_zip(r.h, w.kept), lambda p: sqrt(p[1] * p[2]))) / sqrt(list_sum(r.h) * list_sum(w.kept)))) AS d
+        FROM (SELECT r.lecture_id, r.ord, r.n, r.h, w.kept, CASE WHEN list_sum(r.h) * list_sum(w.kept) = 0 THEN 1.0 ELSE sqrt(greatest(0.0, 1
+          - list_sum(list_transform(list_zip(r.h, w.kept), lambda p: sqrt(p[1] * p[2]))) / sqrt(list_sum(r.h) * list_sum(w.kept)))) END AS d
           FROM scene_walk w JOIN scenes r ON r.lecture_id = w.lecture_id AND r.n = w.n + 1) x""",
     "prompt_transcripts": """SELECT l.lecture_id, coalesce(l.transcript,
-          (SELECT string_agg(a.speech, ' ' ORDER BY a.timestamp_sec, a.frame_index) FROM aligned a
+          (SELECT string_agg(a.speech, ' ' ORDER BY a.timestamp_sec, a.frame_index) FROM noted_aligned a
            WHERE a.lecture_id = l.lecture_id AND a.speech <> ''), '') AS transcript FROM noted_lectures l""",
     "prompt_parts": f"""SELECT lecture_id, CAST(0 AS INT) AS chunk_idx, transcript AS chunk
         FROM (SELECT *, {words('transcript')} AS w FROM prompt_transcripts) a WHERE len(w) <= {PROMPT_WORDS}
         UNION ALL SELECT lecture_id, pos, chunk
         FROM ({windows('prompt_transcripts', 'transcript', 'lecture_id', PROMPT_WORDS, PROMPT_WORDS)}) b WHERE n_words > {PROMPT_WORDS}""",
+    "prompt_parts_whole": f"""SELECT lecture_id, CAST(0 AS INT) AS chunk_idx, transcript AS chunk
+        FROM (SELECT *, {words('transcript')} AS w FROM prompt_transcripts) a WHERE len(w) <= {V.PROMPT_CHUNK_WORDS}
+        UNION ALL SELECT lecture_id, pos, chunk FROM ({windows('prompt_transcripts', 'transcript', 'lecture_id', V.PROMPT_CHUNK_WORDS, V.PROMPT_CHUNK_WORDS)}) b
+        WHERE n_words > {V.PROMPT_CHUNK_WORDS}""",
     "prompt_lines": f"""SELECT lecture_id, timestamp_sec, frame_index, generate_subscripts(p, 1) AS line_no, unnest(p) AS line
-        FROM (SELECT *, {split_lines(minute('timestamp_sec') + " || ' ' || ocr_text")} AS p FROM ocr_first) a""",
+        FROM (SELECT *, {split_lines(minute('timestamp_sec') + " || ' ' || ocr_text")} AS p FROM noted_ocr_first) a""",
     "prompt_windows": f"""SELECT lecture_id, {word_set('chunk')} AS ws
         FROM ({windows('prompt_transcripts', 'transcript', 'lecture_id', 50, 25)}) x""",
     "prompt_kept": f"""SELECT * FROM (SELECT lecture_id, timestamp_sec, frame_index, line_no, {clean_line('line')} AS line FROM prompt_lines) c
@@ -318,7 +328,7 @@ def image_route(vision: str) -> str:
         FROM (SELECT lecture_id, {FRAME_TYPE} AS frame_type FROM frame_stats) a"""
 
 
-def prompts(context: bool) -> str:
+def prompts(context: bool, parts: str = "prompt_parts") -> str:
     def section(cond: str, *parts: str) -> str:
         return f"CASE WHEN p.chunk_idx = 0 AND {cond} THEN {' || '.join(parts)} ELSE '' END"
 
@@ -331,7 +341,7 @@ def prompts(context: bool) -> str:
     return f"""SELECT p.lecture_id, p.chunk_idx, {lit(V.PROMPT_HEAD)} || l.course || {lit(V.PROMPT_DATE)} || l.lecture_date
         || {lit(V.PROMPT_TRANSCRIPT)} || p.chunk || chr(10) || {ocr} || {figs} || {told}
         || {lit(V.PROMPT_TAIL)} AS prompt
-        FROM prompt_parts p JOIN noted_lectures l ON l.lecture_id = p.lecture_id
+        FROM {parts} p JOIN noted_lectures l ON l.lecture_id = p.lecture_id
         LEFT JOIN prompt_ocr o ON o.lecture_id = p.lecture_id LEFT JOIN prompt_figures f ON f.lecture_id = p.lecture_id
         {told_join}"""
 
@@ -342,6 +352,14 @@ HEAD = r"regexp_extract(document, '(?s)^(.*?\\begin\{document\})', 1)"
 SQL: dict[str, str] = {
     "segments_scan": f"""SELECT s.lecture_id, l.language, 'lecture_' || CAST(s.lecture_id AS VARCHAR) || '.mp4' AS source,
         s.id, s.start_sec, s.end_sec, {strip('s.text')} AS text FROM segments s JOIN lectures l ON l.lecture_id = s.lecture_id""",
+    "transcripts_scan": f"SELECT lecture_id, {strip('transcript')} AS transcript FROM spoken",
+    "ocr_frames_file": f"""SELECT k.lecture_id, k.frame_index, f.timestamp_sec, f.image_path, k.raw_text, f.is_slide, k.n_blocks
+        FROM (SELECT lecture_id, frame_index, string_agg(text, ' ' ORDER BY i) AS raw_text, CAST(count(*) AS INT) AS n_blocks
+          FROM kept_blocks GROUP BY lecture_id, frame_index) k
+        JOIN ocr_frames f ON f.lecture_id = k.lecture_id AND f.frame_index = k.frame_index WHERE {strip('k.raw_text')} <> ''""",
+    "figures_manifest": f"""SELECT lecture_id, timestamp_sec AS timestamp, filename, caption, reason, 'figures/' || filename AS latex_path
+        FROM (SELECT *, printf('fig_%02d_%02dm%02ds.jpg', row_number() OVER (PARTITION BY lecture_id ORDER BY ord),
+          CAST(floor(timestamp_sec / 60) AS BIGINT), CAST(floor(timestamp_sec % 60) AS BIGINT)) AS filename FROM accepted) a""",
     "segments_or_whole": """SELECT s.lecture_id, s.id, s.start_sec, s.end_sec, s.text FROM segments s
         WHERE s.lecture_id IN (SELECT lecture_id FROM lectures)
         UNION ALL SELECT lecture_id, CAST(0 AS INT), CAST(0 AS DOUBLE), CAST(9999 AS DOUBLE), transcript FROM lectures
@@ -350,8 +368,7 @@ SQL: dict[str, str] = {
     "catalogue_match": "SELECT id, stem FROM files WHERE contains(lower(stem), 'high')",
     "notes_upsert": """SELECT notes_key, lecture_id, document FROM notes_runs
         QUALIFY row_number() OVER (PARTITION BY notes_key ORDER BY run DESC, lecture_id DESC) = 1""",
-    "index_upsert": f"""SELECT {INDEX_COLUMNS} FROM index_again UNION ALL
-        SELECT {INDEX_COLUMNS} FROM index_base WHERE id NOT IN (SELECT id FROM index_again)""",
+    "index_upsert": with_sums("index_upserted"),
     "ocr_block_filter": """SELECT lecture_id, frame_index,
         CAST(row_number() OVER (PARTITION BY lecture_id, frame_index ORDER BY i) - 1 AS INT) AS kept_no, text, confidence
         FROM kept_blocks""",
@@ -383,20 +400,18 @@ SQL: dict[str, str] = {
     "lookup_dispatch": f"""SELECT l.call_id, l.tool, CASE l.tool
           WHEN 'search_transcript' THEN coalesce(s.result, '{V.NO_PASSAGES}')
           WHEN 'get_ocr_at_timestamp' THEN o.result WHEN 'get_figure_at_timestamp' THEN f.result
-          ELSE 'Unknown tool: ' || l.tool END AS result
+          ELSE 'Unknown tool: ' || coalesce(l.tool, 'None') END AS result
         FROM lookups l LEFT JOIN search_text s ON s.lecture_id = l.lecture_id AND s.query = l.query
         JOIN ocr_result o ON o.call_id = l.call_id JOIN figure_result f ON f.call_id = l.call_id""",
     "rebuild_transcript": """SELECT lecture_id, string_agg(speech, ' ' ORDER BY timestamp_sec, frame_index) AS transcript
         FROM aligned WHERE speech <> '' GROUP BY lecture_id""",
-    "stride_sample": """SELECT lecture_id, frame_idx, frame_idx / CAST(0.35 AS DOUBLE) AS timestamp_sec,
-        printf('frame_%07d_%.1fs.jpg', frame_idx, frame_idx / CAST(0.35 AS DOUBLE)) AS image_name
+    "stride_sample": """SELECT lecture_id, frame_idx, frame_idx / fps AS timestamp_sec,
+        printf('frame_%07d_%.1fs.jpg', frame_idx, frame_idx / fps) AS image_name
         FROM (SELECT *, min(CASE WHEN NOT readable THEN frame_idx END) OVER (PARTITION BY lecture_id) AS stop
-              FROM frame_series WHERE frame_idx % 3 = 0) a
+              FROM frame_series WHERE frame_idx % greatest(1, CAST(trunc(fps * 10) AS BIGINT)) = 0) a
         WHERE stop IS NULL OR frame_idx < stop""",
-    "dup_pairs": """SELECT l.line_id, w.lecture_id, w.start,
-        round(count(*)::DOUBLE / min(least(l.size, w.size)), 6) AS similarity
-        FROM line_words l JOIN window_words w ON w.word = l.word GROUP BY l.line_id, w.lecture_id, w.start
-        HAVING count(*)::DOUBLE / min(least(l.size, w.size)) > 0.7""",
+    "dup_pairs": f"""SELECT l.lecture_id, l.line_id, w.start, round({similarity('l.ls', 'w.ws')}, 6) AS similarity
+        FROM slide_sets l JOIN told_window_rows w ON w.lecture_id = l.lecture_id WHERE {similarity('l.ls', 'w.ws')} > 0.7""",
     "novel_lines": f"SELECT lecture_id, frame_index, line_no, line FROM slide_lines c WHERE {NOT_SPOKEN}",
     "ocr_filter": filtered("true"),
     "ocr_filter_math": filtered(math_test("line")),
@@ -412,6 +427,10 @@ SQL: dict[str, str] = {
         FROM ocr_frames f JOIN segments s ON s.lecture_id = f.lecture_id AND s.id + 1 = f.frame_index""",
     "page_concat": "SELECT file_id, transcript FROM page_joined",
     "collection_counts": "SELECT collection, count(*) AS chunks FROM index_base GROUP BY collection",
+    "collection_exists": f"""SELECT lecture_id, course FROM (SELECT lecture_id, course FROM lectures
+          UNION ALL SELECT id, course FROM titles) c
+        WHERE {collection('course')} IN (SELECT {collection('course')} FROM lectures
+          WHERE lecture_id % 2 = 0 AND len({words('transcript')}) > 0)""",
     "corpus_summary": f"""SELECT l.lecture_id, l.language, len({words('l.transcript')}) AS n_words,
         (SELECT count(*) FROM segments s WHERE s.lecture_id = l.lecture_id) AS segments FROM lectures l""",
     "frame_summary": """SELECT f.lecture_id, count(k.frame_index) AS frames_with_text, count(*) AS frames FROM ocr_frames f
@@ -422,7 +441,7 @@ SQL: dict[str, str] = {
     "index_summary": f"""SELECT lecture_id, count(*) AS chunks FROM ({index_rows('sourced')}) q GROUP BY lecture_id
         UNION ALL SELECT CAST(-1 AS BIGINT), count(*) FROM ({index_rows('sourced')}) q""",
     "histogram64": "SELECT id, bin, n FROM hists",
-    "hist_distance": """SELECT a.id, round(sqrt(greatest(0.0, 1 - sum(sqrt(a.n * b.n)) / sqrt(sum(a.n) * sum(b.n)))), 6) AS distance
+    "hist_distance": """SELECT a.id, round(CASE WHEN sum(a.n) * sum(b.n) = 0 THEN 1.0 ELSE sqrt(greatest(0.0, 1 - sum(sqrt(a.n * b.n)) / sqrt(sum(a.n) * sum(b.n)))) END, 6) AS distance
         FROM hists a JOIN hists b ON b.id = a.id + 1 AND b.bin = a.bin GROUP BY a.id""",
     "density_score": "SELECT id, round(avg(mask) / 255.0, 6) AS score FROM samples GROUP BY id",
     "merge_responses": f"""SELECT lecture_id, CASE WHEN count(*) = 1 THEN min(document) ELSE
@@ -437,12 +456,12 @@ SQL: dict[str, str] = {
         FROM (SELECT *, {words('transcript')} AS w FROM lectures) a WHERE len(w) <= {PROMPT_WORDS}
         UNION ALL SELECT lecture_id, CAST(n_words AS INT), pos, chunk
         FROM ({windows('lectures', 'transcript', 'lecture_id', PROMPT_WORDS, PROMPT_WORDS)}) b WHERE n_words > {PROMPT_WORDS}""",
-    "passage_search": """SELECT s.query_id, s.lecture_id, CAST(s.rank AS INT) AS rank, s.start, s.score,
-        CAST(round_even(100.0 * s.start / w.n_words, 0) AS INT) AS position_pct, w.chunk AS passage
-        FROM (SELECT q.query_id, t.lecture_id, t.start, CAST(sum(q.weight) AS BIGINT) AS score,
-                row_number() OVER (PARTITION BY q.query_id, t.lecture_id ORDER BY sum(q.weight) DESC, t.start) AS rank
-              FROM term_windows t JOIN query_terms q ON q.term = t.term GROUP BY q.query_id, t.lecture_id, t.start) s
-        JOIN search_windows w ON w.lecture_id = s.lecture_id AND w.start = s.start WHERE s.rank <= 3""",
+    "passage_search": """SELECT query_id, lecture_id, CAST(rank AS INT) AS rank, start, score,
+        CAST(round_even(100.0 * start / n_words, 0) AS INT) AS position_pct, chunk AS passage
+        FROM (SELECT t.query_id, w.lecture_id, w.start, w.n_words, w.chunk, count(*) AS score,
+                row_number() OVER (PARTITION BY t.query_id ORDER BY count(*) DESC, w.start) AS rank
+              FROM asked_terms t JOIN search_windows w ON w.lecture_id = t.lecture_id AND contains(w.low, t.term)
+              GROUP BY t.query_id, w.lecture_id, w.start, w.n_words, w.chunk) s WHERE rank <= 3""",
     "change_points": "SELECT lecture_id, ord, score FROM walk WHERE keep",
     "scene_changes": "SELECT lecture_id, ord FROM scene_walk WHERE keep",
     "figure_names": """SELECT lecture_id, ord, timestamp_sec, caption, reason, figure_no, filename,
@@ -471,12 +490,15 @@ SQL: dict[str, str] = {
     "collection_name": f"SELECT id, {collection('course')} AS collection FROM titles",
     "clock_label": f"SELECT ord, {clock('timestamp_sec')} AS clock, {minute('timestamp_sec')} AS minute FROM frame_scores",
     "prompt_table": prompts(context=False),
+    "prompt_table_whole": prompts(context=False, parts="prompt_parts_whole"),
     "prompt_table_context": prompts(context=True),
-    "align_stream": """SELECT f.lecture_id, f.frame_index, s.id, s.text FROM ocr_frames f JOIN segments s
-        ON s.lecture_id = f.lecture_id AND (abs(s.start_sec - f.timestamp_sec) < 30
-          OR (s.start_sec <= f.timestamp_sec AND f.timestamp_sec <= s.end_sec))""",
+    "align_stream": """SELECT f.lecture_id, f.frame_index, f.timestamp_sec,
+        coalesce(string_agg(s.text, ' ' ORDER BY s.id), '') AS speech, f.raw_text AS ocr_text, f.is_slide, f.image_path
+        FROM ocr_frames f LEFT JOIN long_segments s ON s.lecture_id = f.lecture_id
+        AND (abs(s.start_sec - f.timestamp_sec) < 30 OR (s.start_sec <= f.timestamp_sec AND f.timestamp_sec <= s.end_sec))
+        GROUP BY f.lecture_id, f.frame_index, f.timestamp_sec, f.raw_text, f.is_slide, f.image_path""",
 }
 SQL["change_points_stream"] = SQL["change_points_batches"] = SQL["change_points"]
-SQL["index_upsert_stream"] = f"SELECT {INDEX_COLUMNS} FROM index_base"
+SQL["index_upsert_stream"] = with_sums("index_base")
 
 ORACLES: dict[str, str] = {name: check_sql(body, EXTRA) for name, body in SQL.items()}

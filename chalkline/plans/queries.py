@@ -13,7 +13,7 @@ from chalkline.functions.windows import prompt_chunks
 from chalkline.operators import change, dedup, frames, lookups, prompts, retrieval, temporal
 from chalkline.operators.concat import ordered_concat
 from chalkline.plans.fixtures import view
-from chalkline.session import shared_dir, spread, written
+from chalkline.session import shared_dir, written
 from chalkline.sources import readers, writers
 from chalkline.streaming import jobs
 
@@ -39,21 +39,22 @@ class _Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return view(*self._at, name)
 
-    @property
-    def lectures(self) -> DataFrame:
-        return spread(view(*self._at, "lectures"))
-
     @property
     def noted_lectures(self) -> DataFrame:
-        """Lectures to write notes for: those with segments have no transcript file of their own."""
-        spoken = self.segments.select("lecture_id").distinct().withColumn("_spoken", F.lit(True))
-        known = self.lectures.join(spoken, "lecture_id", "left")
-        return known.withColumn("transcript", F.when(F.col("_spoken").isNull(), F.col("transcript"))).drop("_spoken")
+        """Lectures to write notes for: all with a transcript file, and one of its own for every odd conversation, which has
+        only aligned speech."""
+        return self.lectures.select("lecture_id", "course", "lecture_date", "transcript").unionByName(self.untranscribed)
 
     @property
     def aligned(self) -> DataFrame:
         return temporal.align(self.ocr_frames, self.segments)
 
+    @property
+    def noted_aligned(self) -> DataFrame:
+        """Aligned rows of the lectures to write notes for."""
+        own = F.when(F.col("lecture_id") % 2 == 1, -1 - F.col("lecture_id")).otherwise(F.col("lecture_id"))
+        return self.aligned.withColumn("lecture_id", own)
+
     @property
     def blocks(self) -> DataFrame:
         block = lambda w, i: F.struct(
@@ -98,6 +99,33 @@ def segments_scan(spark, sf_dir):
     )
 
 
+@query
+def transcripts_scan(spark, sf_dir):
+    path = shared_dir(spark, "transcripts")
+    writers.write_transcript_files(_tables(spark, sf_dir).spoken, path)
+    return readers.read_transcripts(spark, path).select(
+        F.col("lecture_id").cast("bigint").alias("lecture_id"), T.strip("transcript").alias("transcript")
+    )
+
+
+@query
+def ocr_frames_file(spark, sf_dir):
+    path = shared_dir(spark, "ocr-frames")
+    writers.write_ocr_frames(frames.frame_text(_tables(spark, sf_dir).blocks), path)
+    read = readers.read_ocr_table(spark, path)
+    return read.select(
+        F.col("lecture_id").cast("bigint").alias("lecture_id"), "frame_index", "timestamp_sec", "image_path", "raw_text",
+        "is_slide", F.size("blocks").alias("n_blocks"),
+    )
+
+
+@query
+def figures_manifest(spark, sf_dir):
+    path = shared_dir(spark, "figures")
+    writers.write_figures(frames.named_figures(_tables(spark, sf_dir).verdicts), path)
+    return readers.read_figures(spark, path).withColumn("lecture_id", F.col("lecture_id").cast("bigint"))
+
+
 @query
 def segments_or_whole(spark, sf_dir):
     t = _tables(spark, sf_dir)
@@ -140,11 +168,15 @@ INDEX_COLUMNS = ["id", "collection", "course", "lecture_date", "source", "chunk_
 @query
 def index_upsert(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    base = retrieval.latest_per_key(retrieval.index_chunks(t.sourced), ["collection", "id"], ["lecture_id"])
+    embed = hashed_embedding()
+    base = retrieval.latest_per_key(
+        retrieval.index_chunks(t.sourced, embedding=embed), ["collection", "id"], ["lecture_id"]
+    )
     again = t.sourced.where(F.col("language") != "en").withColumn(
         "transcript", F.concat(F.lit("Second reading: "), F.col("transcript"))
     )
-    return retrieval.upsert(base, retrieval.index_chunks(again), ["lecture_id"]).select(*INDEX_COLUMNS)
+    more = retrieval.index_chunks(again, embedding=embed)
+    return retrieval.upsert(base, more, ["lecture_id"]).select(*INDEX_COLUMNS, _signature())
 
 
 # --- projections, filters ---------------------------------------------------------------
@@ -251,7 +283,7 @@ def rebuild_transcript(spark, sf_dir):
 
 @query
 def stride_sample(spark, sf_dir):
-    sampled = temporal.stride_sample(_tables(spark, sf_dir).frame_series, fps=0.35)
+    sampled = temporal.stride_sample(_tables(spark, sf_dir).frame_series)
     return sampled.select(
         "lecture_id", "frame_idx", "timestamp_sec",
         T.frame_name(F.col("frame_idx"), F.col("timestamp_sec")).alias("image_name"),
@@ -263,7 +295,9 @@ def stride_sample(spark, sf_dir):
 @query
 def dup_pairs(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    return dedup.duplicate_pairs(t.bench_lines, t.lectures).withColumn("similarity", F.round("similarity", 6))
+    lines = t.slide_lines.withColumn("line_id", F.col("frame_index") * 4096 + F.col("line_no"))
+    told = ordered_concat(t.segments, ["lecture_id"], ["id"], "text", " ", F.floor(F.col("id") / 4096), "transcript")
+    return dedup.duplicate_pairs(lines, told).withColumn("similarity", F.round("similarity", 6))
 
 
 @query
@@ -333,6 +367,16 @@ def collection_counts(spark, sf_dir):
     return retrieval.collection_counts(chunks.select("collection", "id").distinct())
 
 
+@query
+def collection_exists(spark, sf_dir):
+    """Titles whose course has an index, among all titles."""
+    t = _tables(spark, sf_dir)
+    courses = t.lectures.select("lecture_id", "course").unionByName(
+        t.titles.select(F.col("id").alias("lecture_id"), "course")
+    )
+    return retrieval.indexed_courses(courses, retrieval.index_chunks(t.sourced.where(F.col("lecture_id") % 2 == 0)))
+
+
 @query
 def corpus_summary(spark, sf_dir):
     t = _tables(spark, sf_dir)
@@ -460,8 +504,8 @@ def first_media(spark, sf_dir):
 # --- retrieval --------------------------------------------------------------------------
 
 def _vector_queries(t: _Tables) -> DataFrame:
-    picked = t.vector_queries.select("id")
-    return t.vectors.join(picked, "id").select(F.col("id").alias("query_id"), "collection", "embedding")
+    """Every vector asks for its neighbours in its collection."""
+    return t.vectors.select(F.col("id").alias("query_id"), "collection", "embedding")
 
 
 @query
@@ -546,10 +590,17 @@ def clock_label(spark, sf_dir):
 @query
 def prompt_table(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    aligned = written(t.aligned, "aligned")
+    aligned = written(t.noted_aligned, "aligned")
     return prompts.prompt_table(t.noted_lectures, aligned, t.figures, chunk_words=PROMPT_WORDS)
 
 
+@query
+def prompt_table_whole(spark, sf_dir):
+    """The prompt table with chunks of the default size."""
+    t = _tables(spark, sf_dir)
+    return prompts.prompt_table(t.noted_lectures, written(t.noted_aligned, "aligned"), t.figures)
+
+
 @query
 def prompt_table_context(spark, sf_dir):
     """Prompts with context: every lecture asks the index of all lectures of its course."""
@@ -557,7 +608,7 @@ def prompt_table_context(spark, sf_dir):
     index = written(retrieval.index_lectures(t.sourced), "index")
     asked = retrieval.lecture_queries(t.lectures)
     contexts = retrieval.context_text(asked, index).withColumnRenamed("query_id", "lecture_id")
-    aligned = written(t.aligned, "aligned")
+    aligned = written(t.noted_aligned, "aligned")
     return prompts.prompt_table(t.noted_lectures, aligned, t.figures, contexts, chunk_words=PROMPT_WORDS)
 
 
@@ -569,58 +620,61 @@ def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
+def _in_batches(df: DataFrame, batches: list, purpose: str) -> DataFrame:
+    """``df`` as a stream of micro-batches: the rows of each condition are one folder of files, the earliest first."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, purpose)
+    for k, condition in enumerate(batches):
+        df.where(condition).coalesce(1).write.parquet(f"{path}/batch={k}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/batch=*")
+
+
+def _scores(events: DataFrame) -> DataFrame:
+    return events.select(F.col("user_id").alias("lecture_id"), F.col("event_id").alias("ord"), F.col("value").alias("score"))
+
+
 @query
 def change_points_stream(spark, sf_dir):
-    series = _stream(spark, sf_dir, "events").select(
-        F.col("user_id").alias("lecture_id"), F.col("event_id").alias("ord"), F.col("value").alias("score")
-    )
+    """Change points of a stream whose rows arrive late: every third row first, then the rest."""
+    scores = _scores(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    series = _in_batches(scores, [F.col("ord") % 3 == 0, F.col("ord") % 3 == 2, F.col("ord") % 3 == 1], "late-scores")
     path = shared_dir(spark, "changes-stream")
-    rocks = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(rocks, None)
-    spark.conf.set(rocks, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        jobs.run_available(jobs.change_stream(series, CHANGE_THRESHOLD), f"{path}/out", f"{path}/checkpoint")
-    finally:
-        spark.conf.unset(rocks) if before is None else spark.conf.set(rocks, before)
-    return spark.read.parquet(f"{path}/out")
+    jobs.change_batches(series, CHANGE_THRESHOLD, path, f"{path}/checkpoint").awaitTermination()
+    return jobs.kept_changes(spark, path)
 
 
 @query
 def change_points_batches(spark, sf_dir):
-    series = _stream(spark, sf_dir, "events").select(
-        F.col("user_id").alias("lecture_id"), F.col("event_id").alias("ord"), F.col("value").alias("score")
-    )
     path = shared_dir(spark, "changes-batches")
-    jobs.change_batches(series, CHANGE_THRESHOLD, f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/out/kept").drop("version")
+    series = _scores(_stream(spark, sf_dir, "events"))
+    jobs.change_batches(series, CHANGE_THRESHOLD, path, f"{path}/checkpoint").awaitTermination()
+    return jobs.kept_changes(spark, path)
 
 
 @query
 def index_upsert_stream(spark, sf_dir):
-    rows = _stream(spark, sf_dir, "documents").select(
+    """The index of lectures that arrive in three batches, folded after two."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         F.col("doc_id").alias("lecture_id"), F.col("source").alias("course"),
         F.expr("CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INT) AS STRING)").alias("lecture_date"),
         F.lit("transcript").alias("source"), F.col("text").alias("transcript"),
     )
+    thirds = rows.select(F.percentile_approx("lecture_id", [1 / 3, 2 / 3]).alias("p"))
+    low, high = thirds.select(F.col("p")[0]).scalar(), thirds.select(F.col("p")[1]).scalar()
+    place = F.col("lecture_id")
+    series = _in_batches(rows, [place <= low, (place > low) & (place <= high), place > high], "new-lectures")
     path = shared_dir(spark, "index-stream")
-    jobs.index_stream(rows, f"{path}/index", f"{path}/checkpoint").awaitTermination()
-    return writers.read_versions(spark, f"{path}/index", ["collection", "id"]).select(*INDEX_COLUMNS)
+    jobs.index_stream(series, f"{path}/index", f"{path}/checkpoint", fold_every=2).awaitTermination()
+    return writers.read_versions(spark, f"{path}/index", ["collection", "id"]).select(*INDEX_COLUMNS, _signature())
 
 
 @query
 def align_stream(spark, sf_dir):
-    turns = _stream(spark, sf_dir, "conversations").withColumn(
-        "recorded_at", F.expr("CAST(DATE '2024-01-01' + CAST(conv_id % 365 AS INT) AS TIMESTAMP)")
-    )
-    frames_in = turns.where(F.col("role") == "assistant").select(
-        F.col("conv_id").alias("lecture_id"), F.col("turn").cast("int").alias("frame_index"),
-        (F.col("turn") * 20 + 7).cast("double").alias("timestamp_sec"), "recorded_at",
-    )
-    segments_in = turns.select(
-        F.col("conv_id").alias("lecture_id"), F.col("turn").cast("int").alias("id"),
-        (F.col("turn") * 20).cast("double").alias("start_sec"),
-        (F.col("turn") * 20 + 18).cast("double").alias("end_sec"), "text", "recorded_at",
-    )
+    """Alignment of streams with segments that span a lecture and lectures that arrive after later ones."""
+    t = _tables(spark, sf_dir)
+    late = F.col("lecture_id") % 3 == 1
     path = shared_dir(spark, "align-stream")
-    jobs.run_available(jobs.align_stream(frames_in, segments_in), f"{path}/out", f"{path}/checkpoint")
-    return spark.read.parquet(f"{path}/out")
+    jobs.align_stream(
+        _in_batches(t.ocr_frames, [~late, late], "frames"), _in_batches(t.long_segments, [late, ~late], "segments"),
+        path, f"{path}/checkpoint",
+    ).awaitTermination()
+    return jobs.aligned_frames(spark, path)

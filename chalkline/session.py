@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SETTING = "spark.checkpoint.dir"
+_scopes: list[str] = []  # folders of open scopes, the innermost last
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh directory below the shared folder the session names in ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting may fall back to the machine's own disk.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="chalkline-")
-    return f"{root.rstrip('/')}/chalkline/{purpose}-{uuid.uuid4().hex}"
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share: the open scope's, or the one ``spark.checkpoint.dir`` names, or else the
+    warehouse."""
+    if _scopes:
+        return _scopes[-1]
+    return (spark.conf.get(_SETTING, None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def shared_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh directory for intermediate data below the shared folder."""
+    return f"{shared_root(spark)}/chalkline/{purpose}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
@@ -29,11 +33,23 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a scan out to all cores if it has fewer splits than there are cores.
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data through the file system it lies in."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, folder: str | None = None) -> Iterator[str]:
+    """Everything operators write inside the scope goes below one folder, which is removed at its end.
 
-    For heavy row-wise work on one small file. Inputs worth a cluster have more splits than cores
-    and pass through without a shuffle.
+    Results must be read or written inside the scope. ``folder`` defaults to a fresh one in the shared folder.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    own = f"{(folder or shared_root(spark)).rstrip('/')}/scope-{uuid.uuid4().hex}"
+    _scopes.append(own)
+    try:
+        yield own
+    finally:
+        _scopes.remove(own)
+        remove(spark, own)

@@ -26,9 +26,10 @@ def stem(path: str | Column, suffix: str = "") -> Column:
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """(lecture_id, transcript), one row per UTF-8 text file."""
+    """(lecture_id, transcript), one row per UTF-8 text file; folders named ``lecture_id=…`` name their lecture."""
     files = spark.read.text(path, wholetext=True)
-    return files.select(stem("_metadata.file_path").alias("lecture_id"), F.col("value").alias("transcript"))
+    named = F.col("lecture_id").cast("string") if "lecture_id" in files.columns else stem("_metadata.file_path")
+    return files.select(named.alias("lecture_id"), F.col("value").alias("transcript"))
 
 
 def read_segments(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
@@ -66,6 +67,12 @@ def read_ocr_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"lecture_id STRING, frame {OCR_FRAME}").json(path).select("lecture_id", "frame.*")
 
 
+def read_figures(spark: SparkSession, path: str) -> DataFrame:
+    """The figure manifest, one JSON record per line."""
+    fields = "lecture_id STRING, timestamp DOUBLE, filename STRING, caption STRING, reason STRING, latex_path STRING"
+    return spark.read.schema(fields).json(path)
+
+
 def list_notes(spark: SparkSession, path: str) -> DataFrame:
     """(path, stem) of the PDF files below ``path``; file contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)

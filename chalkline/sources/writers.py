@@ -43,6 +43,12 @@ def write_transcripts(lectures: DataFrame, path: str) -> None:
     lectures.select("lecture_id", strip("transcript").alias("transcript")).write.mode("overwrite").parquet(path)
 
 
+def write_transcript_files(lectures: DataFrame, path: str) -> None:
+    """One text file per lecture, in a folder that names it."""
+    texts = lectures.select("lecture_id", strip("transcript").alias("value"))
+    texts.write.mode("overwrite").partitionBy("lecture_id").text(path)
+
+
 def write_ocr_frames(frames: DataFrame, path: str) -> None:
     """Frames with text, one JSON record per line."""
     fields = ["frame_index", "timestamp_sec", "image_path", "raw_text", "blocks", "is_slide"]
@@ -64,11 +70,36 @@ def write_version(df: DataFrame, path: str, version: int, keys: list[str], order
     latest_per_key(df, keys, order).write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
+def _last_fold(spark: SparkSession, path: str) -> int | None:
+    """The newest complete fold of a table."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/folded")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return None
+    done = [
+        int(s.getPath().getName().partition("=")[2]) for s in files.listStatus(folder)
+        if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
+    ]
+    return max(done, default=None)
+
+
+def _versions(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    fold = _last_fold(spark, path)
+    rows = spark.read.option("basePath", path).parquet(f"{path}/version=*")
+    if upto is not None:
+        rows = rows.where(F.col("version") <= upto)
+    if fold is None:
+        return rows
+    folded = spark.read.parquet(f"{path}/folded/version={fold}").withColumn("version", F.lit(fold))
+    return rows.where(F.col("version") > fold).unionByName(folded)
+
+
 def read_versions(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The newest row per key; keys that later runs do not name remain."""
-    return latest_per_key(spark.read.parquet(path), keys, ["version"]).drop("version")
+    return latest_per_key(_versions(spark, path), keys, ["version"]).drop("version")
 
 
-def compact(spark: SparkSession, path: str, target: str, keys: list[str]) -> None:
-    """Fold all versions into version 0 of a new table."""
-    read_versions(spark, path, keys).write.mode("overwrite").parquet(f"{target}/version=0")
+def fold_versions(spark: SparkSession, path: str, upto: int, keys: list[str]) -> None:
+    """Fold the versions up to ``upto`` into one table, which readers then start from."""
+    folded = latest_per_key(_versions(spark, path, upto), keys, ["version"]).drop("version")
+    folded.write.mode("overwrite").parquet(f"{path}/folded/version={upto}")

@@ -1,165 +1,139 @@
-"""Incremental forms of change detection, indexing and alignment."""
+"""Incremental forms of change detection, indexing and alignment.
 
-from __future__ import annotations
+Every job works in micro-batches that each write their own version of a table and read the versions before
+it; a repeated batch replaces its version. Rows may come in any order and however late: nothing is dropped.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from chalkline import fixed_values as V
-from chalkline.functions.vectors import Embedding
-from chalkline.operators.change import change_points, kept_rows
-from chalkline.operators.retrieval import index_chunks, latest_per_key
-from chalkline.operators.temporal import BASE_BIN_SEC, PAD_SEC
-from chalkline.sources.writers import write_version
-
-
-class _LastKept(StatefulProcessor):
-    """State of a lecture: order and value of the last kept row, and how many rows came late."""
-
-    def __init__(self, threshold: float, value: str, order: str):
-        self.threshold, self.value, self.order = threshold, value, order
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "ord bigint, value double, late bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.order)
-        last_order, last, late = self.state.get() if self.state.exists() else (None, None, 0)
-        if last is not None:
-            in_time = batch[self.order] > last_order
-            late += int((~in_time).sum())
-            batch = batch[in_time]
-        kept = batch[kept_rows(batch[self.value].to_numpy(dtype=float), self.threshold, last)]
-        if len(kept):
-            last_order, last = int(kept[self.order].iloc[-1]), float(kept[self.value].iloc[-1])
-        if last is not None:
-            self.state.update((last_order, last, late))
-        yield kept[["lecture_id", self.order, self.value]]
-
-    def close(self) -> None:
-        pass
-
-
-def change_stream(series: DataFrame, threshold: float, value: str = "score", order: str = "ord") -> DataFrame:
-    """Streaming change points. Rows are ordered within a micro-batch; a row at or before the last
-    kept one is late and dropped. Needs the RocksDB state store; the size of a micro-batch, and
-    with it what one lecture can bring to a task, is the source's to limit."""
-    rows = series.select("lecture_id", order, F.col(value).cast("double").alias(value))
-    return rows.groupBy("lecture_id").transformWithStateInPandas(
-        statefulProcessor=_LastKept(threshold, value, order),
-        outputStructType=rows.schema,
-        outputMode="append",
-        timeMode="none",
+from chalkline.functions.vectors import Embedding, hashed_embedding
+from chalkline.operators.change import change_points
+from chalkline.operators.retrieval import index_chunks
+from chalkline.operators.temporal import align, align_pairs
+from chalkline.sources.writers import fold_versions, read_versions, write_version
+
+
+def _run(stream: DataFrame, put, checkpoint: str) -> StreamingQuery:
+    """Process what is there, batch by batch, and stop."""
+    return (
+        stream.writeStream.foreachBatch(put)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
 
 
 def change_batches(
     series: DataFrame, threshold: float, path: str, checkpoint: str, value: str = "score", order: str = "ord"
 ) -> StreamingQuery:
-    """The same as :func:`change_stream` with the batch operator inside each micro-batch.
+    """Streaming change points; :func:`kept_changes` reads the result.
 
-    Use it where one lecture may fill a micro-batch: its rows are worked on block by block in many
-    tasks instead of in one stateful task. Each batch writes its kept rows below ``path/kept`` and
-    the last kept row of every lecture below ``path/state``, and reads only the state before it.
+    A batch is worked on block by block with the batch operator. It reruns a lecture from its first new row on,
+    entered with the last row kept before that, so a late row corrects everything behind it. ``path/rows`` holds all rows,
+    ``path/kept`` the rows kept by each batch, ``path/cuts`` where it began in each lecture. A row that is delivered
+    again for the same place replaces the earlier one.
     """
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.select("lecture_id", order, F.col(value).cast("double").alias(value))
-        last = None
+        write_version(rows, f"{path}/rows", batch_id, ["lecture_id", order], [value])
+        new = spark.read.schema(rows.schema).parquet(f"{path}/rows/version={batch_id}")
+        new.groupBy("lecture_id").agg(F.min(order).alias("from_order")).write.mode("overwrite").parquet(
+            f"{path}/cuts/version={batch_id}"
+        )
+        cuts = spark.read.parquet(f"{path}/cuts/version={batch_id}")
+        entering = None
         if batch_id > 0:
-            last = spark.read.schema(rows.schema).parquet(f"{path}/state/version={batch_id - 1}")
-            known = last.select("lecture_id", F.col(order).alias("_last"))
-            rows = rows.join(known, "lecture_id", "left")
-            rows = rows.where(F.col("_last").isNull() | (F.col(order) > F.col("_last"))).drop("_last")
-        change_points(rows, threshold, value, order, entering=last).write.mode("overwrite").parquet(
+            known = kept_changes(spark, path, order, before=batch_id).join(cuts, "lecture_id")
+            entering = known.where(F.col(order) < F.col("from_order")).groupBy("lecture_id").agg(
+                F.max_by(value, order).alias(value)
+            )
+        every = read_versions(spark, f"{path}/rows", ["lecture_id", order])
+        again = every.join(cuts, "lecture_id").where(F.col(order) >= F.col("from_order")).drop("from_order")
+        change_points(again, threshold, value, order, entering=entering).write.mode("overwrite").parquet(
             f"{path}/kept/version={batch_id}"
         )
-        state = spark.read.schema(rows.schema).parquet(f"{path}/kept/version={batch_id}")
-        state = state if last is None else state.unionByName(last)
-        latest_per_key(state, ["lecture_id"], [order]).write.mode("overwrite").parquet(
-            f"{path}/state/version={batch_id}"
-        )
 
-    return (
-        series.writeStream.foreachBatch(keep)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _run(series, keep, checkpoint)
+
+
+def kept_changes(spark: SparkSession, path: str, order: str = "ord", before: int | None = None) -> DataFrame:
+    """The rows kept so far: those of a batch that no later batch of the lecture began at or before."""
+    kept, cuts = (spark.read.parquet(f"{path}/{name}") for name in ("kept", "cuts"))
+    if before is not None:
+        kept, cuts = kept.where(F.col("version") < before), cuts.where(F.col("version") < before)
+    later = Window.partitionBy("lecture_id").orderBy(F.desc("version")).rowsBetween(Window.unboundedPreceding, -1)
+    limits = cuts.select("lecture_id", "version", F.min("from_order").over(later).alias("_limit"))
+    valid = kept.join(limits, ["lecture_id", "version"])
+    return valid.where(F.col("_limit").isNull() | (F.col(order) < F.col("_limit"))).drop("_limit", "version")
 
 
 def index_stream(
-    lectures: DataFrame, path: str, checkpoint: str, embedding: Embedding | None = None
+    lectures: DataFrame, path: str, checkpoint: str, embedding: Embedding | None = None, fold_every: int = 16
 ) -> StreamingQuery:
-    """Index lectures as they come: each micro-batch is one version of the index table, written
-    again under the same number if the batch is repeated."""
+    """Index lectures, with their vectors, as they come: each micro-batch is one version of the index table, written
+    again under the same number if the batch is repeated. Every ``fold_every`` batches the versions are folded."""
+    embed = embedding or hashed_embedding()
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        chunks = index_chunks(batch, embedding=embedding)
-        write_version(chunks, path, batch_id, ["collection", "id"], ["lecture_id"])
+        chunks = index_chunks(batch, embedding=embed)
+        keys = ["collection", "id"]
+        write_version(chunks, path, batch_id, keys, ["lecture_id"])
+        if (batch_id + 1) % fold_every == 0:
+            fold_versions(batch.sparkSession, path, batch_id, keys)
+
+    return _run(lectures, put, checkpoint)
 
-    return (
-        lectures.writeStream.foreachBatch(put)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+
+FRAME_FIELDS = ["frame_index", "timestamp_sec", "raw_text", "is_slide", "image_path"]
+SEGMENT_FIELDS = ["id", "start_sec", "end_sec", "text"]
 
 
 def align_stream(
-    frames: DataFrame, segments: DataFrame, window: float = V.ALIGN_WINDOW_SEC, longest_segment: float = 600.0
-) -> DataFrame:
-    """Streaming (lecture_id, frame_index, id, text) pairs of the alignment.
-
-    Both streams carry ``recorded_at``, the moment the recording started, so that event time goes
-    on from lecture to lecture. The state of either side is released once the other has moved past
-    the align window and the longest segment. The streams meet on (lecture, time bin): a segment is
-    filed under each bin it can reach, a frame under its own, so a pair comes out once and a hot
-    lecture's state is spread over its bins.
+    frames: DataFrame, segments: DataFrame, path: str, checkpoint: str, window: float = V.ALIGN_WINDOW_SEC
+) -> StreamingQuery:
+    """Streaming alignment with complete rows, frames without speech among them; :func:`aligned_frames` reads them.
+
+    Both streams become tables below ``path``. A batch aligns its new frames, and the old frames that its new segments
+    reach, with all segments of their lectures, and writes these frames anew. There is no bound on the length of a
+    segment, on lateness or on the order of lectures.
     """
-    delay = f"{int(window + longest_segment)} seconds"
-
-    def moment(seconds: str) -> Column:
-        return F.timestamp_micros(F.unix_micros("recorded_at") + (F.col(seconds) * 1000000).cast("bigint"))
-
-    f = frames.select(
-        "lecture_id", "frame_index", "timestamp_sec", moment("timestamp_sec").alias("frame_time"),
-        F.floor(F.col("timestamp_sec") / BASE_BIN_SEC).alias("bin"),
-    ).withWatermark("frame_time", delay)
-    s = segments.select(
-        F.col("lecture_id").alias("_lecture"), "id", "start_sec", "end_sec", "text",
-        moment("start_sec").alias("segment_time"),
-        F.explode(F.sequence(
-            F.floor((F.col("start_sec") - window - PAD_SEC) / BASE_BIN_SEC),
-            F.floor((F.greatest("end_sec", F.col("start_sec") + window) + PAD_SEC) / BASE_BIN_SEC),
-        )).alias("_bin"),
-    ).withWatermark("segment_time", delay)
-    t, start, end = F.col("timestamp_sec"), F.col("start_sec"), F.col("end_sec")
-    reach = F.expr(
-        f"frame_time >= segment_time - INTERVAL {int(window)} SECONDS "
-        f"AND frame_time <= segment_time + INTERVAL {int(window + longest_segment)} SECONDS"
-    )
-    near = (F.abs(start - t) < window) | ((start <= t) & (t <= end))
-    same = (F.col("lecture_id") == F.col("_lecture")) & (F.col("bin") == F.col("_bin"))
-    return f.join(s, same & reach & near).select(
-        "lecture_id", "frame_index", "id", "text"
-    )
+    sides = {"_frame": (frames, FRAME_FIELDS), "_segment": (segments, SEGMENT_FIELDS)}
 
+    def tagged(side: str):
+        stream = sides[side][0]
+        columns = []
+        for name, (source, fields) in sides.items():
+            kind = source.select(F.struct(*fields).alias("x")).schema["x"].dataType
+            columns.append((F.struct(*fields) if name == side else F.lit(None).cast(kind)).alias(name))
+        return stream.select("lecture_id", *columns)
 
-def run_available(df: DataFrame, path: str, checkpoint: str) -> None:
-    """Process what is there, append it to a Parquet table and stop."""
-    query = (
-        df.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    frame_key, segment_key = ["lecture_id", "frame_index"], ["lecture_id", "id"]
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new_frames = batch.where("_frame IS NOT NULL").select("lecture_id", "_frame.*")
+        new_segments = batch.where("_segment IS NOT NULL").select("lecture_id", "_segment.*")
+        write_version(new_frames, f"{path}/frames", batch_id, frame_key, ["timestamp_sec"])
+        write_version(new_segments, f"{path}/segments", batch_id, segment_key, ["start_sec"])
+        new_frames = spark.read.parquet(f"{path}/frames/version={batch_id}")
+        new_segments = spark.read.parquet(f"{path}/segments/version={batch_id}")
+        touched = new_frames.select("lecture_id").union(new_segments.select("lecture_id")).distinct()
+        every_frame = read_versions(spark, f"{path}/frames", frame_key).join(touched, "lecture_id", "left_semi")
+        every_segment = read_versions(spark, f"{path}/segments", segment_key).join(touched, "lecture_id", "left_semi")
+        reached = align_pairs(every_frame, new_segments, window).select(*frame_key)
+        due = every_frame.join(reached.union(new_frames.select(*frame_key)).distinct(), frame_key, "left_semi")
+        align(due, every_segment, window).write.mode("overwrite").parquet(f"{path}/aligned/version={batch_id}")
+
+    return _run(tagged("_frame").unionByName(tagged("_segment")), put, checkpoint)
+
+
+def aligned_frames(spark: SparkSession, path: str) -> DataFrame:
+    """The newest aligned row of every frame."""
+    return read_versions(spark, f"{path}/aligned", ["lecture_id", "frame_index"])

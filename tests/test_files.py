@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chalkline.operators import change, temporal
-from chalkline.session import shared_dir
+from chalkline.session import scratch, shared_dir, written
 from chalkline.sources import readers, writers
 from chalkline.streaming import jobs
 
@@ -66,9 +66,14 @@ def test_versions(spark):
     run(2, ("a", 1, "again"))
     read = lambda p: sorted((r.k, r.v) for r in writers.read_versions(spark, p, ["k"]).collect())
     assert read(path) == [("a", "again"), ("b", "b")]
-    target = shared_dir(spark, "test")
-    writers.compact(spark, path, target, ["k"])
-    assert read(target) == read(path)
+    run(3, ("c", 1, "c"), ("b", 1, "newer"))
+    writers.fold_versions(spark, path, 2, ["k"])
+    assert read(path) == [("a", "again"), ("b", "newer"), ("c", "c")]
+    writers.fold_versions(spark, path, 3, ["k"])
+    run(4, ("c", 1, "last"))
+    assert read(path) == [("a", "again"), ("b", "newer"), ("c", "last")]
+    equal = spark.createDataFrame([("x", 1, "p"), ("x", 1, "q")], "k string, o int, v string")
+    assert writers.latest_per_key(equal, ["k"], ["o"]).collect() == writers.latest_per_key(equal.orderBy("v"), ["k"], ["o"]).collect()
 
 
 def test_figures_sink(spark):
@@ -87,23 +92,17 @@ def stream_in_two_batches(spark, first, second, run):
     return base
 
 
-@pytest.mark.parametrize("stateful", [True, False])
-def test_change_stream_resumes_and_drops_late_rows(spark, stateful):
-    rows = lambda *x: spark.createDataFrame([(1, o, float(v)) for o, v in x], "lecture_id bigint, ord bigint, score double")
-    first, second = rows((0, 1), (1, 1.1), (2, 5)), rows((3, 5.2), (4, 9), (1, 50))
-
-    def run(stream, base):
-        if stateful:
-            jobs.run_available(jobs.change_stream(stream, 1.0), f"{base}/out", f"{base}/cp")
-        else:
-            jobs.change_batches(stream, 1.0, f"{base}/out", f"{base}/cp").awaitTermination()
-
-    base = stream_in_two_batches(spark, first, second, run)
-    kept = f"{base}/out" if stateful else f"{base}/out/kept"
-    got = sorted((r.ord, r.score) for r in spark.read.parquet(kept).collect())
-    assert got == [(0, 1.0), (2, 5.0), (4, 9.0)]
-    in_time = first.union(second.where("score < 50"))
-    assert got == sorted((r.ord, r.score) for r in change.change_points(in_time, 1.0).collect())
+def test_change_stream_takes_late_rows(spark):
+    rows = lambda *x: spark.createDataFrame([(k, o, float(v)) for k, o, v in x], "lecture_id bigint, ord bigint, score double")
+    first = rows((1, 2, 1), (1, 3, 1.1), (1, 9, 5), (2, 0, 3))
+    second = rows((1, 10, 5.2), (1, 11, 9), (1, 5, 50), (1, 0, 4.5), (3, 7, 1), (2, 0, 3))  # late, earlier than all, repeated
+    base = stream_in_two_batches(
+        spark, first, second, lambda s, b: jobs.change_batches(s, 1.0, f"{b}/out", f"{b}/cp").awaitTermination()
+    )
+    got = sorted(map(tuple, jobs.kept_changes(spark, f"{base}/out").select("lecture_id", "ord", "score").collect()))
+    whole = first.union(second).distinct()
+    assert got == sorted(map(tuple, change.change_points(whole, 1.0).select("lecture_id", "ord", "score").collect()))
+    assert (1, 5, 50.0) in got and (1, 0, 4.5) in got
 
 
 def test_index_stream(spark):
@@ -114,22 +113,36 @@ def test_index_stream(spark):
         spark, first, second, lambda s, b: jobs.index_stream(s, f"{b}/index", f"{b}/cp").awaitTermination()
     )
     got = writers.read_versions(spark, f"{base}/index", ["collection", "id"])
-    assert sorted((r.id, r.document) for r in got.collect()) == [("C_d_transcript_0", "new"), ("C_e_transcript_0", "kept")]
-
-
-def test_align_stream_over_two_lectures(spark):
-    schema = "lecture_id bigint, kind string, n int, at double, until double, recorded_at timestamp"
-    first = spark.sql("SELECT 1L AS lecture_id, IF(id % 2 = 0, 'f', 's') AS kind, CAST(id AS INT) AS n, id * 9.0D AS at, id * 9.0D + 5 AS until, TIMESTAMP '2024-01-01 10:00:00' AS recorded_at FROM range(60)")
-    second = first.withColumn("lecture_id", F.lit(2).cast("bigint")).withColumn("recorded_at", F.expr("recorded_at + INTERVAL 1 DAY"))
-    assert first.schema.names == [c.split()[0] for c in schema.split(", ")]
-    frames_of = lambda d: d.where("kind = 'f'").select("lecture_id", F.col("n").alias("frame_index"), F.col("at").alias("timestamp_sec"), "recorded_at")
-    segments_of = lambda d: d.where("kind = 's'").select("lecture_id", F.col("n").alias("id"), F.col("at").alias("start_sec"), F.col("until").alias("end_sec"), F.lit("t").alias("text"), "recorded_at")
+    assert sorted((r.id, r.document, len(r.embedding)) for r in got.collect()) == [
+        ("C_d_transcript_0", "new", 64), ("C_e_transcript_0", "kept", 64)
+    ]
+
+
+def test_align_stream_takes_rows_in_any_order(spark):
+    frame = "lecture_id bigint, frame_index int, timestamp_sec double, raw_text string, is_slide boolean, image_path string"
+    segment = "lecture_id bigint, id int, start_sec double, end_sec double, text string"
+    frames = [(k, i, i * 40.0, f"r{i}", False, f"p{i}") for k in (1, 2, 3) for i in range(30)]
+    segments = [(k, i, i * 90.0, i * 90.0 + 5, f"t{i}") for k in (1, 2) for i in range(10)] + [(1, 50, 0.0, 9999.0, "all")]
+    # lecture 2 comes whole a day late, lecture 1 gets its long segment and some early frames late, 3 has no speech
+    late_frame = lambda f: f[0] == 2 or (f[0] == 1 and f[1] % 4 == 0)
+    late_segment = lambda s: s[0] == 2 or s[1] >= 50
+    parts = [([f for f in frames if late_frame(f) == late], [s for s in segments if late_segment(s) == late]) for late in (False, True)]
+    sources = {name: shared_dir(spark, name) for name in ("frames", "segments", "run")}
+    for some_frames, some_segments in parts:
+        spark.createDataFrame(some_frames, frame).coalesce(1).write.mode("append").parquet(sources["frames"])
+        spark.createDataFrame(some_segments, segment).coalesce(1).write.mode("append").parquet(sources["segments"])
+        jobs.align_stream(
+            spark.readStream.schema(frame).parquet(sources["frames"]), spark.readStream.schema(segment).parquet(sources["segments"]),
+            f"{sources['run']}/out", f"{sources['run']}/cp",
+        ).awaitTermination()
+    want = temporal.align(spark.createDataFrame(frames, frame), spark.createDataFrame(segments, segment))
+    got = jobs.aligned_frames(spark, f"{sources['run']}/out").select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.where("speech = ''").count() >= 30
 
-    def run(stream, base):
-        jobs.run_available(jobs.align_stream(frames_of(stream), segments_of(stream)), f"{base}/out", f"{base}/cp")
 
-    base = stream_in_two_batches(spark, first, second, run)
-    whole = first.union(second)
-    want = temporal.align_pairs(frames_of(whole), segments_of(whole))
-    got = spark.read.parquet(f"{base}/out").select("lecture_id", "frame_index", "id")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+def test_scopes_clean_up(spark, tmp_path):
+    with scratch(spark, f"file://{tmp_path}"):
+        inside = written(spark.range(5), "rows")
+        assert inside.count() == 5 and list(tmp_path.rglob("*.parquet"))
+    assert not list(tmp_path.rglob("*.parquet"))

@@ -36,6 +36,9 @@ def test_histogram_and_distance(spark):
     df = spark.createDataFrame([(h[1], h[1]), (h[2], h[3])], "a array<double>, b array<double>")
     got = [r[0] for r in df.select(frames.bhattacharyya(F.col("a"), F.col("b"))).collect()]
     assert got == pytest.approx([0.0, 1.0], abs=1e-7)
+    out = frames.histogram(spark.createDataFrame([(4, 999), (4, -1)], "id bigint, v int")).head().hist
+    empty = spark.createDataFrame([(out, h[1]), (out, out)], "a array<double>, b array<double>")
+    assert sum(out) == 0 and [r[0] for r in empty.select(frames.bhattacharyya(F.col("a"), F.col("b"))).collect()] == [1.0, 1.0]
 
 
 def test_top_candidates_order_and_optional_bound(spark):

@@ -23,12 +23,11 @@ def vectors(rng, n, hot_share=0.4):
     return out
 
 
-@pytest.mark.parametrize("bound", [10**6, 0])
+@pytest.mark.parametrize("block_bytes", [1000, 1 << 25])
 @pytest.mark.parametrize("dated", [False, True])
-def test_topk_equals_scan_in_both_ways(spark, monkeypatch, bound, dated):
-    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", bound)
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(retrieval, "INDEX_BLOCK", 50)
+def test_topk_equals_scan_with_a_hot_collection(spark, monkeypatch, block_bytes, dated):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(retrieval, "INDEX_BLOCK_BYTES", 6 * block_bytes)
     rows = vectors(np.random.default_rng(1), 400)
     day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("day"))
     index = spark.createDataFrame(rows, "collection string, id string, embedding array<double>, day int").withColumn("lecture_day", day)
@@ -45,6 +44,19 @@ def test_topk_equals_scan_in_both_ways(spark, monkeypatch, bound, dated):
         assert [(x[1], x[2]) for x in sorted(got.get(q, []))] == near
 
 
+def test_dated_queries_need_a_dated_index(spark):
+    index = spark.createDataFrame([("a", "1", [1.0])], "collection string, id string, embedding array<double>")
+    asked = index.select(F.col("id").alias("query_id"), "collection", "embedding", F.current_date().alias("before_day"))
+    with pytest.raises(ValueError, match="lecture_day"):
+        retrieval.vector_topk(asked, index)
+
+
+def test_indexed_courses(spark):
+    index = spark.createDataFrame([("signals_course",), ("signals_course",)], "collection string")
+    courses = spark.createDataFrame([("Signals Course",), ("signals-course",), ("other",)], "course string")
+    assert sorted(r.course for r in retrieval.indexed_courses(courses, index).collect()) == ["Signals Course", "signals-course"]
+
+
 def test_few_results_and_no_collection(spark):
     index = spark.createDataFrame(
         [("a", "1", [1.0], "d", "s", "text")],
@@ -101,10 +113,11 @@ def test_search_equals_scan(spark):
     texts = {i: " ".join(rng.choice(stems) + rng.choice(["", "s", ","]) for _ in range(rng.choice([0, 3, 60, 410]))) for i in range(6)}
     asked = {1: "art art", 2: "ZEB of", 3: "missing", 4: "theat é", 5: "x=1 (a start", 6: ""}
     lectures = spark.createDataFrame(list(texts.items()), "lecture_id bigint, transcript string")
-    queries = spark.createDataFrame(list(asked.items()), "query_id bigint, query string")
+    rows = [(10 * q + k, k, x) for q, x in asked.items() for k in texts]
+    queries = spark.createDataFrame(rows, "query_id bigint, lecture_id bigint, query string")
     got = {}
     for r in lookups.search_passages(lectures, queries).collect():
-        got.setdefault((r.query_id, r.lecture_id), []).append((r["rank"], r.start, r.score, r.position_pct, r.passage))
+        got.setdefault((r.query_id // 10, r.lecture_id), []).append((r["rank"], r.start, r.score, r.position_pct, r.passage))
     want = {(q, k): search(t, x) for q, x in asked.items() for k, t in texts.items()}
     assert {k: [x[1:] for x in sorted(v)] for k, v in got.items()} == {k: v for k, v in want.items() if v}
 
@@ -112,7 +125,7 @@ def test_search_equals_scan(spark):
 def test_repeated_query_words_and_half_even_position(spark):
     text = " ".join(["x"] * 60 + ["start"] + ["y"] * 339)
     lectures = spark.createDataFrame([(1, text)], "lecture_id bigint, transcript string")
-    rows = lookups.search_passages(lectures, spark.createDataFrame([(1, "art art")], "query_id bigint, query string")).collect()
+    rows = lookups.search_passages(lectures, spark.createDataFrame([(1, 1, "art art")], "query_id bigint, lecture_id bigint, query string")).collect()
     assert sorted((r.start, r.score, r.position_pct) for r in rows) == [(0, 2, 0), (50, 2, 12)]
 
 
@@ -123,15 +136,57 @@ def test_dispatch(spark):
     calls = [
         (1, 1, "search_transcript", "BETA", 0.0, None), (2, 1, "search_transcript", "gamma", 0.0, None),
         (3, 1, "get_ocr_at_timestamp", None, 5.0, None), (4, 1, "get_figure_at_timestamp", None, 5.0, None), (5, 1, "other", None, 0.0, None),
+        (6, 1, None, None, None, None), (7, 1, "get_ocr_at_timestamp", None, None, 4.0), (8, 1, "get_figure_at_timestamp", None, None, None),
     ]
     df = spark.createDataFrame(calls, "call_id bigint, lecture_id bigint, tool string, query string, timestamp_seconds double, window_seconds double")
     got = {r.call_id: r.result for r in lookups.dispatch(df, lectures, aligned, figures).collect()}
     assert got == {
         1: "[Position: ~0% through lecture]\nalpha beta", 2: V.NO_PASSAGES, 3: "[00:05] ocr",
         4: "Closest figure (2s away):\n  latex_path: p\n  caption: c\n  timestamp: 7.4s", 5: "Unknown tool: other",
+        6: "Unknown tool: None", 7: "No OCR data found within 4.0s of timestamp 0s.",
+        8: "Closest figure (7s away):\n  latex_path: p\n  caption: c\n  timestamp: 7.4s",
     }
 
 
+def test_fixed_messages():
+    """The texts that readers of the answers know, spelled out."""
+    assert V.NO_PASSAGES == "No matching passages found for the query."
+    assert V.NO_FIGURES == "No figures available."
+    assert V.UNKNOWN_TOOL % "x" == "Unknown tool: x"
+    assert V.BLOCK_SEPARATOR == "\n\n---\n\n"
+    assert V.WHOLE_LECTURE_END_SEC == 9999.0 and V.RETRIEVAL_TOP == 5 and V.SEARCH_TOP == 3
+
+
+def test_a_whole_prompt_spelled_out(spark):
+    lectures = spark.createDataFrame([(1, "C", "D", "one two")], "lecture_id bigint, course string, lecture_date string, transcript string")
+    aligned = spark.createDataFrame(
+        [(1, 0, 65.0, "s", "E = m")], "lecture_id bigint, frame_index int, timestamp_sec double, speech string, ocr_text string"
+    )
+    figures = spark.createDataFrame([(1, 0, 61.0, "p", "c")], "lecture_id bigint, ord bigint, timestamp_sec double, latex_path string, caption string")
+    contexts = spark.createDataFrame([(1, "CTX")], "lecture_id bigint, context string")
+    assert prompts.prompt_table(lectures, aligned, figures, contexts).head().prompt == (
+        "Convert the following lecture transcript into complete, comprehensive LaTeX notes.\n"
+        "Write with a bookish, refined academic style — not a transcript dump, but polished notes a student would enjoy reading.\n"
+        "Cover EVERY topic discussed — do not skip or summarise any part of the lecture.\n"
+        "\nCourse: C\nDate: D\n\n--- FULL TRANSCRIPT ---\none two\n"
+        "\n--- ADDITIONAL MATHEMATICAL CONTENT FROM SLIDES/BLACKBOARD ---\n"
+        "(These are formulas and equations written by the professor that were NOT spoken aloud.\n"
+        "Integrate them naturally into the notes where contextually appropriate.)\nE = m\n"
+        "\n--- FIGURES TO INCLUDE ---\n"
+        "The following figures have been extracted from the lecture slides/video.\n"
+        "For each figure, insert it at the appropriate point in the notes using this LaTeX template:\n"
+        "\n\\begin{{figure}}[h]\n\\centering\n\\includegraphics[width=0.6\\textwidth]{{LATEX_PATH}}\n\\caption{{CAPTION}}\n\\end{{figure}}\n"
+        "\nReplace LATEX_PATH and CAPTION with the values below.\n"
+        "Insert each figure near the section where the corresponding topic is discussed (use the timestamp as a guide).\n\n"
+        "[01:01] latex_path=p caption=c\n"
+        "\nCRITICAL: Use ONLY the exact latex_path values listed above. Never invent or modify figure filenames.\n"
+        "\n--- CONTEXT FROM PREVIOUS LECTURES IN THIS COURSE ---\n"
+        "(Use this context to maintain consistency with terminology, notation, and concepts\n"
+        "introduced in previous lectures. Reference prior material where appropriate.)\nCTX\n"
+        "\nProduce the complete .tex file now, covering the entire lecture:"
+    )
+
+
 def test_prompt_sections(spark):
     lectures = spark.createDataFrame(
         [(1, "C", "D", "one two three"), (2, "C", "D", None)], "lecture_id bigint, course string, lecture_date string, transcript string"

@@ -94,6 +94,10 @@ def test_stride_sample_stops_at_an_unreadable_frame(spark):
     assert sorted((r.lecture_id, r.frame_idx, r.timestamp_sec) for r in got) == [
         (1, 0, 0.0), (1, 20, 10.0), (1, 40, 20.0), (2, 0, 0.0), (2, 20, 10.0), (2, 40, 20.0), (2, 60, 30.0), (2, 80, 40.0)
     ]
+    own = temporal.stride_sample(df.withColumn("fps", F.col("lecture_id").cast("double")), interval=30.0).collect()
+    assert sorted((r.lecture_id, r.frame_idx, r.timestamp_sec) for r in own) == [
+        (1, 0, 0.0), (1, 30, 30.0), (2, 0, 0.0), (2, 60, 30.0)
+    ]
 
 
 def kept(values, threshold):
@@ -171,3 +175,34 @@ def test_histogram_changes_equal_a_fold(spark):
     for block in (16, 4096):
         got = change.histogram_changes(df, 0.12, block_rows=block)
         assert sorted((r.lecture_id, r.ord) for r in got.collect()) == want
+
+
+def drifting(n):
+    """A slow drift: what is kept depends on every kept row before it. Some rows are empty."""
+    import numpy as np
+
+    rows = []
+    for i in range(n):
+        h = np.exp(-0.5 * ((np.arange(32) - 4 - i * 0.02) / 3.0) ** 2)
+        rows.append((1, i, [0.0] * 32 if i % 97 == 50 else [float(x) for x in h]))
+    return rows
+
+
+def test_drift_over_a_hundred_blocks_is_exact_in_a_bounded_number_of_jobs(spark):
+    import numpy as np
+
+    rows, want, last = drifting(800), [], None
+    for _, i, h in rows:
+        h = np.array(h)
+        mass = 0.0 if last is None else np.sqrt(h.sum() * last.sum())
+        if last is None or np.sqrt(max(0.0, 1 - (np.sqrt(h * last).sum() / mass if mass else 0.0))) > 0.2:
+            want.append(i)
+            last = h
+    df = spark.createDataFrame(rows, "lecture_id bigint, ord bigint, hist array<double>")
+    tracker, group = spark.sparkContext.statusTracker(), "drift"
+    spark.sparkContext.setJobGroup(group, group)
+    got = sorted(r.ord for r in change.histogram_changes(df, 0.2, block_rows=8).collect())
+    jobs = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == want and 10 < len(want) < 200
+    assert jobs < 60

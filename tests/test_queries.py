@@ -40,6 +40,11 @@ def test_query_equals_check_sql(spark, db, name):
     assert got and got == rows_of(columns, result.fetchall())
 
 
+def test_entry_without_training_data_operators(monkeypatch):
+    monkeypatch.setattr(entry, "_has", lambda name: False)
+    assert entry.queries().keys() == QUERIES.keys() and entry.oracle_sql().keys() == SQL.keys()
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["lecture_id", "chunk_idx", "prompt"]
 

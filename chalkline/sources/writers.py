@@ -70,8 +70,8 @@ def write_version(df: DataFrame, path: str, version: int, keys: list[str], order
     latest_per_key(df, keys, order).write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
-def _last_fold(spark: SparkSession, path: str) -> int | None:
-    """The newest complete fold of a table."""
+def _last_fold(spark: SparkSession, path: str, below: int | None = None) -> int | None:
+    """The newest complete fold of a table, or the newest one of a version under ``below``."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/folded")
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(folder):
@@ -80,11 +80,11 @@ def _last_fold(spark: SparkSession, path: str) -> int | None:
         int(s.getPath().getName().partition("=")[2]) for s in files.listStatus(folder)
         if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
     ]
-    return max(done, default=None)
+    return max((v for v in done if below is None or v < below), default=None)
 
 
 def _versions(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
-    fold = _last_fold(spark, path)
+    fold = _last_fold(spark, path, upto)
     rows = spark.read.option("basePath", path).parquet(f"{path}/version=*")
     if upto is not None:
         rows = rows.where(F.col("version") <= upto)
@@ -100,6 +100,8 @@ def read_versions(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
 
 
 def fold_versions(spark: SparkSession, path: str, upto: int, keys: list[str]) -> None:
-    """Fold the versions up to ``upto`` into one table, which readers then start from."""
+    """Fold the versions up to ``upto`` into one table, which readers then start from.
+
+    It builds on the fold before, so a repeated batch may fold again."""
     folded = latest_per_key(_versions(spark, path, upto), keys, ["version"]).drop("version")
     folded.write.mode("overwrite").parquet(f"{path}/folded/version={upto}")

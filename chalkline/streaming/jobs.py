@@ -28,8 +28,16 @@ def _run(stream: DataFrame, put, checkpoint: str) -> StreamingQuery:
     )
 
 
+def _fold(spark: SparkSession, batch_id: int, every: int, tables: dict[str, list[str]]) -> None:
+    """Fold the versions of tables (path: keys) after every so many batches."""
+    if (batch_id + 1) % every == 0:
+        for path, keys in tables.items():
+            fold_versions(spark, path, batch_id, keys)
+
+
 def change_batches(
-    series: DataFrame, threshold: float, path: str, checkpoint: str, value: str = "score", order: str = "ord"
+    series: DataFrame, threshold: float, path: str, checkpoint: str, value: str = "score", order: str = "ord",
+    fold_every: int = 16,
 ) -> StreamingQuery:
     """Streaming change points; :func:`kept_changes` reads the result.
 
@@ -59,6 +67,7 @@ def change_batches(
         change_points(again, threshold, value, order, entering=entering).write.mode("overwrite").parquet(
             f"{path}/kept/version={batch_id}"
         )
+        _fold(spark, batch_id, fold_every, {f"{path}/rows": ["lecture_id", order]})
 
     return _run(series, keep, checkpoint)
 
@@ -85,8 +94,7 @@ def index_stream(
         chunks = index_chunks(batch, embedding=embed)
         keys = ["collection", "id"]
         write_version(chunks, path, batch_id, keys, ["lecture_id"])
-        if (batch_id + 1) % fold_every == 0:
-            fold_versions(batch.sparkSession, path, batch_id, keys)
+        _fold(batch.sparkSession, batch_id, fold_every, {path: keys})
 
     return _run(lectures, put, checkpoint)
 
@@ -96,7 +104,8 @@ SEGMENT_FIELDS = ["id", "start_sec", "end_sec", "text"]
 
 
 def align_stream(
-    frames: DataFrame, segments: DataFrame, path: str, checkpoint: str, window: float = V.ALIGN_WINDOW_SEC
+    frames: DataFrame, segments: DataFrame, path: str, checkpoint: str, window: float = V.ALIGN_WINDOW_SEC,
+    fold_every: int = 16,
 ) -> StreamingQuery:
     """Streaming alignment with complete rows, frames without speech among them; :func:`aligned_frames` reads them.
 
@@ -130,6 +139,9 @@ def align_stream(
         reached = align_pairs(every_frame, new_segments, window).select(*frame_key)
         due = every_frame.join(reached.union(new_frames.select(*frame_key)).distinct(), frame_key, "left_semi")
         align(due, every_segment, window).write.mode("overwrite").parquet(f"{path}/aligned/version={batch_id}")
+        _fold(spark, batch_id, fold_every, {
+            f"{path}/frames": frame_key, f"{path}/segments": segment_key, f"{path}/aligned": frame_key,
+        })
 
     return _run(tagged("_frame").unionByName(tagged("_segment")), put, checkpoint)
 

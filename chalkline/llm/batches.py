@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 #: Rows handed to a function at a time, so that what it holds stays small whatever the batch size is.
@@ -41,3 +42,25 @@ def with_text_columns(
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *names])
 
     return base.mapInArrow(run, schema)
+
+
+def least_hashes(df: DataFrame, place: Column, most: int) -> int:
+    """A bound that at most ``most`` rows of ``df`` have hashes (``place``, a bigint hash of a row) under or at.
+
+    It is the hash of that rank. Hashes that are far above it, going by the number of rows, are left out before
+    they are ranked, so what meets in one task stays small for any number of rows and tasks. Where equal hashes cross the rank, as of
+    rows that are repeated, all of them stay out.
+    """
+    total = df.count()
+    if total <= most:
+        return 2**63 - 1
+    far = -(2**63) + min(2**64 - 1, (4 * most + 100) * 2**64 // total)
+    hashes = df.select(place.alias("h")).where(F.col("h") <= far)
+    ranked = hashes.groupBy("h").count().orderBy("h").limit(most + 1).collect()
+    low, held = -(2**63), 0
+    for r in ranked:
+        held += r["count"]
+        if held > most:
+            break
+        low = r.h
+    return low

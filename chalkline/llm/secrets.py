@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from chalkline.llm.batches import with_text_columns
+from chalkline.llm.batches import least_hashes, with_text_columns
 
 # The base patterns.
 ASSIGN = re.compile(
@@ -81,8 +81,14 @@ def labelled_strings(text: str) -> Iterator[tuple[int, str]]:
 
 
 def labelled_samples(docs: DataFrame, most: int = SAMPLE_DOCS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(label, string): labelled strings of at most ``most`` documents, chosen by a hash of key and text."""
-    chosen = docs.select(key, text).orderBy(F.xxhash64(key, text)).limit(most).select(F.col(text).alias("text"))
+    """(label, string): labelled strings of at most ``most`` documents, those with the least hashes of key and text.
+
+    Only hashes are ranked; the documents below a rank are then read in place, so no text is shuffled.
+    """
+    place = F.xxhash64(key, text)
+    low = least_hashes(docs, place, most)
+    chosen = docs.select(F.col(text).alias("text"), place.alias("h")).where(F.col("h") <= low)
+    chosen = chosen.select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -128,3 +128,9 @@ def test_tables_and_redaction(spark, model):
     people = pii.with_pii(spark.createDataFrame([(1, "a@b.cd", 1), (1, "a@b.cd", 1), (None, None, 1)], "doc_id long, text string, n_ip int"))
     assert sorted((r.n_email, r.n_ip, r.spans) for r in people.collect()) == [(0, 0, ""), (1, 0, "email:0:6"), (1, 0, "email:0:6")]
     assert pii.with_pii(table.limit(0)).count() == 0
+
+
+def test_samples_are_bounded(spark):
+    docs = spark.createDataFrame([(i, f"token=abcdefgh{i}") for i in range(20)], "doc_id long, text string")
+    assert [secrets.labelled_samples(docs, most).where("label = 1").count() for most in (3, 20, 50)] == [3, 20, 20]
+    assert secrets.labelled_samples(docs.limit(0)).count() == 0

@@ -64,17 +64,16 @@ def with_fingerprints(docs: DataFrame, shingles: dict[str, int], text: str = "te
 
 
 def _keys(max_bits: int) -> Column:
-    """The bucket keys of a fingerprint: (key number, bits) per pair of bit runs."""
+    """The bucket keys of a fingerprint, one bigint per pair of bit runs: the pair's number above the bits."""
     runs = max_bits + 2
     edges = [64 * i // runs for i in range(runs + 1)]
     cut = [
         F.shiftrightunsigned("fp", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)) for i in range(runs)
     ]
-    both = [
-        F.struct(F.lit(k).alias("no"), (F.shiftleft(cut[i], 32) + cut[j]).alias("bits"))
-        for k, (i, j) in enumerate(combinations(range(runs), 2))
-    ]
-    return F.array(*both)
+    width = edges[1] + 1  # no run is longer
+    return F.array(*(
+        F.lit(k << (2 * width)) + F.shiftleft(cut[i], width) + cut[j] for k, (i, j) in enumerate(combinations(range(runs), 2))
+    ))
 
 
 def pivot_table(n: int = PIVOTS) -> np.ndarray:
@@ -82,15 +81,9 @@ def pivot_table(n: int = PIVOTS) -> np.ndarray:
     return np.random.default_rng(SEED).integers(-(2**63), 2**63, n, dtype=np.int64)
 
 
-def _distances(pivots: np.ndarray) -> list[Column]:
-    """The distances to the pivots, eight to a bigint; the first is the lowest byte."""
-    out = []
-    for at in range(0, len(pivots), 8):
-        packed = F.lit(0).cast("bigint")
-        for k, p in enumerate(pivots[at : at + 8].tolist()):
-            packed = packed + F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("bigint"), 8 * k)
-        out.append(packed.alias(f"pivots{at // 8}"))
-    return out
+def pivot_distances(fp: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The table of distances, a row per fingerprint and a column per pivot."""
+    return np.bitwise_count((fp[:, None] ^ pivots[None, :]).view(np.uint64))
 
 
 def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -155,35 +148,32 @@ def fingerprint_links(
     """
     names = ["fp"] if other_bits is None else ["fp", "other"]
     bits = [max_bits] if other_bits is None else [max_bits, other_bits]
-    packed = [f"pivots{k}" for k in range(PIVOTS // 8)]
-    keyed = prints.select(*names, *_distances(pivot_table()), F.explode(_keys(max_bits)).alias("key")).select(
-        F.col("key.no").cast("long").alias("no"), F.col("key.bits").alias("bits"), *names, *packed
-    )
-    counts = keyed.groupBy("no", "bits").count().where(F.col("count") > bucket_rows)
-    blocks = counts.select("no", "bits", F.ceil(F.col("count") * 2 / bucket_rows).alias("blocks"))
+    pivots = pivot_table()
+    keyed = prints.select(*names, F.explode(_keys(max_bits)).alias("bucket"))
+    counts = keyed.groupBy("bucket").count().where(F.col("count") > bucket_rows)
+    blocks = counts.select("bucket", F.ceil(F.col("count") * 2 / bucket_rows).alias("blocks"))
     n_blocks = F.coalesce("blocks", F.lit(1).cast("long"))
     own = F.pmod(F.xxhash64(*names), n_blocks)
     tasks = F.transform(
         F.sequence(F.lit(0).cast("long"), n_blocks - 1), lambda o: F.least(own, o) * F.lit(1 << 20) + F.greatest(own, o)
     )
-    place = ["no", "bits", "block"]
+    place = ["bucket", "block"]
+    first = F.bit_count(F.col("fp").bitwiseXOR(F.lit(int(pivots[0]))))
     ordered = (
-        keyed.join(blocks, ["no", "bits"], "left")
+        keyed.join(blocks, "bucket", "left")
         .withColumn("block", F.explode(tasks))
-        .select(*place, *names, *packed, F.col("pivots0").bitwiseAND(F.lit(255)).alias("first"))
+        .select(*place, *names)
         .repartition(*place)
-        .sortWithinPartitions(*place, "first", *names)
-        .drop("first")
+        .sortWithinPartitions(*place, first, *names)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: np.ndarray | None = None
 
         def links(rows: np.ndarray) -> pa.RecordBatch:
-            keys, values, distances = rows[:3], list(rows[3 : 3 + len(names)]), rows[3 + len(names) :]
-            fresh = np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))
-            table = np.concatenate([np.ascontiguousarray(d).view(np.uint8).reshape(-1, 8) for d in distances], axis=1)
-            at = _links(np.cumsum(fresh), values, table, bits)
+            fresh = np.append(True, (rows[:2, 1:] != rows[:2, :-1]).any(axis=0))
+            values = list(rows[2:])
+            at = _links(np.cumsum(fresh), values, pivot_distances(values[0], pivots), bits)
             ends = [v[at[:, side]] for side in (0, 1) for v in values]
             return pa.RecordBatch.from_arrays([pa.array(e) for e in ends], ends_named)
 
@@ -193,7 +183,7 @@ def fingerprint_links(
             rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             rows = rows if held is None else np.concatenate([held, rows], axis=1)
             # the last bucket may go on in the next batch
-            cut = int(np.flatnonzero((rows[:3] == rows[:3, -1:]).all(axis=0))[0])
+            cut = int(np.flatnonzero((rows[:2] == rows[:2, -1:]).all(axis=0))[0])
             held = rows[:, cut:]
             if cut:
                 yield links(rows[:, :cut])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField
 
-from chalkline.llm.batches import with_text_columns
+from chalkline.llm.batches import least_hashes, with_text_columns
 from chalkline.session import written
 
 #: Most labelled documents of either class that a model is learned from.
@@ -168,10 +168,13 @@ def learning_sample(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXI
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     # to learn from: where the remainder of the checksum is not that of the held-out quarter
     known = known.where(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 4 != 2)
-    by_hash = F.xxhash64("doc_id")
-    ids = known.where("label = 1").orderBy(by_hash, "doc_id").limit(toxic).unionByName(
-        known.where("label = 0").orderBy(by_hash, "doc_id").limit(clean)
+    place = F.xxhash64("doc_id")
+    bounds = {label: least_hashes(known.where(F.col("label") == label), place, most) for label, most in ((1, toxic), (0, clean))}
+    ids = known.where(
+        ((F.col("label") == 1) & (place <= bounds[1])) | ((F.col("label") == 0) & (place <= bounds[0]))
     )
+    # written, so that Spark knows how few they are and sends them to the documents instead of shuffling texts
+    ids = written(ids, "sample-ids")
     texts = docs.where("text IS NOT NULL").select("doc_id", "text").join(ids, "doc_id")
     texts = texts.withColumn("words", F.split("text", r"\s+"))  # a column: inside a lambda it would be cut again and again
     words = F.col("words")

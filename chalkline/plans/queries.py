@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from chalkline.functions import text as T
 from chalkline.functions.vectors import hashed_embedding
@@ -620,12 +621,29 @@ def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
-def _in_batches(df: DataFrame, batches: list, purpose: str) -> DataFrame:
-    """``df`` as a stream of micro-batches: the rows of each condition are one folder of files, the earliest first."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession, purpose)
-    for k, condition in enumerate(batches):
-        df.where(condition).coalesce(1).write.parquet(f"{path}/batch={k}")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/batch=*")
+def _run_batches(inputs: list[tuple[DataFrame, list]], start: Callable[..., StreamingQuery], purpose: str) -> None:
+    """Run a streaming job as rows arrive: of each input the rows of one condition after the other.
+
+    Every batch is written by all tasks of its scan; the job then takes up all files it has not seen as one micro-batch.
+    """
+    spark = inputs[0][0].sparkSession
+    paths = [shared_dir(spark, purpose) for _ in inputs]
+    for k in range(len(inputs[0][1])):
+        for path, (df, batches) in zip(paths, inputs):
+            df.where(batches[k]).write.parquet(f"{path}/batch={k}")
+        streams = [spark.readStream.schema(df.schema).parquet(f"{path}/batch=*") for path, (df, _) in zip(paths, inputs)]
+        start(*streams).awaitTermination()
+
+
+def _thirds(number: Column) -> Column:
+    """0, 1 or 2 for every row, also with a null or negative number."""
+    return F.pmod(F.coalesce(number, F.lit(0)), F.lit(3))
+
+
+def _ranges(place: Column, bounds: list) -> list[Column]:
+    """Conditions for the ranges that ascending bounds end, one of which every row meets; null is in the first."""
+    over = [F.coalesce(place > bound, F.lit(False)) for bound in bounds]
+    return [~over[0], *(a & ~b for a, b in zip(over, over[1:])), over[-1]]
 
 
 def _scores(events: DataFrame) -> DataFrame:
@@ -636,9 +654,11 @@ def _scores(events: DataFrame) -> DataFrame:
 def change_points_stream(spark, sf_dir):
     """Change points of a stream whose rows arrive late: every third row first, then the rest."""
     scores = _scores(spark.read.parquet(f"{sf_dir}/events.parquet"))
-    series = _in_batches(scores, [F.col("ord") % 3 == 0, F.col("ord") % 3 == 2, F.col("ord") % 3 == 1], "late-scores")
-    path = shared_dir(spark, "changes-stream")
-    jobs.change_batches(series, CHANGE_THRESHOLD, path, f"{path}/checkpoint").awaitTermination()
+    third, path = _thirds(F.col("ord")), shared_dir(spark, "changes-stream")
+    _run_batches(
+        [(scores, [third == 0, third == 2, third == 1])],
+        lambda series: jobs.change_batches(series, CHANGE_THRESHOLD, path, f"{path}/checkpoint"), "late-scores",
+    )
     return jobs.kept_changes(spark, path)
 
 
@@ -660,10 +680,11 @@ def index_upsert_stream(spark, sf_dir):
     )
     thirds = rows.select(F.percentile_approx("lecture_id", [1 / 3, 2 / 3]).alias("p"))
     low, high = thirds.select(F.col("p")[0]).scalar(), thirds.select(F.col("p")[1]).scalar()
-    place = F.col("lecture_id")
-    series = _in_batches(rows, [place <= low, (place > low) & (place <= high), place > high], "new-lectures")
     path = shared_dir(spark, "index-stream")
-    jobs.index_stream(series, f"{path}/index", f"{path}/checkpoint", fold_every=2).awaitTermination()
+    _run_batches(
+        [(rows, _ranges(F.col("lecture_id"), [low, high]))],
+        lambda series: jobs.index_stream(series, f"{path}/index", f"{path}/checkpoint", fold_every=2), "new-lectures",
+    )
     return writers.read_versions(spark, f"{path}/index", ["collection", "id"]).select(*INDEX_COLUMNS, _signature())
 
 
@@ -671,10 +692,10 @@ def index_upsert_stream(spark, sf_dir):
 def align_stream(spark, sf_dir):
     """Alignment of streams with segments that span a lecture and lectures that arrive after later ones."""
     t = _tables(spark, sf_dir)
-    late = F.col("lecture_id") % 3 == 1
+    late = _thirds(F.col("lecture_id")) == 1
     path = shared_dir(spark, "align-stream")
-    jobs.align_stream(
-        _in_batches(t.ocr_frames, [~late, late], "frames"), _in_batches(t.long_segments, [late, ~late], "segments"),
-        path, f"{path}/checkpoint",
-    ).awaitTermination()
+    _run_batches(
+        [(t.ocr_frames, [~late, late]), (t.long_segments, [late, ~late])],
+        lambda frames, segments: jobs.align_stream(frames, segments, path, f"{path}/checkpoint"), "frames-and-segments",
+    )
     return jobs.aligned_frames(spark, path)

@@ -24,7 +24,7 @@ SAMPLE_ROWS = 20_000
 CALIBRATION_QUERIES = 200
 BRANCH = 8
 LEAF_ROWS = 512
-RECALL = 0.95
+RECALL = 0.97
 BLOCK_ROWS = 4096
 #: What the order of sums may change in a dot product of unit vectors.
 _SLACK = 1e-9
@@ -194,6 +194,17 @@ def calibrated_visits(tree: Tree, q: np.ndarray, wanted: list[list[int]], recall
     return int(sorted(met)[math.ceil(recall * len(met)) - 1])
 
 
+def leaves_to_visit(tree: Tree, x: np.ndarray, visits: int, leaf_rows: dict[int, int], least: int) -> list[int]:
+    """The first ``visits`` leaves, and more until they hold ``least`` rows or there are no more."""
+    order, held = [], 0
+    for leaf in tree.traverse(x):
+        if len(order) >= visits and held >= least:
+            break
+        order.append(leaf)
+        held += leaf_rows.get(leaf, 0)
+    return order
+
+
 def nearest(
     vectors: DataFrame, is_query: Column, k: int = 5, recall: float = RECALL, sample_rows: int = SAMPLE_ROWS,
     calibration: int = CALIBRATION_QUERIES, block_rows: int = BLOCK_ROWS, vector: str = "embedding", key: str = "vec_id",
@@ -232,17 +243,22 @@ def nearest(
     leaves = {r.query_id: r.leaves for r in truth.join(index.select("vec_id", "leaf"), "vec_id").groupBy("query_id").agg(F.collect_list("leaf").alias("leaves")).collect()}
     visits = calibrated_visits(tree, _unit(trial), [leaves.get(int(i), []) for i in trial_ids], recall)
 
+    # a query's own key is no candidate, however often it is repeated
+    leaf_rows = {r.leaf: r["count"] for r in index.groupBy("leaf").count().collect()}
+    own = index.groupBy("vec_id").agg(F.count("*").alias("own"))
+    asking = index.where("asks").select("vec_id", "v").join(own, "vec_id")
+
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             units = _unit(_matrix(batch.column(1))) if batch.num_rows else []
             for i, u in enumerate(units):
-                order = [leaf for leaf, _ in zip(tree.traverse(u), range(visits))]
+                order = leaves_to_visit(tree, u, visits, leaf_rows, k + batch.column(2)[i].as_py())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(order, pa.int64()), batch.column(0).take(pa.array([i] * len(order))), batch.column(1).take(pa.array([i] * len(order)))],
                     ["leaf", "query_id", "q"],
                 )
 
-    asked = index.where("asks").select("vec_id", "v").mapInArrow(visit, "leaf long, query_id long, q array<double>")
+    asked = asking.mapInArrow(visit, "leaf long, query_id long, q array<double>")
 
     # rows of a leaf in blocks, its queries in blocks: every pair of blocks is one task
     sizes = index.groupBy("leaf").agg(F.ceil(F.count("*") / block_rows).cast("long").alias("blocks"))

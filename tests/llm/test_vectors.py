@@ -89,3 +89,21 @@ def test_traversal_meets_every_leaf_once(clustered):
     order = list(tree.traverse(x[0]))
     assert sorted(order) == list(range(tree.leaves)) and tree.leaves > 20
     assert tree.assign(x).max() < tree.leaves
+
+
+def test_small_leaves_are_not_enough(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, np.eye(8)[i % 4] + 0.01 * rng.normal(size=8)) for i in range(400)]
+    outliers = [(1000 + i, np.eye(8)[4 + i] + 0.01 * rng.normal(size=8)) for i in range(3)]
+    repeated = [(1000, outliers[0][1])] * 7
+    fit = V.Tree.fit
+    with pytest.MonkeyPatch.context() as patch:
+        # leaves of a few rows, and a calibration that ends at the first
+        patch.setattr(V.Tree, "fit", staticmethod(lambda x: fit(x, leaf_rows=8)))
+        patch.setattr(V, "calibrated_visits", lambda *_: 1)
+        found = V.nearest(table(spark, rows + outliers + repeated), F.col("vec_id") >= 1000, K).collect()
+    for q in {1000, 1001, 1002}:
+        assert sorted(r["rank"] for r in found if r.query_id == q) == list(range(1, K + 1))
+        assert q not in {r.vec_id for r in found if r.query_id == q}
+    few = V.nearest(table(spark, rows[:3]), F.lit(True), K).collect()
+    assert len(few) == 3 * 2

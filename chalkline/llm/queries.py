@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.llm import (
-    chat, decontaminate, packing, pii, repair, secrets, simhash, token_counts, toxicity, vector_search,
+    chat, decontaminate, packing, pii, repair, secrets, simhash, spelling, token_counts, toxicity, trie_join,
+    vector_search, whitening,
 )
 from chalkline.session import shared_dir
 
@@ -106,3 +107,18 @@ def op9_decontamination(spark, sf_dir):
 def op10_token_counts(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.with_token_counts(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query
+def op11_ngram_join(spark, sf_dir):
+    return trie_join.with_components(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.variants(spelling.vocabulary(_table(spark, sf_dir, "documents")))

@@ -1,6 +1,11 @@
 """Every registered query next to its check SQL on the smallest tables, and the shapes of plans."""
 
+import os
 import re
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -40,9 +45,27 @@ def test_query_equals_check_sql(spark, db, name):
     assert got and got == rows_of(columns, result.fetchall())
 
 
-def test_entry_without_training_data_operators(monkeypatch):
-    monkeypatch.setattr(entry, "_has", lambda name: False)
-    assert entry.queries().keys() == QUERIES.keys() and entry.oracle_sql().keys() == SQL.keys()
+COPY = """
+import sys
+sys.path.insert(0, {copy!r})
+import __spark_entry__ as entry
+print(*sorted(entry.queries()))
+print(*sorted(entry.oracle_sql()))
+"""
+
+
+@pytest.mark.parametrize("gone", [("chalkline/llm", "tests/llm"), ("chalkline/llm", "tests/llm", "corpus_pipeline.py")])
+def test_entry_without_training_data_operators(tmp_path, gone):
+    """A copy of the repository without their folders, in a process of its own."""
+    left = shutil.ignore_patterns(".git", "__pycache__", *(Path(g).name for g in gone))
+    copy = tmp_path / "copy"
+    shutil.copytree(Path(entry.__file__).parent, copy, ignore=left)
+    run = subprocess.run(
+        [sys.executable, "-c", COPY.format(copy=str(copy))], cwd=tmp_path, capture_output=True, text=True,
+        env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"},
+    )
+    assert run.returncode == 0, run.stderr
+    assert [line.split() for line in run.stdout.splitlines()] == [sorted(QUERIES), sorted(SQL)]
 
 
 def test_entry(spark):

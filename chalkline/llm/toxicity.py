@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField
 
@@ -199,6 +199,20 @@ def _weigh(pos: int, neg: int, n_pos: int, n_neg: int) -> tuple[float, float]:
     return weight, g
 
 
+def _qualifies(pos: str, neg: str, n_pos: int, n_neg: int) -> Column:
+    """Whether an entry passes the tests of :func:`choose_entries`, as a column (a little wider, for the last bits)."""
+    if not n_pos or not n_neg:
+        return F.lit(False)
+    pos, neg = F.expr(pos), F.expr(neg)
+    weight = F.log((pos + 0.5) / (n_pos - pos + 0.5)) - F.log((neg + 0.5) / (n_neg - neg + 0.5))
+    n, row, support = n_pos + n_neg, pos + neg, F.lit(0.0)
+    for seen, expected in (
+        (pos, row * n_pos / n), (neg, row * n_neg / n), (n_pos - pos, (n - row) * n_pos / n), (n_neg - neg, (n - row) * n_neg / n),
+    ):
+        support = support + F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0)
+    return (pos >= LEAST_DOCS) & (weight >= LEAST_WEIGHT - 1e-9) & (support >= LEAST_SUPPORT - 1e-9)
+
+
 def choose_entries(counts: dict[str, tuple[int, int]], n_pos: int, n_neg: int, most: int = ENTRIES) -> dict[str, float]:
     """Entries with their weights.
 
@@ -293,16 +307,17 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ())
     both classes among the labels every score is that of the only class (0 without labels).
     """
     sample = written(learning_sample(docs, labels), "labelled")
-    counted = _count_entries(sample)
-    pos, neg = F.col("pos0") + F.col("pos1"), F.col("neg0") + F.col("neg1")
-    strong = counted.where((pos >= LEAST_DOCS) | (F.col("entry") == "")).orderBy(
-        F.desc(F.col("entry") == ""), F.desc((pos + 0.5) / (neg + 5.0) * pos), "entry"
-    ).limit(5 * ENTRIES)
-    rows = {r.entry: (r.pos0, r.neg0, r.pos1, r.neg1) for r in strong.collect()}
-    p0, n0, p1, n1 = rows.pop("", (0, 0, 0, 0))
+    counted = written(_count_entries(sample), "entries")
+    totals = counted.where(F.col("entry") == "").first()
+    p0, n0, p1, n1 = (totals.pos0, totals.neg0, totals.pos1, totals.neg1) if totals else (0, 0, 0, 0)
     if not p0 + p1 or not n0 + n1:
         rate = 30.0 if p0 + p1 else -30.0
         return Model(Lexicon({}), [rate, 0.0, 0.0, 0.0])
+    # all that one of the three lexicons can take: as many as a sample of bounded size supports, whatever the corpus
+    may = _qualifies("pos0", "neg0", p0, n0) | _qualifies("pos1", "neg1", p1, n1)
+    may |= _qualifies("pos0 + pos1", "neg0 + neg1", p0 + p1, n0 + n1)
+    strong = counted.where((F.col("entry") != "") & may)
+    rows = {r.entry: (r.pos0, r.neg0, r.pos1, r.neg1) for r in strong.collect()}
     halves = [
         Lexicon(choose_entries({e: (r[2], r[3]) for e, r in rows.items()}, p1, n1)),
         Lexicon(choose_entries({e: (r[0], r[1]) for e, r in rows.items()}, p0, n0)),

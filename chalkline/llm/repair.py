@@ -27,7 +27,6 @@ from chalkline.llm.pieces import table
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 SHARD_TOKENS = 1 << 20
-ROUNDS = 4
 RULES_PER_ROUND = 1024
 LEAST_COUNT = 32
 MAGIC = b"RPAIRv1\0"
@@ -37,20 +36,21 @@ SHARD_SCHEMA = "part long, seq long, n_tokens long, doc_ids array<long>, shard b
 
 
 def compress(
-    ids: np.ndarray, base: int, rounds: int = ROUNDS, per_round: int = RULES_PER_ROUND, least: int = LEAST_COUNT
+    ids: np.ndarray, base: int, rounds: int | None = None, per_round: int = RULES_PER_ROUND, least: int = LEAST_COUNT
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, rules, expansion lengths): symbols from ``base`` on stand for pairs of symbols.
 
     Each round counts all adjacent pairs and replaces the ``per_round`` most frequent ones that
-    occur ``least`` times or more; where chosen pairs overlap, the leftmost is replaced.
+    occur ``least`` times or more; where chosen pairs overlap, the leftmost is replaced. It ends when no pair is that
+    frequent, or after ``rounds``.
     """
-    # a pair is one number; 32 bits hold it while symbols fit 16
-    kind, shift = (np.uint32, 16) if base + rounds * per_round <= 1 << 16 else (np.uint64, 32)
-    symbols = ids.astype(kind)
+    symbols = ids
     rules = np.zeros((0, 2), np.int64)
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1 and (rounds is None or rounds > 0):
+        rounds = None if rounds is None else rounds - 1
+        # a pair is one number; 32 bits hold it while symbols fit 16
+        kind, shift = (np.uint32, 16) if base + len(rules) + per_round <= 1 << 16 else (np.uint64, 32)
+        symbols = symbols.astype(kind)
         pairs = (symbols[:-1] << kind(shift)) | symbols[1:]
         ordered = np.sort(pairs)
         first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))

@@ -134,11 +134,12 @@ def ratio(string: str, model: np.ndarray) -> float:
 
 
 def random_spans(text: str, base: list[Span], model: np.ndarray, threshold: float = THRESHOLD) -> list[Span]:
-    """Random-looking strings outside the base spans."""
-    out = []
+    """Random-looking strings outside the base spans, which are sorted; both are walked once."""
+    out, at, reach = [], 0, 0
     for m in CANDIDATE.finditer(text):
-        clear = all(m.end() <= s or e <= m.start() for s, _, e in base)
-        if clear and ratio(m.group(), model) >= threshold:
+        while at < len(base) and base[at][0] < m.end():
+            reach, at = max(reach, base[at][2]), at + 1
+        if reach <= m.start() and ratio(m.group(), model) >= threshold:
             out.append((m.start(), 3, m.end()))
     return out
 

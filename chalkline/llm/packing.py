@@ -87,10 +87,11 @@ def pack(
         F.col(source).cast("string").alias("source"), F.col(cluster).cast("string").alias("cluster"),
     )
     shards = max(1, -(-docs.select(key).count() // shard_docs))
-    dealt = rows.withColumn(
-        # the row's number spreads repeated rows
-        "shard", F.pmod(F.xxhash64("key", F.monotonically_increasing_id()), F.lit(shards)).cast("long")
-    )
+    # equal rows are numbered, so that they spread, and a row's shard depends on nothing but the rows
+    what = ["key", "size", "source", "cluster"]
+    counted = rows.groupBy(*what).agg(F.count("*").alias("_rows"))
+    numbered = counted.withColumn("_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))))
+    dealt = numbered.select(*what, F.pmod(F.xxhash64(*what, "_no"), F.lit(shards)).cast("long").alias("shard"))
     names = ["key", "piece", "piece_offset", "size", "shard", "bin", "bin_offset"]
 
     def fill(table: pa.Table) -> pa.Table:

@@ -116,19 +116,20 @@ def test_toxic_stage(spark, stages):
 
 
 def test_near_duplicate_stage(stages):
+    """Next to the Jaccard similarity of every pair."""
     before, after = stages["near_duplicates"]
-    prints = {r.doc_id: (simhash.fingerprint(r.text or "", 2), simhash.fingerprint(r.text or "")) for r in before}
-    near = lambda a, b: ((a[0] ^ b[0]) % 2**64).bit_count() <= 8 and ((a[1] ^ b[1]) % 2**64).bit_count() <= 12
-    least = {i: i for i in prints}
+    sets = {r.doc_id: shingles(r.text) for r in before}
+    near = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b) - 1e-9
+    least = {i: i for i in sets}
     moved = True
     while moved:
         moved = False
-        for a in prints:
-            for b in prints:
-                if least[a] > least[b] and near(prints[a], prints[b]):
+        for a in sets:
+            for b in sets:
+                if least[a] > least[b] and near(sets[a], sets[b]):
                     least[a], moved = least[b], True
     assert sorted(r.doc_id for r in after) == sorted(set(least.values()))
-    assert len({r.text for r in after}) == len(after)
+    assert len({r.text for r in after}) == len(after) < len(before)
 
 
 def test_decontamination_stage(stages):
@@ -165,6 +166,28 @@ def test_run_equals_its_stages(spark, stages):
     assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in stages["packing"][1])
 
 
+def test_stages_with_null_ids_repeats_and_long_texts(spark):
+    item = duckdb.sql(f"SELECT text FROM '{SF}/benchmark.parquet' ORDER BY item_id LIMIT 1").fetchall()[0][0]
+    plain = " ".join(f"word{i}" for i in range(60))
+    long = " ".join(f"long{i}" for i in range(60_000))
+    rows = [
+        (None, item, "en", "a", 1), (None, plain, "en", None, 2), (None, None, None, None, None), (1, item, "en", "a", 1),
+        (1, "one clean text " + plain, "en", "a", 1), (2, "token = abcdefgh12345678", "en", "b", 24), (2, "token = abcdefgh12345678", "en", "b", 24),
+        (3, long, "en", "c", 5), (4, long + " end", "en", "c", 5), (5, "", "en", "c", 0), (6, " \n", "en", "c", 2),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    run = dict(corpus_pipeline.STAGES)
+    assert run["toxicity"](spark, docs, SF).count() == len(rows)
+    near = [(r.doc_id, r.text) for r in run["near_duplicates"](spark, docs, SF).collect()]
+    assert {(None, item), (None, plain), (None, None), (3, long)} <= set(near) and not {4, 6} & {i for i, _ in near}
+    clean = [(r.doc_id, r.text) for r in run["decontamination"](spark, docs, SF).collect()]
+    assert sorted(clean, key=repr) == sorted([r[:2] for r in rows if r[1] != item], key=repr)
+    masked = [(r.doc_id, r.text) for r in run["secrets"](spark, docs, SF).collect()]
+    assert len(masked) == len(rows) and masked.count((2, "[SECRET]")) == 2 and (None, None) in masked
+    packed = run["packing"](spark, docs, SF).collect()
+    assert sum(r.size for r in packed) == sum(len((r[1] or "").encode()) for r in rows)
+
+
 def test_contained_items_of_nothing(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     assert decontaminate.contained_items(empty, spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 0

@@ -40,6 +40,8 @@ def with_text_columns(
                 texts = [t or "" for t in part.column(position).to_pylist()]
                 new = [pa.array(values, type=kind) for values, kind in zip(work(texts), types)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *names])
+            # the worker lives on; what it has freed should not stay with it
+            pa.default_memory_pool().release_unused()
 
     return base.mapInArrow(run, schema)
 

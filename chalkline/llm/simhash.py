@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from chalkline.llm.batches import with_text_columns
+from chalkline.llm.batches import SLICE, with_text_columns
 from chalkline.llm.components import connected
 from chalkline.session import written
 
@@ -63,6 +63,22 @@ def with_fingerprints(docs: DataFrame, shingles: dict[str, int], text: str = "te
     return with_text_columns(docs, [StructField(name, LongType()) for name in shingles], make, text)
 
 
+def _prints(rows: DataFrame, shingles: dict[str, int]) -> DataFrame:
+    """(key, fingerprints) of (key, text); texts do not come back from the tasks' workers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                new = [pa.array([fingerprint(t, n) for t in texts], pa.int64()) for n in shingles.values()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *new], ["key", *shingles])
+            pa.default_memory_pool().release_unused()
+
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.mapInArrow(run, ", ".join([f"key {kind}", *(f"{name} long" for name in shingles)]))
+
+
 def _keys(max_bits: int) -> Column:
     """The bucket keys of a fingerprint, one bigint per pair of bit runs: the pair's number above the bits."""
     runs = max_bits + 2
@@ -218,7 +234,7 @@ def with_components(
     shingles = {"fp": shingle} if other_shingle is None else {"fp": shingle, "other": other_shingle}
     names = list(shingles)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    prints = written(with_fingerprints(rows, shingles).drop("text"), "fingerprints")
+    prints = written(_prints(rows, shingles), "fingerprints")
     distinct = written(prints.groupBy(*names).agg(F.min("key").alias("least")), "distinct-fingerprints")
     roots = connected(fingerprint_links(distinct, max_bits, other_bits))
     rooted = distinct.withColumn("node", _node(names)).join(roots, "node", "left")

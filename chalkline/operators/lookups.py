@@ -72,6 +72,19 @@ def search_answers(lookups: DataFrame, lectures: DataFrame) -> DataFrame:
     )
 
 
+def read_calls(calls: DataFrame) -> DataFrame:
+    """(call_id, lecture_id, tool, query, timestamp_seconds, window_seconds) of calls whose ``input`` is a JSON text.
+
+    A field that is missing, null or not of its type (a number may be given as text) is null, as all are where the input is null or no JSON
+    object; the lookups then take their defaults. Every call stays one row.
+    """
+    given = F.try_parse_json("input")
+    fields = {"query": "string", "timestamp_seconds": "double", "window_seconds": "double"}
+    return calls.select(
+        "call_id", "lecture_id", "tool", *(F.try_variant_get(given, f"$.{name}", kind).alias(name) for name, kind in fields.items())
+    )
+
+
 def dispatch(lookups: DataFrame, lectures: DataFrame, aligned: DataFrame, figures: DataFrame) -> DataFrame:
     """(call_id, tool, result): one row per lookup call, each kind of call answered as a set.
 

@@ -20,7 +20,9 @@ VIEWS: dict[str, str] = {
         CAST(NULL AS STRING) AS transcript FROM @conversations WHERE conv_id % 2 = 1""",
     "long_segments": """SELECT conv_id AS lecture_id, CAST(turn AS INT) AS id, CAST(turn * 20 AS DOUBLE) AS start_sec,
         CAST(CASE WHEN turn = 1 AND conv_id % 2 = 0 THEN 9999 ELSE turn * 20 + 18 END AS DOUBLE) AS end_sec, text
-        FROM @conversations WHERE conv_id % 5 > 0""",
+        FROM @conversations WHERE coalesce(conv_id, 1) % 5 <> 0
+        UNION ALL SELECT conv_id, CAST(turn AS INT), CAST(turn * 20 + 100000 AS DOUBLE), CAST(turn * 20 + 100018 AS DOUBLE), text
+        FROM @conversations WHERE coalesce(conv_id, 1) % 5 = 0""",
     "ocr_frames": """SELECT conv_id AS lecture_id, CAST(turn AS INT) AS frame_index,
         CAST(turn * 20 + 7 AS DOUBLE) AS timestamp_sec,
         concat('frame_', CAST(turn AS STRING), '.jpg') AS image_path, text AS raw_text, turn % 2 = 0 AS is_slide
@@ -28,7 +30,8 @@ VIEWS: dict[str, str] = {
     "spoken_turns": """SELECT conv_id AS lecture_id, CAST(turn AS INT) AS id, text
         FROM @conversations WHERE role = 'user'""",
     "queries": """SELECT d.doc_id AS query_id, d.doc_id AS lecture_id, b.text AS query
-        FROM @documents d JOIN @benchmark b ON b.item_id = d.doc_id % 40""",
+        FROM (SELECT doc_id, coalesce(doc_id, 0) % (SELECT count(*) FROM @benchmark) AS item FROM @documents) d
+        JOIN @benchmark b ON b.item_id = d.item""",
     "frame_scores": """SELECT user_id AS lecture_id, event_id AS ord,
         CAST((event_id * 7) % 5400 AS DOUBLE) AS timestamp_sec, event_type,
         concat('frame_', CAST(event_id AS STRING), '.jpg') AS image_path, value AS score FROM @events""",
@@ -63,6 +66,10 @@ VIEWS: dict[str, str] = {
         WHEN 2 THEN 'get_figure_at_timestamp' ELSE CASE WHEN event_id % 8 = 3 THEN 'other' END END AS tool, event_type AS query,
         CASE WHEN event_id % 23 > 0 THEN CAST(event_id % 160 AS DOUBLE) END AS timestamp_seconds,
         CASE WHEN event_id % 3 > 0 THEN CAST(45 AS DOUBLE) END AS window_seconds FROM @events""",
+    "lookup_calls": """SELECT call_id, lecture_id, tool, concat('{"query": "', query, '"',
+        CASE WHEN timestamp_seconds IS NOT NULL THEN concat(', "timestamp_seconds": ', CAST(CAST(timestamp_seconds AS INT) AS STRING))
+        WHEN call_id % 2 = 0 THEN ', "timestamp_seconds": "soon"' ELSE '' END,
+        CASE WHEN window_seconds IS NOT NULL THEN ', "window_seconds": "45"' ELSE '' END, '}') AS input FROM lookups""",
     "verdicts": """SELECT user_id AS lecture_id, event_id AS ord, CAST((event_id * 7) % 5400 AS DOUBLE) AS timestamp_sec,
         CASE WHEN event_id % 10 = 7 THEN 'nope' ELSE concat('```json', chr(10), '{"include": ',
         CASE WHEN event_id % 3 = 0 THEN 'true' ELSE 'false' END,
@@ -76,7 +83,8 @@ VIEWS: dict[str, str] = {
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.sql(re.sub(r"@(\w+)", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", VIEWS[name]))
+    body = re.sub(r"\b(FROM|JOIN) (\w+)", lambda m: f"{m[1]} ({VIEWS[m[2]]}) {m[2]}" if m[2] in VIEWS else m[0], VIEWS[name])
+    return spark.sql(re.sub(r"@(\w+)", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", body))
 
 
 def check_sql(body: str, extra: dict[str, str] | None = None) -> str:

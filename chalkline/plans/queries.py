@@ -113,7 +113,7 @@ def transcripts_scan(spark, sf_dir):
 def ocr_frames_file(spark, sf_dir):
     path = shared_dir(spark, "ocr-frames")
     writers.write_ocr_frames(frames.frame_text(_tables(spark, sf_dir).blocks), path)
-    read = readers.read_ocr_table(spark, path)
+    read = readers.read_ocr_frames(spark, path, lines=True)
     return read.select(
         F.col("lecture_id").cast("bigint").alias("lecture_id"), "frame_index", "timestamp_sec", "image_path", "raw_text",
         "is_slide", F.size("blocks").alias("n_blocks"),
@@ -274,7 +274,7 @@ def frames_present(spark, sf_dir):
 @query
 def lookup_dispatch(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    return lookups.dispatch(t.lookups, t.lectures, t.aligned, t.figures)
+    return lookups.dispatch(lookups.read_calls(t.lookup_calls), t.lectures, t.aligned, t.figures)
 
 
 @query

@@ -48,17 +48,31 @@ def read_segments(spark: SparkSession, path: str, multiline: bool = True) -> Dat
     )
 
 
-def read_ocr_frames(spark: SparkSession, path: str) -> DataFrame:
-    """One row per OCR frame of JSON arrays; a record with a missing or unknown field is an error."""
-    files = spark.read.text(path, wholetext=True).withColumn(
-        "lecture_id", stem("_metadata.file_path", "_ocr")
-    )
+def read_ocr_frames(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per OCR frame; a record with a missing or unknown field is an error.
+
+    Reads JSON arrays, one file per lecture, or with ``lines`` the records that
+    :func:`chalkline.sources.writers.write_ocr_frames` puts one to a line with their lecture.
+    """
     fail_fast = {"mode": "FAILFAST"}
-    fields = F.from_json("value", "ARRAY<MAP<STRING, STRING>>", fail_fast)
-    strict = F.forall(fields, lambda r: F.sort_array(F.map_keys(r)) == F.array(*map(F.lit, OCR_FIELDS)))
-    records = F.when(strict, F.from_json("value", f"ARRAY<{OCR_FRAME}>", fail_fast)).otherwise(
-        F.raise_error(F.concat(F.lit("OCR record with missing or unknown fields: "), "lecture_id"))
-    )
+
+    def strict(text: Column, kind: str, keys: Column, lecture: Column) -> Column:
+        return F.when(keys, F.from_json(text, kind, fail_fast)).otherwise(
+            F.raise_error(F.concat(F.lit("OCR record with missing or unknown fields: "), lecture))
+        )
+
+    def has_fields(record: Column) -> Column:
+        return F.sort_array(F.map_keys(record)) == F.array(*map(F.lit, OCR_FIELDS))
+
+    if lines:
+        known = F.from_json("value", "lecture_id STRING, frame MAP<STRING, STRING>", fail_fast)
+        named = spark.read.text(path).select("value", known.alias("k"))
+        right = F.coalesce(has_fields(F.col("k.frame")), F.lit(False))
+        record = strict(F.col("value"), f"frame {OCR_FRAME}", right, F.coalesce("k.lecture_id", F.lit("")))
+        return named.select(F.col("k.lecture_id").alias("lecture_id"), record["frame"].alias("r")).select("lecture_id", "r.*")
+    files = spark.read.text(path, wholetext=True).withColumn("lecture_id", stem("_metadata.file_path", "_ocr"))
+    right = F.forall(F.from_json("value", "ARRAY<MAP<STRING, STRING>>", fail_fast), has_fields)
+    records = strict(F.col("value"), f"ARRAY<{OCR_FRAME}>", right, F.col("lecture_id"))
     return files.select("lecture_id", F.explode(records).alias("r")).select("lecture_id", "r.*")
 
 

@@ -50,12 +50,13 @@ def write_transcript_files(lectures: DataFrame, path: str) -> None:
 
 
 def write_ocr_frames(frames: DataFrame, path: str) -> None:
-    """Frames with text, one JSON record per line."""
+    """Frames with text, one JSON record per line, every field in it, null ones too."""
     fields = ["frame_index", "timestamp_sec", "image_path", "raw_text", "blocks", "is_slide"]
     (
         frames.where(strip("raw_text") != "")
         .select(F.col("lecture_id").cast("string").alias("lecture_id"), F.struct(*fields).alias("frame"))
         .write.mode("overwrite")
+        .option("ignoreNullFields", False)
         .json(path)
     )
 

@@ -28,6 +28,13 @@ def _run(stream: DataFrame, put, checkpoint: str) -> StreamingQuery:
     )
 
 
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which a null key meets a null key; of two key columns the left one stays."""
+    named = right.select(*(F.col(c).alias(f"_r_{c}" if c in keys else c) for c in right.columns))
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(named, on, how).drop(*(f"_r_{k}" for k in keys))
+
+
 def _fold(spark: SparkSession, batch_id: int, every: int, tables: dict[str, list[str]]) -> None:
     """Fold the versions of tables (path: keys) after every so many batches."""
     if (batch_id + 1) % every == 0:
@@ -44,12 +51,15 @@ def change_batches(
     A batch is worked on block by block with the batch operator. It reruns a lecture from its first new row on,
     entered with the last row kept before that, so a late row corrects everything behind it. ``path/rows`` holds all rows,
     ``path/kept`` the rows kept by each batch, ``path/cuts`` where it began in each lecture. A row that is delivered
-    again for the same place replaces the earlier one.
+    again for the same place replaces the earlier one. Rows without a lecture are one series; below ``path`` lectures are
+    named by a JSON text, which is never null.
     """
+    kind = series.schema["lecture_id"].dataType.simpleString()
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select("lecture_id", order, F.col(value).cast("double").alias(value))
+        named = F.to_json(F.struct("lecture_id")).alias("lecture_id")
+        rows = batch.select(named, order, F.col(value).cast("double").alias(value))
         write_version(rows, f"{path}/rows", batch_id, ["lecture_id", order], [value])
         new = spark.read.schema(rows.schema).parquet(f"{path}/rows/version={batch_id}")
         new.groupBy("lecture_id").agg(F.min(order).alias("from_order")).write.mode("overwrite").parquet(
@@ -58,15 +68,15 @@ def change_batches(
         cuts = spark.read.parquet(f"{path}/cuts/version={batch_id}")
         entering = None
         if batch_id > 0:
-            known = kept_changes(spark, path, order, before=batch_id).join(cuts, "lecture_id")
+            known = _kept(spark, path, order, before=batch_id).join(cuts, "lecture_id")
             entering = known.where(F.col(order) < F.col("from_order")).groupBy("lecture_id").agg(
                 F.max_by(value, order).alias(value)
             )
         every = read_versions(spark, f"{path}/rows", ["lecture_id", order])
         again = every.join(cuts, "lecture_id").where(F.col(order) >= F.col("from_order")).drop("from_order")
-        change_points(again, threshold, value, order, entering=entering).write.mode("overwrite").parquet(
-            f"{path}/kept/version={batch_id}"
-        )
+        found = change_points(again, threshold, value, order, entering=entering)
+        lecture = F.from_json("lecture_id", f"lecture_id {kind}")["lecture_id"]
+        found.withColumn("_lecture", lecture).write.mode("overwrite").parquet(f"{path}/kept/version={batch_id}")
         _fold(spark, batch_id, fold_every, {f"{path}/rows": ["lecture_id", order]})
 
     return _run(series, keep, checkpoint)
@@ -74,6 +84,10 @@ def change_batches(
 
 def kept_changes(spark: SparkSession, path: str, order: str = "ord", before: int | None = None) -> DataFrame:
     """The rows kept so far: those of a batch that no later batch of the lecture began at or before."""
+    return _kept(spark, path, order, before).drop("lecture_id").withColumnRenamed("_lecture", "lecture_id")
+
+
+def _kept(spark: SparkSession, path: str, order: str, before: int | None = None) -> DataFrame:
     kept, cuts = (spark.read.parquet(f"{path}/{name}") for name in ("kept", "cuts"))
     if before is not None:
         kept, cuts = kept.where(F.col("version") < before), cuts.where(F.col("version") < before)
@@ -134,10 +148,10 @@ def align_stream(
         new_frames = spark.read.parquet(f"{path}/frames/version={batch_id}")
         new_segments = spark.read.parquet(f"{path}/segments/version={batch_id}")
         touched = new_frames.select("lecture_id").union(new_segments.select("lecture_id")).distinct()
-        every_frame = read_versions(spark, f"{path}/frames", frame_key).join(touched, "lecture_id", "left_semi")
-        every_segment = read_versions(spark, f"{path}/segments", segment_key).join(touched, "lecture_id", "left_semi")
+        every_frame = _null_safe(read_versions(spark, f"{path}/frames", frame_key), touched, ["lecture_id"], "left_semi")
+        every_segment = _null_safe(read_versions(spark, f"{path}/segments", segment_key), touched, ["lecture_id"], "left_semi")
         reached = align_pairs(every_frame, new_segments, window).select(*frame_key)
-        due = every_frame.join(reached.union(new_frames.select(*frame_key)).distinct(), frame_key, "left_semi")
+        due = _null_safe(every_frame, reached.union(new_frames.select(*frame_key)).distinct(), frame_key, "left_semi")
         align(due, every_segment, window).write.mode("overwrite").parquet(f"{path}/aligned/version={batch_id}")
         _fold(spark, batch_id, fold_every, {
             f"{path}/frames": frame_key, f"{path}/segments": segment_key, f"{path}/aligned": frame_key,

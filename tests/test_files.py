@@ -42,6 +42,13 @@ def test_ocr_frames_are_strict(spark, tmp_path, change_record):
     (tmp_path / "L_ocr.json").write_text(json.dumps([change_record(record)]))
     with pytest.raises(Exception, match="missing or unknown"):
         readers.read_ocr_frames(spark, str(tmp_path)).collect()
+    lines = tmp_path / "lines"
+    lines.mkdir()
+    (lines / "a.json").write_text(json.dumps({"lecture_id": "L", "frame": record}) + "\n")
+    assert [r.raw_text for r in readers.read_ocr_frames(spark, str(lines), lines=True).collect()] == ["t"]
+    (lines / "b.json").write_text(json.dumps({"lecture_id": "L", "frame": change_record(record)}) + "\n")
+    with pytest.raises(Exception, match="missing or unknown"):
+        readers.read_ocr_frames(spark, str(lines), lines=True).collect()
 
 
 def test_catalogue_images_and_logs(spark, tmp_path):
@@ -106,6 +113,18 @@ def test_change_stream_takes_late_rows(spark):
     assert (1, 5, 50.0) in got and (1, 0, 4.5) in got
 
 
+def test_change_stream_keeps_rows_without_a_lecture(spark):
+    rows = lambda *x: spark.createDataFrame([(k, o, float(v)) for k, o, v in x], "lecture_id bigint, ord bigint, score double")
+    named, far = [(1, 1), (2, 1.2), (5, 9), (6, 9.1), (9, 2)], 2**53 + 1
+    first = rows(*((k, o, v) for k in (None, far) for o, v in named[1:4]))
+    second = rows(*((k, o, v) for k in (None, far) for o, v in (named[0], named[4])))
+    base = stream_in_two_batches(
+        spark, first, second, lambda s, b: jobs.change_batches(s, 1.0, f"{b}/out", f"{b}/cp").awaitTermination()
+    )
+    got = jobs.kept_changes(spark, f"{base}/out").select("lecture_id", "ord", "score").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(k, o, float(v)) for k in (None, far) for o, v in ((1, 1), (5, 9), (9, 2))], key=repr)
+
+
 def test_index_stream(spark):
     rows = lambda *x: spark.createDataFrame(x, "lecture_id bigint, course string, lecture_date string, source string, transcript string")
     first = rows((1, "C", "d", "transcript", "old"), (2, "C", "e", "transcript", "kept"))
@@ -122,7 +141,7 @@ def test_index_stream(spark):
 def test_align_stream_takes_rows_in_any_order(spark):
     frame = "lecture_id bigint, frame_index int, timestamp_sec double, raw_text string, is_slide boolean, image_path string"
     segment = "lecture_id bigint, id int, start_sec double, end_sec double, text string"
-    frames = [(k, i, i * 40.0, f"r{i}", False, f"p{i}") for k in (1, 2, 3) for i in range(30)]
+    frames = [(k, i, i * 40.0, f"r{i}", False, f"p{i}") for k in (1, 2, 3, None) for i in range(30)]
     segments = [(k, i, i * 90.0, i * 90.0 + 5, f"t{i}") for k in (1, 2) for i in range(10)] + [(1, 50, 0.0, 9999.0, "all")]
     # lecture 2 comes whole a day late, lecture 1 gets its long segment and some early frames late, 3 has no speech
     late_frame = lambda f: f[0] == 2 or (f[0] == 1 and f[1] % 4 == 0)
@@ -138,8 +157,8 @@ def test_align_stream_takes_rows_in_any_order(spark):
         ).awaitTermination()
     want = temporal.align(spark.createDataFrame(frames, frame), spark.createDataFrame(segments, segment))
     got = jobs.aligned_frames(spark, f"{sources['run']}/out").select(*want.columns)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    assert got.where("speech = ''").count() >= 30
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert got.where("speech = ''").count() >= 30 and got.where("lecture_id IS NULL").count() == 30
 
 
 def test_scopes_clean_up(spark, tmp_path):

@@ -11,6 +11,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from chalkline.operators import lookups
+from chalkline.plans.fixtures import view
 from chalkline.plans.oracles import ORACLES as SQL
 from chalkline.plans.queries import QUERIES
 
@@ -72,6 +74,17 @@ def test_entry(spark):
     assert entry.entry(spark).columns == ["lecture_id", "chunk_idx", "prompt"]
 
 
+def test_views_leave_no_rows_out(spark):
+    big = "/root/testdata/sf0.1"
+    read = lambda name: spark.read.parquet(f"{big}/{name}.parquet")
+    asked = view(spark, big, "queries")
+    assert asked.select("query").distinct().count() == read("benchmark").select("text").distinct().count()
+    assert asked.count() == read("documents").count()
+    spoken = view(spark, big, "long_segments")
+    assert spoken.count() == read("conversations").count()
+    assert spoken.select("lecture_id").distinct().count() == read("conversations").select("conv_id").distinct().count()
+
+
 def plan(spark, name):
     return QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
@@ -93,7 +106,9 @@ def test_topk_limits_before_the_shuffle(spark):
 
 
 def test_passages_are_ranked_without_a_shuffle_of_windows(spark):
-    text = plan(spark, "passage_search")
+    asked = spark.createDataFrame([], "query_id bigint, lecture_id bigint, query string")  # without the view that binds items to lectures
+    found = lookups.search_passages(view(spark, SF, "lectures"), asked)
+    text = found._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in text and "Aggregate" not in text and text.count("Generate") == 1
 
 

@@ -129,6 +129,18 @@ def test_repeated_query_words_and_half_even_position(spark):
     assert sorted((r.start, r.score, r.position_pct) for r in rows) == [(0, 2, 0), (50, 2, 12)]
 
 
+def test_calls_from_json(spark):
+    inputs = [
+        '{"query": "a \\"b\\"", "timestamp_seconds": 5}', '{"timestamp_seconds": 7.5, "window_seconds": "30", "more": [1]}',
+        '{"query": null, "timestamp_seconds": "soon", "window_seconds": {}}', '{"query": 3}', "{}", "[1, 2]", '"text"', "not json", "", None,
+    ]
+    calls = spark.createDataFrame([(i, None, "x", t) for i, t in enumerate(inputs)], "call_id bigint, lecture_id bigint, tool string, input string")
+    got = lookups.read_calls(calls).orderBy("call_id").collect()
+    none = (None, None, None)
+    assert [tuple(r)[3:] for r in got] == [('a "b"', 5.0, None), (None, 7.5, 30.0), none, ("3", None, None), *[none] * 6]
+    assert got[0].asDict().keys() == {"call_id", "lecture_id", "tool", "query", "timestamp_seconds", "window_seconds"}
+
+
 def test_dispatch(spark):
     lectures = spark.createDataFrame([(1, "alpha beta")], "lecture_id bigint, transcript string")
     aligned = spark.createDataFrame([(1, 0, 5.0, "s", "ocr")], "lecture_id bigint, frame_index int, timestamp_sec double, speech string, ocr_text string")

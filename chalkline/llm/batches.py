@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -15,6 +16,19 @@ SLICE = 2000
 TextFunction = Callable[[list[str]], Sequence[Sequence]]
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs that run inside send Python workers so many rows at a time at most: a batch of whole texts is held several times, by
+    the JVM and by the worker. The session's own setting comes back at the end."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def with_text_columns(
     df: DataFrame, fields: list[StructField], make: Callable[[], TextFunction], text: str = "text"
 ) -> DataFrame:

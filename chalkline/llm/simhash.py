@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from chalkline.llm.batches import SLICE, with_text_columns
+from chalkline.llm.batches import SLICE, small_batches, with_text_columns
 from chalkline.llm.components import connected
 from chalkline.session import written
 
@@ -234,7 +234,8 @@ def with_components(
     shingles = {"fp": shingle} if other_shingle is None else {"fp": shingle, "other": other_shingle}
     names = list(shingles)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    prints = written(_prints(rows, shingles), "fingerprints")
+    with small_batches(rows.sparkSession):
+        prints = written(_prints(rows, shingles), "fingerprints")
     distinct = written(prints.groupBy(*names).agg(F.min("key").alias("least")), "distinct-fingerprints")
     roots = connected(fingerprint_links(distinct, max_bits, other_bits))
     rooted = distinct.withColumn("node", _node(names)).join(roots, "node", "left")

@@ -15,7 +15,7 @@ from chalkline.operators import change, dedup, frames, lookups, prompts, retriev
 from chalkline.operators.concat import ordered_concat
 from chalkline.plans.fixtures import view
 from chalkline.session import shared_dir, written
-from chalkline.sources import readers, writers
+from chalkline.sources import keyed, readers, writers
 from chalkline.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,9 +158,9 @@ def notes_upsert(spark, sf_dir):
     revised = notes(lectures.where(F.col("language") == "fr"), None, F.concat(F.lit("Revised. "), F.col("transcript")))
     parts = notes(lectures.where(F.col("language") == "de"), "Part 2", F.concat(F.lit("Continued. "), F.col("transcript")))
     path = shared_dir(spark, "notes")
-    writers.write_version(first, path, 1, ["notes_key"], ["lecture_id"])
-    writers.write_version(revised.unionByName(parts), path, 2, ["notes_key"], ["lecture_id"])
-    return writers.read_versions(spark, path, ["notes_key"])
+    for run, rows in enumerate([first, revised.unionByName(parts)]):
+        keyed.upsert(rows, path, run, ["notes_key"], ["lecture_id"])
+    return keyed.read_table(spark, path)
 
 
 INDEX_COLUMNS = ["id", "collection", "course", "lecture_date", "source", "chunk_index", "document"]
@@ -169,15 +169,14 @@ INDEX_COLUMNS = ["id", "collection", "course", "lecture_date", "source", "chunk_
 @query
 def index_upsert(spark, sf_dir):
     t = _tables(spark, sf_dir)
-    embed = hashed_embedding()
-    base = retrieval.latest_per_key(
-        retrieval.index_chunks(t.sourced, embedding=embed), ["collection", "id"], ["lecture_id"]
-    )
     again = t.sourced.where(F.col("language") != "en").withColumn(
         "transcript", F.concat(F.lit("Second reading: "), F.col("transcript"))
     )
-    more = retrieval.index_chunks(again, embedding=embed)
-    return retrieval.upsert(base, more, ["lecture_id"]).select(*INDEX_COLUMNS, _signature())
+    path = shared_dir(spark, "index")
+    for run, lectures in enumerate([t.sourced, again]):
+        chunks = retrieval.index_chunks(lectures, embedding=hashed_embedding())
+        keyed.upsert(chunks, path, run, ["collection", "id"], ["lecture_id"])
+    return keyed.read_table(spark, path).select(*INDEX_COLUMNS, _signature())
 
 
 # --- projections, filters ---------------------------------------------------------------
@@ -672,7 +671,7 @@ def change_points_batches(spark, sf_dir):
 
 @query
 def index_upsert_stream(spark, sf_dir):
-    """The index of lectures that arrive in three batches, folded after two."""
+    """The index of lectures that arrive in three batches."""
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         F.col("doc_id").alias("lecture_id"), F.col("source").alias("course"),
         F.expr("CAST(DATE '2024-01-01' + CAST(doc_id % 365 AS INT) AS STRING)").alias("lecture_date"),
@@ -683,9 +682,9 @@ def index_upsert_stream(spark, sf_dir):
     path = shared_dir(spark, "index-stream")
     _run_batches(
         [(rows, _ranges(F.col("lecture_id"), [low, high]))],
-        lambda series: jobs.index_stream(series, f"{path}/index", f"{path}/checkpoint", fold_every=2), "new-lectures",
+        lambda series: jobs.index_stream(series, f"{path}/index", f"{path}/checkpoint"), "new-lectures",
     )
-    return writers.read_versions(spark, f"{path}/index", ["collection", "id"]).select(*INDEX_COLUMNS, _signature())
+    return keyed.read_table(spark, f"{path}/index").select(*INDEX_COLUMNS, _signature())
 
 
 @query

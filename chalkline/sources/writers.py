@@ -1,6 +1,6 @@
-"""Sinks. Tables that are written again by key are kept as versions: each run or stream batch
-writes its rows below its own version number (again, if it is repeated), readers take the newest
-row per key, and :func:`compact` folds versions when there are many."""
+"""Sinks. Tables of streams are kept as versions: each batch writes its rows below its own version number (again, if it
+is repeated), readers take the newest row per key of the versions that are complete, and :func:`fold_versions` folds
+them when there are many. Tables that are read and revised for long are in :mod:`chalkline.sources.keyed`."""
 
 from __future__ import annotations
 
@@ -71,28 +71,31 @@ def write_version(df: DataFrame, path: str, version: int, keys: list[str], order
     latest_per_key(df, keys, order).write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
-def _last_fold(spark: SparkSession, path: str, below: int | None = None) -> int | None:
-    """The newest complete fold of a table, or the newest one of a version under ``below``."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/folded")
+def _complete(spark: SparkSession, path: str) -> list[int]:
+    """The versions below a folder whose write has ended."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(folder):
-        return None
-    done = [
-        int(s.getPath().getName().partition("=")[2]) for s in files.listStatus(folder)
-        if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-    ]
-    return max((v for v in done if below is None or v < below), default=None)
+        return []
+    named = [s.getPath() for s in files.listStatus(folder) if s.getPath().getName().startswith("version=")]
+    done = [p for p in named if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().partition("=")[2]) for p in done)
 
 
 def _versions(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
-    fold = _last_fold(spark, path, upto)
-    rows = spark.read.option("basePath", path).parquet(f"{path}/version=*")
-    if upto is not None:
-        rows = rows.where(F.col("version") <= upto)
-    if fold is None:
-        return rows
-    folded = spark.read.parquet(f"{path}/folded/version={fold}").withColumn("version", F.lit(fold))
-    return rows.where(F.col("version") > fold).unionByName(folded)
+    """The complete versions, all or those up to a number; what a running or failed write has so far is left out."""
+    fold = max((v for v in _complete(spark, f"{path}/folded") if upto is None or v < upto), default=None)
+    wanted = [v for v in _complete(spark, path) if (upto is None or v <= upto) and (fold is None or v > fold)]
+    parts = [
+        spark.read.option("basePath", path).parquet(*(f"{path}/version={v}" for v in wanted)).withColumn(
+            "version", F.col("version").cast("int")
+        )
+    ] if wanted else []
+    if fold is not None:
+        parts.append(spark.read.parquet(f"{path}/folded/version={fold}").withColumn("version", F.lit(fold)))
+    if not parts:
+        raise FileNotFoundError(f"no complete version at {path}")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def read_versions(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:

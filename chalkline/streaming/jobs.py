@@ -15,6 +15,7 @@ from chalkline.functions.vectors import Embedding, hashed_embedding
 from chalkline.operators.change import change_points
 from chalkline.operators.retrieval import index_chunks
 from chalkline.operators.temporal import align, align_pairs
+from chalkline.sources.keyed import upsert
 from chalkline.sources.writers import fold_versions, read_versions, write_version
 
 
@@ -98,17 +99,14 @@ def _kept(spark: SparkSession, path: str, order: str, before: int | None = None)
 
 
 def index_stream(
-    lectures: DataFrame, path: str, checkpoint: str, embedding: Embedding | None = None, fold_every: int = 16
+    lectures: DataFrame, path: str, checkpoint: str, embedding: Embedding | None = None
 ) -> StreamingQuery:
-    """Index lectures, with their vectors, as they come: each micro-batch is one version of the index table, written
-    again under the same number if the batch is repeated. Every ``fold_every`` batches the versions are folded."""
+    """Index lectures, with their vectors, as they come: each micro-batch is one run of the keyed table at ``path`` and
+    rewrites the buckets its chunks fall in. A repeated batch counts once."""
     embed = embedding or hashed_embedding()
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        chunks = index_chunks(batch, embedding=embed)
-        keys = ["collection", "id"]
-        write_version(chunks, path, batch_id, keys, ["lecture_id"])
-        _fold(batch.sparkSession, batch_id, fold_every, {path: keys})
+        upsert(index_chunks(batch, embedding=embed), path, batch_id, ["collection", "id"], ["lecture_id"])
 
     return _run(lectures, put, checkpoint)
 

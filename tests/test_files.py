@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chalkline.operators import change, temporal
 from chalkline.session import scratch, shared_dir, written
-from chalkline.sources import readers, writers
+from chalkline.sources import keyed, readers, writers
 from chalkline.streaming import jobs
 
 
@@ -132,7 +132,7 @@ def test_index_stream(spark):
     base = stream_in_two_batches(
         spark, first, second, lambda s, b: jobs.index_stream(s, f"{b}/index", f"{b}/cp").awaitTermination()
     )
-    got = writers.read_versions(spark, f"{base}/index", ["collection", "id"])
+    got = keyed.read_table(spark, f"{base}/index")
     assert sorted((r.id, r.document, len(r.embedding)) for r in got.collect()) == [
         ("C_d_transcript_0", "new", 64), ("C_e_transcript_0", "kept", 64)
     ]

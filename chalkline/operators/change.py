@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from chalkline.session import written
 
 BLOCK_ROWS = 65536
+BLOCK_KEY = ["lecture_id", "_block"]
 _CHUNK = 256
 
 
@@ -104,7 +105,6 @@ def change_points(
     (lecture_id, ``value``) is the last kept value where a series goes on from an earlier one.
     """
     schema = series.select("lecture_id", order, F.col(value).cast("double").alias(value)).schema
-    key_type = schema["lecture_id"].dataType.simpleString()
     blocked = series.select(
         "lecture_id", order, F.col(value).cast("double").alias(value),
         F.floor(F.col(order) / block_rows).alias("_block"),
@@ -119,7 +119,28 @@ def change_points(
     spans = blocked.groupBy("lecture_id").agg(F.min("_block").alias("_b0"), F.max("_block").alias("_b1"))
     long_lectures = spans.where(F.col("_b0") < F.col("_b1")).select("lecture_id")
 
-    block_key = ["lecture_id", "_block"]
+    summaries = block_summaries(blocked.join(long_lectures, "lecture_id", "left_semi"), threshold, value, order)
+    entered = blocked.join(block_entries(summaries, threshold), BLOCK_KEY, "left")
+
+    def mark(batches):
+        parts: list[tuple] = []
+        waiting = 0
+        for key, orders, values in marked_blocks(batches, threshold, value, order):
+            parts.append((np.full(len(orders), key[0]), orders, values))
+            waiting += len(orders)
+            if waiting > 8192:
+                yield _frame(parts, ["lecture_id", order, value])
+                parts, waiting = [], 0
+        if parts:
+            yield _frame(parts, ["lecture_id", order, value])
+
+    return in_order(entered, BLOCK_KEY, [order]).mapInPandas(mark, schema)
+
+
+def block_summaries(blocked: DataFrame, threshold: float, value: str, order: str) -> DataFrame:
+    """One row per block of (lecture_id, _block, _start, ``order``, ``value``) rows: what leaves it when nothing
+    entered (``first``), and the entries of :func:`block_summary` (``vs`` are followed by ``ls``)."""
+    key_type = blocked.schema["lecture_id"].dataType.simpleString()
 
     def summarise(batches):
         def row(key, start, values):
@@ -127,14 +148,19 @@ def change_points(
             first = values[kept_rows(values, threshold, None)][-1]
             return (*key, start, first, [v for v, _ in listed], [leaving for _, leaving in listed])
 
-        found = (row(key, run["_start"][0], run[value]) for key, run in sorted_runs(batches, block_key))
+        found = (row(key, run["_start"][0], run[value]) for key, run in sorted_runs(batches, BLOCK_KEY))
         while some := list(islice(found, 512)):
             yield pd.DataFrame(some, columns=["lecture_id", "_block", "start", "first", "vs", "ls"])
 
-    summaries = in_order(blocked.join(long_lectures, "lecture_id", "left_semi"), block_key, [order]).mapInPandas(
+    return in_order(blocked, BLOCK_KEY, [order]).mapInPandas(
         summarise, f"lecture_id {key_type}, _block bigint, start double, first double, vs array<double>, ls array<double>"
     )
 
+
+def block_entries(summaries: DataFrame, threshold: float) -> DataFrame:
+    """(lecture_id, _block, _enter): the last kept value when a block begins, null in a lecture's first one."""
+    key_type = summaries.schema["lecture_id"].dataType.simpleString()
+
     def compose(batches):
         """What enters each block: one number of state per lecture, carried over batches."""
         key, last = None, None
@@ -147,26 +173,31 @@ def change_points(
                 last = first if last is None else apply_summary(list(zip(vs, ls)), last, threshold)
             yield pd.DataFrame(found, columns=["lecture_id", "_block", "_enter"])
 
-    entries = in_order(summaries, ["lecture_id"], ["_block"]).mapInPandas(
+    return in_order(summaries, ["lecture_id"], ["_block"]).mapInPandas(
         compose, f"lecture_id {key_type}, _block bigint, _enter double"
     )
 
+
+def marked_blocks(batches, threshold: float, value: str, order: str):
+    """(key, orders, values) of the rows kept in each block of sorted rows with what enters it."""
+    for key, run in sorted_runs(batches, BLOCK_KEY):
+        enter = run["_start"][0] if np.isnan(run["_enter"][0]) else run["_enter"][0]
+        mask = kept_rows(run[value], threshold, None if np.isnan(enter) else float(enter))
+        yield key, run[order][mask], run[value][mask]
+
+
+def kept_per_block(entered: DataFrame, threshold: float, value: str, order: str) -> DataFrame:
+    """Blocks with the rows kept in them: (lecture_id, _block, orders, kept), empty lists where none is."""
+    key_type = entered.schema["lecture_id"].dataType.simpleString()
+
     def mark(batches):
-        parts: list[tuple] = []
-        waiting = 0
-        for key, run in sorted_runs(batches, block_key):
-            enter = run["_start"][0] if np.isnan(run["_enter"][0]) else run["_enter"][0]
-            mask = kept_rows(run[value], threshold, None if np.isnan(enter) else float(enter))
-            parts.append((np.full(int(mask.sum()), key[0]), run[order][mask], run[value][mask]))
-            waiting += len(parts[-1][0])
-            if waiting > 8192:
-                yield _frame(parts, ["lecture_id", order, value])
-                parts, waiting = [], 0
-        if parts:
-            yield _frame(parts, ["lecture_id", order, value])
+        found = ((*key, orders, values) for key, orders, values in marked_blocks(batches, threshold, value, order))
+        while some := list(islice(found, 64)):
+            yield pd.DataFrame(some, columns=["lecture_id", "_block", "orders", "kept"])
 
-    entered = blocked.join(entries, block_key, "left")
-    return in_order(entered, block_key, [order]).mapInPandas(mark, schema)
+    return in_order(entered, BLOCK_KEY, [order]).mapInPandas(
+        mark, f"lecture_id {key_type}, _block bigint, orders array<bigint>, kept array<double>"
+    )
 
 
 def in_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

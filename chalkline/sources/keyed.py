@@ -1,5 +1,5 @@
-"""Keyed tables that are kept up to date: rows lie in hash buckets of their keys, and a manifest names the folder
-that holds each bucket.
+"""Keyed tables that are kept up to date: rows lie in hash buckets of their keys (or of some of them), and a manifest
+names the folder that holds each bucket.
 
 A run puts its rows in by rewriting the buckets it touches and nothing else, then publishes the next manifest by
 renaming one file. Readers follow one manifest from start to end, so they see a run whole or not at all, and what a
@@ -15,7 +15,7 @@ import json
 import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -36,6 +36,7 @@ class Snapshot:
     run: int
     base: int | None
     keys: list[str]
+    by: list[str]
     buckets: int
     schema: str
     files: list[tuple[int, str, int]]
@@ -80,6 +81,16 @@ def snapshot(spark: SparkSession, path: str, number: int | None = None) -> Snaps
     return Snapshot(**{**stored, "files": [tuple(f) for f in stored["files"]]})
 
 
+def state_before(spark: SparkSession, path: str, run: int) -> Snapshot | None:
+    """The state that a run starts from, also if that run is repeated; None if there is none."""
+    head = snapshot(spark, path)
+    if head is not None and run < head.run:
+        raise ValueError(f"{path}: run {run} comes after run {head.run}")
+    if head is None or run > head.run:
+        return head
+    return None if head.base is None else snapshot(spark, path, head.base)
+
+
 def _manifest(path: str, number: int) -> str:
     return f"{path}/manifest/{number:010d}.json"
 
@@ -96,11 +107,14 @@ def _publish(spark: SparkSession, path: str, state: Snapshot) -> None:
         raise RuntimeError(f"{path}: another run published state {state.number}")
 
 
+def _schema(state: Snapshot) -> StructType:
+    return StructType.fromJson(json.loads(state.schema))
+
+
 def _read(spark: SparkSession, path: str, state: Snapshot, places: set[tuple[int, str]]) -> DataFrame:
-    schema = StructType.fromJson(json.loads(state.schema))
     if not places:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*(f"{path}/data/{folder}/_bucket={b}" for b, folder in sorted(places)))
+        return spark.createDataFrame([], _schema(state))
+    return spark.read.schema(_schema(state)).parquet(*(f"{path}/data/{folder}/_bucket={b}" for b, folder in sorted(places)))
 
 
 def read_table(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
@@ -112,40 +126,52 @@ def read_table(spark: SparkSession, path: str, number: int | None = None) -> Dat
     return _read(spark, path, state, state.places)
 
 
+def _bucket(by: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int")
+
+
+def read_matching(spark: SparkSession, path: str, state: Snapshot, wanted: DataFrame) -> DataFrame:
+    """The rows of a state whose bucket columns, null ones too, occur in ``wanted``. Only the buckets they fall in are read."""
+    types = _schema(state)
+    wanted = wanted.select(*(F.col(c).cast(types[c].dataType).alias(c) for c in state.by))  # a hash depends on the type
+    asked = wanted.toDF(*(f"_w_{c}" for c in state.by)).distinct()
+    # at most as many as there are buckets
+    numbers = {r[0] for r in wanted.select(_bucket(state.by, state.buckets)).distinct().collect()}
+    rows = _read(spark, path, state, {p for p in state.places if p[0] in numbers})
+    return rows.join(asked, [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in state.by], "left_semi")
+
+
 def upsert(
-    df: DataFrame, path: str, run: int, keys: list[str], order: list[str], bucket_rows: int = BUCKET_ROWS,
+    df: DataFrame, path: str, run: int, keys: list[str], order: list[str], by: list[str] | None = None,
+    bucket_rows: int = BUCKET_ROWS,
 ) -> Snapshot:
     """Put the rows of a run into the table at ``path``, which the first run creates.
 
     A row replaces that of the same keys; keys that the run does not name remain. Null keys are keys like others. Of a
     run's own rows with equal keys the one greatest in ``order`` counts, as in ``latest_per_key``. Repeating the newest
     run starts again from the state before it, so that run counts once; a run older than the newest is refused. An
-    empty run publishes the same rows. Columns must be the table's, in any order.
+    empty run publishes the same rows. Columns must be the table's, in any order, and are cast to its types. ``by`` names the keys that buckets are
+    made of, all by default; with fewer, rows that agree in them lie together and can be read together.
     """
-    spark = df.sparkSession
-    head = snapshot(spark, path)
-    if head is not None and run < head.run:
-        raise ValueError(f"{path}: run {run} comes after run {head.run}")
-    base = head
-    if head is not None and run == head.run:
-        base = None if head.base is None else snapshot(spark, path, head.base)
+    spark, by = df.sparkSession, by or keys
+    head, base = snapshot(spark, path), state_before(spark, path, run)
     if base is not None:
-        fields = StructType.fromJson(json.loads(base.schema)).fieldNames()
-        if sorted(fields) != sorted(df.columns) or base.keys != keys:
+        types = _schema(base)
+        fields = types.fieldNames()
+        if sorted(fields) != sorted(df.columns) or (base.keys, base.by) != (keys, by):
             raise ValueError(f"{path}: the table has columns {fields} and keys {base.keys}")
-        df = df.select(*fields)
+        df = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in types))
 
     staged = f"{path}/data/staged-{uuid.uuid4().hex}"
     latest_per_key(df, keys, order).write.parquet(staged)
     batch = spark.read.schema(df.schema).parquet(staged)
-    count = batch.count()
     buckets = base.buckets if base is not None else LEAST_BUCKETS
+    sizes = {r[0]: r[1] for r in batch.groupBy(_bucket(by, buckets)).count().collect()}  # a row per bucket at most
+    count = sum(sizes.values())
     while count + (base.rows if base is not None else 0) > buckets * bucket_rows:
         buckets *= 2
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
     grown = base is not None and buckets > base.buckets
-    touched = {r[0] for r in batch.select(bucket).distinct().collect()}  # at most as many as there are buckets
-    old = {f for f in base.files if grown or f[0] in touched} if base is not None else set()
+    old = {f for f in base.files if grown or f[0] in sizes} if base is not None else set()
 
     merged = batch.withColumn("_new", F.lit(True))
     if old:
@@ -155,13 +181,13 @@ def upsert(
     files = [f for f in base.files if f not in old] if base is not None else []
     if count or old:
         # dealt by bucket once; the ranking by keys and the write keep that partitioning
-        dealt = merged.withColumn("_bucket", bucket).repartition("_bucket")
+        dealt = merged.withColumn("_bucket", _bucket(by, buckets)).repartition("_bucket")
         rows = latest_per_key(dealt, ["_bucket", *keys], ["_new"]).drop("_new")
         rows.write.partitionBy("_bucket").parquet(f"{path}/data/{folder}")
-        sizes = spark.read.parquet(f"{path}/data/{folder}").groupBy("_bucket").count().collect()
-        files += [(r["_bucket"], folder, r["count"]) for r in sizes]
+        written = spark.read.parquet(f"{path}/data/{folder}").groupBy("_bucket").count().collect()
+        files += [(r["_bucket"], folder, r["count"]) for r in written]
     state = Snapshot(
-        (head.number if head is not None else 0) + 1, run, base.number if base is not None else None, keys, buckets,
+        (head.number if head is not None else 0) + 1, run, base.number if base is not None else None, keys, by, buckets,
         df.schema.json(), sorted(files),
     )
     _publish(spark, path, state)

@@ -6,16 +6,17 @@ it; a repeated batch replaces its version. Rows may come in any order and howeve
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from chalkline import fixed_values as V
 from chalkline.functions.vectors import Embedding, hashed_embedding
-from chalkline.operators.change import change_points
+from chalkline.operators.change import BLOCK_KEY, BLOCK_ROWS, block_entries, block_summaries, kept_per_block
 from chalkline.operators.retrieval import index_chunks
 from chalkline.operators.temporal import align, align_pairs
-from chalkline.sources.keyed import upsert
+from chalkline.session import scratch, written
+from chalkline.sources.keyed import read_matching, read_table, state_before, upsert
 from chalkline.sources.writers import fold_versions, read_versions, write_version
 
 
@@ -45,57 +46,61 @@ def _fold(spark: SparkSession, batch_id: int, every: int, tables: dict[str, list
 
 def change_batches(
     series: DataFrame, threshold: float, path: str, checkpoint: str, value: str = "score", order: str = "ord",
-    fold_every: int = 16,
+    block_rows: int = BLOCK_ROWS,
 ) -> StreamingQuery:
     """Streaming change points; :func:`kept_changes` reads the result.
 
-    A batch is worked on block by block with the batch operator. It reruns a lecture from its first new row on,
-    entered with the last row kept before that, so a late row corrects everything behind it. ``path/rows`` holds all rows,
-    ``path/kept`` the rows kept by each batch, ``path/cuts`` where it began in each lecture. A row that is delivered
-    again for the same place replaces the earlier one. Rows without a lecture are one series; below ``path`` lectures are
-    named by a JSON text, which is never null.
+    A lecture's series is cut into blocks, ranges of its integer ``order``, and what is known of them is kept in keyed
+    tables below ``path``: ``rows`` by block, ``blocks`` with a block's summary and the value that enters it, ``kept``
+    with the rows kept in it. A batch puts its rows in, summarises the blocks it touches, composes the summaries of their
+    lectures, and marks again only the touched blocks and those that another value enters now. So a late row corrects
+    everything behind it without reading what it does not change. A row that is delivered again for the same place replaces
+    the earlier one. Rows without a lecture are one series, rows without a place are refused; below ``path`` lectures are named by a JSON text, which
+    is never null. Every step starts from the state before its batch, so that a repeated batch gives what it gave.
     """
     kind = series.schema["lecture_id"].dataType.simpleString()
+    paths = {name: f"{path}/{name}" for name in ("rows", "blocks", "kept")}
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        named = F.to_json(F.struct("lecture_id")).alias("lecture_id")
-        rows = batch.select(named, order, F.col(value).cast("double").alias(value))
-        write_version(rows, f"{path}/rows", batch_id, ["lecture_id", order], [value])
-        new = spark.read.schema(rows.schema).parquet(f"{path}/rows/version={batch_id}")
-        new.groupBy("lecture_id").agg(F.min(order).alias("from_order")).write.mode("overwrite").parquet(
-            f"{path}/cuts/version={batch_id}"
-        )
-        cuts = spark.read.parquet(f"{path}/cuts/version={batch_id}")
-        entering = None
-        if batch_id > 0:
-            known = _kept(spark, path, order, before=batch_id).join(cuts, "lecture_id")
-            entering = known.where(F.col(order) < F.col("from_order")).groupBy("lecture_id").agg(
-                F.max_by(value, order).alias(value)
+        place = F.coalesce(F.col(order), F.raise_error(F.lit(f"a row has no {order}")).cast("bigint"))
+        new = batch.select(
+            F.to_json(F.struct("lecture_id")).alias("lecture_id"), place.alias(order), F.col(value).cast("double").alias(value)
+        ).withColumn("_block", F.floor(F.col(order) / block_rows))
+        with scratch(spark, path):
+            new = written(new, "new")
+            rows = upsert(new, paths["rows"], batch_id, [*BLOCK_KEY, order], [value], by=BLOCK_KEY)
+            own = read_matching(spark, paths["rows"], rows, new).withColumn("_start", F.lit(None).cast("double"))
+            fresh = written(block_summaries(own, threshold, value, order), "summaries").drop("start")
+            known = fresh.withColumn("enter", F.lit(None).cast("double")).withColumn("_fresh", F.lit(True))
+            before = state_before(spark, paths["blocks"], batch_id)
+            if before is not None:
+                others = read_matching(spark, paths["blocks"], before, fresh).join(fresh, BLOCK_KEY, "left_anti")
+                known = known.unionByName(others.withColumn("_fresh", F.lit(False)))
+            summaries = known.select(*BLOCK_KEY, F.lit(None).cast("double").alias("start"), "first", "vs", "ls")
+            changed = known.join(block_entries(summaries, threshold), BLOCK_KEY).where(
+                F.col("_fresh") | ~F.col("enter").eqNullSafe(F.col("_enter"))
+            )
+            changed = written(changed.select(*BLOCK_KEY, "first", "vs", "ls", F.col("_enter").alias("enter")), "changed")
+            upsert(changed, paths["blocks"], batch_id, BLOCK_KEY, ["enter"], by=["lecture_id"])
+            due = read_matching(spark, paths["rows"], rows, changed).join(
+                changed.select(*BLOCK_KEY, F.col("enter").alias("_enter")), BLOCK_KEY
+            ).withColumn("_start", F.lit(None).cast("double"))
+            found = kept_per_block(due, threshold, value, order)
+            lecture = F.from_json("lecture_id", f"lecture_id {kind}")["lecture_id"]
+            found = found.select(
+                *BLOCK_KEY, lecture.alias("_lecture"),
+                F.arrays_zip(F.col("orders").alias(order), F.col("kept").alias(value)).alias("kept"),
             )
-        every = read_versions(spark, f"{path}/rows", ["lecture_id", order])
-        again = every.join(cuts, "lecture_id").where(F.col(order) >= F.col("from_order")).drop("from_order")
-        found = change_points(again, threshold, value, order, entering=entering)
-        lecture = F.from_json("lecture_id", f"lecture_id {kind}")["lecture_id"]
-        found.withColumn("_lecture", lecture).write.mode("overwrite").parquet(f"{path}/kept/version={batch_id}")
-        _fold(spark, batch_id, fold_every, {f"{path}/rows": ["lecture_id", order]})
+            upsert(found, paths["kept"], batch_id, BLOCK_KEY, ["_block"])
 
     return _run(series, keep, checkpoint)
 
 
-def kept_changes(spark: SparkSession, path: str, order: str = "ord", before: int | None = None) -> DataFrame:
-    """The rows kept so far: those of a batch that no later batch of the lecture began at or before."""
-    return _kept(spark, path, order, before).drop("lecture_id").withColumnRenamed("_lecture", "lecture_id")
-
-
-def _kept(spark: SparkSession, path: str, order: str, before: int | None = None) -> DataFrame:
-    kept, cuts = (spark.read.parquet(f"{path}/{name}") for name in ("kept", "cuts"))
-    if before is not None:
-        kept, cuts = kept.where(F.col("version") < before), cuts.where(F.col("version") < before)
-    later = Window.partitionBy("lecture_id").orderBy(F.desc("version")).rowsBetween(Window.unboundedPreceding, -1)
-    limits = cuts.select("lecture_id", "version", F.min("from_order").over(later).alias("_limit"))
-    valid = kept.join(limits, ["lecture_id", "version"])
-    return valid.where(F.col("_limit").isNull() | (F.col(order) < F.col("_limit"))).drop("_limit", "version")
+def kept_changes(spark: SparkSession, path: str) -> DataFrame:
+    """The rows kept so far, as of the newest batch that has ended."""
+    kept = read_table(spark, f"{path}/kept").select(F.col("_lecture").alias("lecture_id"), F.explode("kept").alias("_row"))
+    return kept.select("lecture_id", "_row.*")
 
 
 def index_stream(

@@ -1,6 +1,7 @@
 """Files in, files out, versioned tables and the streaming forms."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -105,7 +106,7 @@ def test_change_stream_takes_late_rows(spark):
     first = rows((1, 2, 1), (1, 3, 1.1), (1, 9, 5), (2, 0, 3))
     second = rows((1, 10, 5.2), (1, 11, 9), (1, 5, 50), (1, 0, 4.5), (3, 7, 1), (2, 0, 3))  # late, earlier than all, repeated
     base = stream_in_two_batches(
-        spark, first, second, lambda s, b: jobs.change_batches(s, 1.0, f"{b}/out", f"{b}/cp", fold_every=1).awaitTermination()
+        spark, first, second, lambda s, b: jobs.change_batches(s, 1.0, f"{b}/out", f"{b}/cp", block_rows=4).awaitTermination()
     )
     got = sorted(map(tuple, jobs.kept_changes(spark, f"{base}/out").select("lecture_id", "ord", "score").collect()))
     whole = first.union(second).distinct()
@@ -166,3 +167,48 @@ def test_scopes_clean_up(spark, tmp_path):
         inside = written(spark.range(5), "rows")
         assert inside.count() == 5 and list(tmp_path.rglob("*.parquet"))
     assert not list(tmp_path.rglob("*.parquet"))
+
+
+def test_change_stream_equals_the_batch_form_at_every_step(spark):
+    """Many small blocks, rows in random order, values replaced, and each batch repeated after a failure within it."""
+    rng = random.Random(11)
+    schema = "lecture_id bigint, ord bigint, score double"
+    rows = [(k, o, float(rng.randrange(8))) for k in (None, 1, 2) for o in range(-20, 60)]
+    rng.shuffle(rows)
+    source, base, known = shared_dir(spark, "in"), shared_dir(spark, "run"), {}
+    start = lambda: jobs.change_batches(
+        spark.readStream.schema(schema).parquet(source), 2.0, f"{base}/out", f"{base}/cp", block_rows=8
+    )
+    for at in range(0, len(rows), 80):
+        batch = rows[at : at + 80] + [(k, o, v + 3.0) for k, o, v in rows[max(0, at - 5) : at]]
+        known |= {(k, o): v for k, o, v in batch}
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(jobs, "kept_per_block", lambda *_: 1 / 0)  # fails when rows and blocks are already put in
+            with pytest.raises(Exception, match="ZeroDivision"):
+                start().awaitTermination()
+        start().awaitTermination()
+        whole = spark.createDataFrame([(-1 if k is None else k, o, v) for (k, o), v in known.items()], schema)
+        want = {(None if r.lecture_id == -1 else r.lecture_id, r.ord, r.score) for r in change.change_points(whole, 2.0).collect()}
+        got = [tuple(r) for r in jobs.kept_changes(spark, f"{base}/out").select("lecture_id", "ord", "score").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_change_stream_reads_and_rewrites_what_a_batch_changes(spark):
+    """A late row of one lecture: other blocks' buckets stay as they are and are not opened."""
+    schema = "lecture_id bigint, ord bigint, score double"
+    base, source = shared_dir(spark, "run"), shared_dir(spark, "in")
+    first = [(k, o, float(o % 32)) for k in range(40) for o in range(64)]
+    states = []
+    for rows in (first, [(7, 20, 30.0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        jobs.change_batches(stream, 1.0, f"{base}/out", f"{base}/cp", block_rows=16).awaitTermination()
+        states.append({n: keyed.snapshot(spark, f"{base}/out/{n}") for n in ("rows", "kept")})
+    touched = spark.createDataFrame([('{"lecture_id":7}', 1)], "lecture_id string, _block bigint")
+    for name in ("rows", "kept"):
+        before, after = (s[name] for s in states)
+        assert before.rows == after.rows and len(before.files) > 8
+        assert 0 < len(after.places - before.places) <= 2
+        opened = keyed.read_matching(spark, f"{base}/out/{name}", before, touched).inputFiles()
+        assert 0 < len(opened) <= 1

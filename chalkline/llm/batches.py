@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
@@ -16,6 +17,14 @@ SLICE = 2000
 TextFunction = Callable[[list[str]], Sequence[Sequence]]
 
 
+def free_unused() -> None:
+    """Give back to the system what Arrow and numpy have freed: a worker lives on after its task, beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Jobs that run inside send Python workers so many rows at a time at most: a batch of whole texts is held several times, by
@@ -54,8 +63,7 @@ def with_text_columns(
                 texts = [t or "" for t in part.column(position).to_pylist()]
                 new = [pa.array(values, type=kind) for values, kind in zip(work(texts), types)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *names])
-            # the worker lives on; what it has freed should not stay with it
-            pa.default_memory_pool().release_unused()
+            free_unused()
 
     return base.mapInArrow(run, schema)
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from chalkline.llm.batches import SLICE, small_batches, with_text_columns
+from chalkline.llm.batches import SLICE, free_unused, small_batches, with_text_columns
 from chalkline.llm.components import connected
 from chalkline.session import written
 
@@ -73,7 +73,7 @@ def _prints(rows: DataFrame, shingles: dict[str, int]) -> DataFrame:
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 new = [pa.array([fingerprint(t, n) for t in texts], pa.int64()) for n in shingles.values()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *new], ["key", *shingles])
-            pa.default_memory_pool().release_unused()
+            free_unused()
 
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(run, ", ".join([f"key {kind}", *(f"{name} long" for name in shingles)]))

@@ -22,13 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField
 
-from chalkline.llm.batches import least_hashes, with_text_columns
+from chalkline.llm.batches import free_unused, least_hashes, with_text_columns
 from chalkline.session import written
 
 #: Most labelled documents of either class that a model is learned from.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
 #: Most lexicon entries and exception phrases.
 ENTRIES, EXCEPTIONS = 4000, 1000
+#: Most entries or phrases that a task holds while it counts.
+HELD = 50_000
 LEAST_DOCS, LEAST_WEIGHT, LEAST_SUPPORT = 4, 2.0, 16.0
 STEM_LENGTHS = range(3, 10)
 REJECT = 0.3
@@ -244,37 +246,53 @@ def choose_entries(counts: dict[str, tuple[int, int]], n_pos: int, n_neg: int, m
     return {e: good[e][0] for e in kept}
 
 
-def _count_entries(sample: DataFrame) -> DataFrame:
+def _count_entries(sample: DataFrame, held: int = HELD) -> DataFrame:
     """(entry, pos0, neg0, pos1, neg1): documents per half and class that hold an entry; the row of entry "" has all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [Counter() for _ in range(4)]
+
+        def counted() -> pa.RecordBatch:
+            names = list(set().union(*counts))
+            columns = [pa.array(names, pa.string()), *(pa.array([c[e] for e in names], pa.int64()) for c in counts)]
+            for c in counts:
+                c.clear()
+            return pa.RecordBatch.from_arrays(columns, ["entry", "pos0", "neg0", "pos1", "neg1"])
+
         for batch in batches:
             for half, label, text in zip(*(c.to_pylist() for c in batch.columns)):
                 counts[2 * half + (label != 1)].update({"", *entries_of(fold(text))})
-        names = list(set().union(*counts))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), *(pa.array([c[e] for e in names], pa.int64()) for c in counts)],
-            ["entry", "pos0", "neg0", "pos1", "neg1"],
-        )
+                if sum(map(len, counts)) > held:  # the sum over all parts follows
+                    yield counted()
+        yield counted()
+        free_unused()
 
     parts = sample.select("half", "label", "text").mapInArrow(run, "entry string, pos0 long, neg0 long, pos1 long, neg1 long")
     return parts.groupBy("entry").agg(*(F.sum(c).alias(c) for c in ("pos0", "neg0", "pos1", "neg1")))
 
 
-def _count_phrases(sample: DataFrame, lexicon: Lexicon, most: int) -> set[str]:
+def _count_phrases(sample: DataFrame, lexicon: Lexicon, most: int, held: int = HELD) -> set[str]:
     """Phrases around matched words that clean documents hold, and toxic ones never."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos, neg = Counter(), Counter()
+
+        def counted() -> pa.RecordBatch:
+            names = list(set(pos) | set(neg))
+            columns = [pa.array(names, pa.string()), pa.array([pos[p] for p in names], pa.int64()), pa.array([neg[p] for p in names], pa.int64())]
+            pos.clear()
+            neg.clear()
+            return pa.RecordBatch.from_arrays(columns, ["phrase", "pos", "neg"])
+
         for batch in batches:
             for _, label, text in zip(*(c.to_pylist() for c in batch.columns)):
                 folded = fold(text)
-                held = {p for s, _ in lexicon.hits(folded) for p in lexicon.phrases(folded, s)}
-                (pos if label == 1 else neg).update(held)
-        names = list(set(pos) | set(neg))
-        columns = [pa.array(names, pa.string()), pa.array([pos[p] for p in names], pa.int64()), pa.array([neg[p] for p in names], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["phrase", "pos", "neg"])
+                here = {p for s, _ in lexicon.hits(folded) for p in lexicon.phrases(folded, s)}
+                (pos if label == 1 else neg).update(here)
+                if len(pos) + len(neg) > held:
+                    yield counted()
+        yield counted()
+        free_unused()
 
     parts = sample.select("half", "label", "text").mapInArrow(run, "phrase string, pos long, neg long")
     sums = parts.groupBy("phrase").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))

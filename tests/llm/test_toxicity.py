@@ -93,3 +93,13 @@ def test_odd_inputs(spark, small, model):
 def test_entries_that_say_the_same_are_one():
     counts = {"scum$": (40, 0), "scum": (40, 0), "scu": (40, 0), "zin": (60, 30), "zint": (50, 0), "zinta$": (12, 0)}
     assert set(X.choose_entries(counts, 100, 1000)) == {"scum$", "zin", "zint"}
+
+
+def test_counts_do_not_depend_on_what_a_task_holds(spark, small):
+    docs, labels = small
+    sample = X.learning_sample(docs, labels)
+    lexicon = X.learn(docs, labels).lexicon
+    entries = [sorted(map(tuple, X._count_entries(sample, held).collect())) for held in (0, 100, X.HELD)]
+    assert len(entries[0]) > 100 and entries[0] == entries[1] == entries[2]
+    phrases = [X._count_phrases(sample, lexicon, 1000, held) for held in (0, X.HELD)]
+    assert phrases[0] and phrases[0] == phrases[1]

@@ -1,23 +1,22 @@
 """Incremental forms of change detection, indexing and alignment.
 
-Every job works in micro-batches that each write their own version of a table and read the versions before
-it; a repeated batch replaces its version. Rows may come in any order and however late: nothing is dropped.
+Every job works in micro-batches that are runs of keyed tables: a batch reads and rewrites the buckets it touches, and a
+repeated batch counts once. Rows may come in any order and however late: nothing is dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from chalkline import fixed_values as V
 from chalkline.functions.vectors import Embedding, hashed_embedding
 from chalkline.operators.change import BLOCK_KEY, BLOCK_ROWS, block_entries, block_summaries, kept_per_block
-from chalkline.operators.retrieval import index_chunks
-from chalkline.operators.temporal import align, align_pairs
+from chalkline.operators.retrieval import index_chunks, latest_per_key
+from chalkline.operators.temporal import PAD_SEC, align, align_pairs, band_pairs
 from chalkline.session import scratch, written
-from chalkline.sources.keyed import read_matching, read_table, state_before, upsert
-from chalkline.sources.writers import fold_versions, read_versions, write_version
+from chalkline.sources.keyed import Snapshot, read_matching, read_table, state_before, upsert
 
 
 def _run(stream: DataFrame, put, checkpoint: str) -> StreamingQuery:
@@ -37,13 +36,6 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     return left.join(named, on, how).drop(*(f"_r_{k}" for k in keys))
 
 
-def _fold(spark: SparkSession, batch_id: int, every: int, tables: dict[str, list[str]]) -> None:
-    """Fold the versions of tables (path: keys) after every so many batches."""
-    if (batch_id + 1) % every == 0:
-        for path, keys in tables.items():
-            fold_versions(spark, path, batch_id, keys)
-
-
 def change_batches(
     series: DataFrame, threshold: float, path: str, checkpoint: str, value: str = "score", order: str = "ord",
     block_rows: int = BLOCK_ROWS,
@@ -118,17 +110,33 @@ def index_stream(
 
 FRAME_FIELDS = ["frame_index", "timestamp_sec", "raw_text", "is_slide", "image_path"]
 SEGMENT_FIELDS = ["id", "start_sec", "end_sec", "text"]
+FRAME_KEY, SEGMENT_KEY = ["lecture_id", "frame_index"], ["lecture_id", "id"]
+#: Rows of one lecture and one such stretch of time lie together.
+STORE_BIN_SEC = 4096.0
+PLACE_FRAMES = 4096
+
+
+def _time_bin(seconds: str | Column, width: float | Column = STORE_BIN_SEC) -> Column:
+    return F.floor((F.col(seconds) if isinstance(seconds, str) else seconds) / width).cast("bigint")
+
+
+def _level_width() -> Column:
+    return F.lit(STORE_BIN_SEC) * F.pow(F.lit(2.0), F.col("_level"))
 
 
 def align_stream(
-    frames: DataFrame, segments: DataFrame, path: str, checkpoint: str, window: float = V.ALIGN_WINDOW_SEC,
-    fold_every: int = 16,
+    frames: DataFrame, segments: DataFrame, path: str, checkpoint: str, window: float = V.ALIGN_WINDOW_SEC
 ) -> StreamingQuery:
     """Streaming alignment with complete rows, frames without speech among them; :func:`aligned_frames` reads them.
 
-    Both streams become tables below ``path``. A batch aligns its new frames, and the old frames that its new segments
-    reach, with all segments of their lectures, and writes these frames anew. There is no bound on the length of a
-    segment, on lateness or on the order of lectures.
+    Both streams are kept in keyed tables below ``path``, by lecture and stretch of time: ``frames`` and ``aligned`` by the
+    frame's, ``segments`` by the two or three that cover the segment, of a width that fits its length. A batch reads the
+    stretches its new segments reach for frames, and those of the frames that are new or reached for segments; it aligns
+    these frames and rewrites the buckets they lie in. So its cost follows what it touches, not the age of the streams.
+    There is no bound on the length of a segment, on lateness or on the order of lectures. A frame that is delivered again
+    replaces the earlier one, also at another time: ``places`` has where each frame lies, and where it lay a mark takes its
+    place. As in :func:`align`, frames without a lecture or a time have no speech. Every step starts from the state
+    before its batch, so that a repeated batch gives what it gave.
     """
     sides = {"_frame": (frames, FRAME_FIELDS), "_segment": (segments, SEGMENT_FIELDS)}
 
@@ -140,29 +148,78 @@ def align_stream(
             columns.append((F.struct(*fields) if name == side else F.lit(None).cast(kind)).alias(name))
         return stream.select("lecture_id", *columns)
 
-    frame_key, segment_key = ["lecture_id", "frame_index"], ["lecture_id", "id"]
-
     def put(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new_frames = batch.where("_frame IS NOT NULL").select("lecture_id", "_frame.*")
         new_segments = batch.where("_segment IS NOT NULL").select("lecture_id", "_segment.*")
-        write_version(new_frames, f"{path}/frames", batch_id, frame_key, ["timestamp_sec"])
-        write_version(new_segments, f"{path}/segments", batch_id, segment_key, ["start_sec"])
-        new_frames = spark.read.parquet(f"{path}/frames/version={batch_id}")
-        new_segments = spark.read.parquet(f"{path}/segments/version={batch_id}")
-        touched = new_frames.select("lecture_id").union(new_segments.select("lecture_id")).distinct()
-        every_frame = _null_safe(read_versions(spark, f"{path}/frames", frame_key), touched, ["lecture_id"], "left_semi")
-        every_segment = _null_safe(read_versions(spark, f"{path}/segments", segment_key), touched, ["lecture_id"], "left_semi")
-        reached = align_pairs(every_frame, new_segments, window).select(*frame_key)
-        due = _null_safe(every_frame, reached.union(new_frames.select(*frame_key)).distinct(), frame_key, "left_semi")
-        align(due, every_segment, window).write.mode("overwrite").parquet(f"{path}/aligned/version={batch_id}")
-        _fold(spark, batch_id, fold_every, {
-            f"{path}/frames": frame_key, f"{path}/segments": segment_key, f"{path}/aligned": frame_key,
-        })
+        with scratch(spark, path):
+            new_frames = latest_per_key(new_frames, FRAME_KEY, ["timestamp_sec"]).withColumn("_bin", _time_bin("timestamp_sec"))
+            new_frames = written(new_frames, "new-frames")
+            new_segments = written(latest_per_key(new_segments, SEGMENT_KEY, ["start_sec"]), "new-segments")
+            moved = _moved_frames(spark, path, new_frames, batch_id)
+            frames_now = upsert(
+                new_frames.withColumn("_gone", F.lit(False)).unionByName(moved, allowMissingColumns=True),
+                f"{path}/frames", batch_id, ["lecture_id", "_bin", "frame_index"], ["timestamp_sec"], by=["lecture_id", "_bin"],
+            )
+            bins_now = upsert(new_frames.select("lecture_id", "_bin").distinct(), f"{path}/bins", batch_id, ["lecture_id", "_bin"], [], by=["lecture_id"])
+            segments_now, levels = _put_segments(spark, path, new_segments, batch_id, window)
+
+            lo, hi = F.col("start_sec") - window - PAD_SEC, F.greatest("end_sec", F.col("start_sec") + window) + PAD_SEC
+            ranges = new_segments.select("lecture_id", _time_bin(lo).alias("_first"), _time_bin(hi).alias("_last")).distinct()
+            held = read_matching(spark, f"{path}/bins", bins_now, new_segments)
+            first, last = F.col("_first"), F.col("_last")
+            reached = band_pairs(held.withColumnRenamed("_bin", "_at"), ranges, ["lecture_id"], "_at", first, last, F.col("_at").between(first, last))
+            reached = written(reached.select("lecture_id", F.col("_at").alias("_bin")).distinct(), "reached")
+            near = read_matching(spark, f"{path}/frames", frames_now, reached).where("NOT _gone").drop("_gone")
+            again = align_pairs(near, new_segments, window).select(*FRAME_KEY).distinct()
+            again = _null_safe(_null_safe(near, again, FRAME_KEY, "left_semi"), new_frames, FRAME_KEY, "left_anti")
+            due = written(new_frames.unionByName(again), "due")
+
+            asked = due.select("lecture_id", "timestamp_sec", F.explode(F.array(*map(F.lit, levels))).alias("_level")) if levels else None
+            known = new_segments
+            if asked is not None:
+                wanted = asked.select("lecture_id", "_level", _time_bin("timestamp_sec", _level_width()).alias("_bin")).distinct()
+                known = read_matching(spark, f"{path}/segments", segments_now, wanted).dropDuplicates(SEGMENT_KEY)
+            found = align(due, known, window).withColumn("_bin", _time_bin("timestamp_sec")).withColumn("_gone", F.lit(False))
+            upsert(
+                found.unionByName(moved.select("lecture_id", "_bin", "frame_index", "_gone"), allowMissingColumns=True),
+                f"{path}/aligned", batch_id, ["lecture_id", "_bin", "frame_index"], ["timestamp_sec"], by=["lecture_id", "_bin"],
+            )
 
     return _run(tagged("_frame").unionByName(tagged("_segment")), put, checkpoint)
 
 
+def _moved_frames(spark: SparkSession, path: str, new: DataFrame, batch_id: int) -> DataFrame:
+    """Marks (lecture_id, _bin, frame_index, _gone) where frames of the batch lay before, if it was elsewhere."""
+    block = F.floor(F.col("frame_index") / PLACE_FRAMES).alias("_block")
+    placed = new.select("lecture_id", block, "frame_index", "_bin")
+    before = state_before(spark, f"{path}/places", batch_id)
+    if before is None:
+        moved = placed.where("false")
+    else:
+        old = read_matching(spark, f"{path}/places", before, placed)
+        now = placed.select(*FRAME_KEY, F.col("_bin").alias("_now"))
+        moved = _null_safe(old, now, FRAME_KEY).where(~F.col("_bin").eqNullSafe(F.col("_now")))
+    moved = written(moved.select("lecture_id", "_bin", "frame_index", F.lit(True).alias("_gone")), "moved")
+    upsert(placed, f"{path}/places", batch_id, ["lecture_id", "_block", "frame_index"], ["_bin"], by=["lecture_id", "_block"])
+    return moved
+
+
+def _put_segments(
+    spark: SparkSession, path: str, new: DataFrame, batch_id: int, window: float
+) -> tuple[Snapshot, list[int]]:
+    """Put segments under the stretches that frames near them lie in; the state and the levels of width in use, a few dozen at
+    most. Segments without a start are near no frame."""
+    lo, hi = F.col("start_sec") - window - PAD_SEC, F.greatest("end_sec", F.col("start_sec") + window) + PAD_SEC
+    level = F.greatest(F.lit(0), F.ceil(F.log2((hi - lo) / STORE_BIN_SEC))).cast("int")
+    bins = F.sequence(_time_bin(lo, _level_width()), _time_bin(hi, _level_width()))
+    filed = new.withColumn("_level", level).withColumn("_bin", F.explode(bins))
+    place = ["lecture_id", "_level", "_bin"]
+    state = upsert(filed, f"{path}/segments", batch_id, [*place, "id"], ["start_sec"], by=place)
+    levels = upsert(filed.select("_level").distinct(), f"{path}/levels", batch_id, ["_level"], [])
+    return state, sorted(r[0] for r in read_table(spark, f"{path}/levels", levels.number).collect())
+
+
 def aligned_frames(spark: SparkSession, path: str) -> DataFrame:
-    """The newest aligned row of every frame."""
-    return read_versions(spark, f"{path}/aligned", ["lecture_id", "frame_index"])
+    """The newest aligned row of every frame, as of the newest batch that has ended."""
+    return read_table(spark, f"{path}/aligned").where("NOT _gone").drop("_bin", "_gone")

@@ -154,7 +154,7 @@ def test_align_stream_takes_rows_in_any_order(spark):
         spark.createDataFrame(some_segments, segment).coalesce(1).write.mode("append").parquet(sources["segments"])
         jobs.align_stream(
             spark.readStream.schema(frame).parquet(sources["frames"]), spark.readStream.schema(segment).parquet(sources["segments"]),
-            f"{sources['run']}/out", f"{sources['run']}/cp", fold_every=1,
+            f"{sources['run']}/out", f"{sources['run']}/cp",
         ).awaitTermination()
     want = temporal.align(spark.createDataFrame(frames, frame), spark.createDataFrame(segments, segment))
     got = jobs.aligned_frames(spark, f"{sources['run']}/out").select(*want.columns)
@@ -212,3 +212,53 @@ def test_change_stream_reads_and_rewrites_what_a_batch_changes(spark):
         assert 0 < len(after.places - before.places) <= 2
         opened = keyed.read_matching(spark, f"{base}/out/{name}", before, touched).inputFiles()
         assert 0 < len(opened) <= 1
+
+
+FRAME = "lecture_id bigint, frame_index int, timestamp_sec double, raw_text string, is_slide boolean, image_path string"
+SEGMENT = "lecture_id bigint, id int, start_sec double, end_sec double, text string"
+
+
+def align_batches(spark, batches):
+    """Run the streaming alignment over (frames, segments) batch by batch; the folder of its tables after each."""
+    sources = {name: shared_dir(spark, name) for name in ("frames", "segments", "run")}
+    for frames, segments in batches:
+        spark.createDataFrame(frames, FRAME).coalesce(1).write.mode("append").parquet(sources["frames"])
+        spark.createDataFrame(segments, SEGMENT).coalesce(1).write.mode("append").parquet(sources["segments"])
+        jobs.align_stream(
+            spark.readStream.schema(FRAME).parquet(sources["frames"]), spark.readStream.schema(SEGMENT).parquet(sources["segments"]),
+            f"{sources['run']}/out", f"{sources['run']}/cp",
+        ).awaitTermination()
+        yield f"{sources['run']}/out"
+
+
+def test_align_stream_follows_frames_that_move(spark):
+    """A frame comes again at another time, with and without a time, then speech reaches where it lay and where it lies."""
+    frame = lambda i, t, text: (1, i, t, text, False, "p")
+    speech = lambda i, t: (1, i, t, t + 5.0, f"t{i}")
+    batches = [
+        ([frame(0, 10.0, "a"), frame(1, 9000.0, "b"), frame(2, None, "c")], []),
+        ([frame(0, 9000.0, "a2"), frame(1, None, "b2"), frame(2, 10.0, "c2")], [speech(0, 9001.0)]),
+        ([], [speech(1, 9.0), speech(2, 8999.0), (1, 3, 0.0, 1e9, "all")]),
+    ]
+    frames, segments = {}, []
+    for (new_frames, new_segments), path in zip(batches, align_batches(spark, batches)):
+        frames |= {f[1]: f for f in new_frames}
+        segments += new_segments
+        want = temporal.align(spark.createDataFrame(list(frames.values()), FRAME), spark.createDataFrame(segments, SEGMENT))
+        got = jobs.aligned_frames(spark, path).select(*want.columns)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_align_stream_reads_and_rewrites_what_a_batch_touches(spark):
+    """One late segment: frames and aligned rows of other stretches stay where they are."""
+    frames = [(k, i, i * 400.0, f"r{i}", False, "p") for k in range(20) for i in range(40)]
+    segments = [(k, i, i * 400.0, i * 400.0 + 5, f"t{i}") for k in range(20) for i in range(0, 40, 2)]
+    states = []
+    for path in align_batches(spark, [(frames, segments), ([], [(7, 99, 5200.0, 5205.0, "late")])]):
+        states.append({n: keyed.snapshot(spark, f"{path}/{n}") for n in ("frames", "segments", "aligned")})
+    before, after = states
+    assert before["frames"].places == after["frames"].places and len(before["frames"].files) > 8
+    for name in ("segments", "aligned"):
+        assert 0 < len(after[name].places - before[name].places) <= 2 < len(before[name].files)
+    row = jobs.aligned_frames(spark, path).where("lecture_id = 7 AND frame_index = 13").head()
+    assert row.speech == "late" and after["aligned"].rows == len(frames)

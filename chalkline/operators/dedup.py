@@ -32,60 +32,69 @@ def _probe_length(size: Column, threshold: float) -> Column:
     return (size - F.floor(size * F.lit(threshold) - 1e-9)).cast("int")
 
 
+def _digest(words: str | Column) -> Column:
+    return F.coalesce(F.unhex(F.md5(F.array_join(words, " "))), F.lit(b""))
+
+
 def _set_id(text: str) -> Column:
-    return F.coalesce(F.md5(F.array_join(word_set(text), " ")), F.lit(""))
+    return _digest(word_set(text))
 
 
 def _line_sets(lines: DataFrame, on: list[str], text: str) -> DataFrame:
-    """Each distinct word set of the lines once: a slide shown again is not compared again."""
-    sets = lines.select(*on, word_set(text).alias("_lset")).withColumn(
-        "_lid", F.coalesce(F.md5(F.array_join("_lset", " ")), F.lit(""))
-    )
-    return sets.groupBy(*on, "_lid").agg(F.any_value("_lset").alias("_lset")).withColumn("_lsize", F.size("_lset"))
+    """Each distinct word set of the lines once: a slide shown again is not compared again. Written, because it is read
+    several times, and every time would shuffle the words."""
+    sets = lines.select(*on, word_set(text).alias("_lset")).withColumn("_lid", _digest("_lset"))
+    sets = sets.groupBy(*on, "_lid").agg(F.any_value("_lset").alias("_lset")).withColumn("_lsize", F.size("_lset"))
+    return written(sets, "line-sets")
 
 
-# sets of one side are filed under plain words, probes of the other side under marked ones
-_MARK = "\x00"
+# words travel as hashes; sets of one side are filed under even ones, probes of the other side under odd ones
+def _filed(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit(-2).cast("bigint"))
 
 
-def similar_pairs(
-    lsets: DataFrame, windows: DataFrame, seen: DataFrame, on: list[str], window_key: list[str], threshold: float
-) -> DataFrame:
+def _marked(filed: Column) -> Column:
+    return filed.bitwiseOR(F.lit(1).cast("bigint"))
+
+
+def similar_pairs(lsets: DataFrame, windows: DataFrame, on: list[str], window_key: list[str], threshold: float) -> DataFrame:
     """(``on``, ``_lid``, ``window_key``, ``similarity``) of every line set and window above the threshold.
 
-    Windows keep their word sets in place (``_wset``) and send out only (word, key) rows. ``seen``
-    (``_token``, ``_n``) says how common a word is; it decides how few pairs are looked at, not
-    which are found.
+    Windows keep their word sets in place (``_wset``) and send out only (word, key) rows. A line's words go out once; those
+    that no window of the same ``on`` has stop there, and only their number is needed further on. Words and line sets are
+    64-bit hashes on the way, so rows are short whatever the words; candidates are verified on the words.
     """
     wsize = F.size("_wset")
-    ltok = lsets.select(*on, "_lid", "_lsize", F.explode("_lset").alias("_token"))
-
-    # a line no larger than the window: the line's rarest words against all window words
-    rarest = Window.partitionBy(*on, "_lid").orderBy(F.coalesce("_n", F.lit(0)), "_token")
-    lprobe = (
-        ltok.join(seen, "_token", "left")
-        .withColumn("_r", F.row_number().over(rarest))
-        .where(F.col("_r") <= _probe_length(F.col("_lsize"), threshold))
-        .select(*on, "_lid", "_lsize", "_token")
-    )
+    plain = F.transform("_wset", _filed)
+    line = F.xxhash64("_lset").alias("_line")
+    words = windows.select(*on, F.explode(plain).alias("_token"))
+    common = words.groupBy(*on, "_token").agg(F.count("*").alias("_n"))
+    ltok = lsets.select(*on, line, "_lsize", F.explode(F.transform("_lset", _filed)).alias("_token"))
+    hits = written(ltok.join(common, [*on, "_token"]), "line-words")
+
+    # a line no larger than the window: the line's rarest words against all window words; the words left out are the rarest
+    own = Window.partitionBy(*on, "_line")
+    rank = F.row_number().over(own.orderBy("_n", "_token")) + F.col("_lsize") - F.count("*").over(own)
+    lprobe = hits.withColumn("_r", rank).where(F.col("_r") <= _probe_length(F.col("_lsize"), threshold))
 
     # a larger line: the window's longest words, which stand in for the rarest, against all line
     # words; windows as large as the largest line have no such partner and send nothing
     largest = lsets.agg(F.max("_lsize")).scalar()
     by_length = F.sort_array(F.transform("_wset", lambda w: F.struct((-F.length(w)).alias("k"), w.alias("w"))))
     longest = F.transform(
-        F.slice(by_length, F.lit(1), _probe_length(wsize, threshold)), lambda p: F.concat(F.lit(_MARK), p["w"])
+        F.slice(by_length, F.lit(1), _probe_length(wsize, threshold)), lambda p: _marked(_filed(p["w"]))
     )
-    sent = F.when(wsize < largest, F.concat("_wset", longest)).otherwise(F.col("_wset"))
+    sent = F.when(wsize < largest, F.concat(plain, longest)).otherwise(plain)
 
-    marked = F.concat(F.lit(_MARK), "_token").alias("_token")
-    index = lprobe.unionByName(ltok.select(*on, "_lid", "_lsize", marked))
+    held = [*on, "_line", "_lsize", "_token"]
+    index = lprobe.select(*held).unionByName(hits.select(*held).withColumn("_token", _marked(F.col("_token"))))
     probes = windows.select(*on, *window_key, wsize.alias("_wsize"), F.explode(sent).alias("_token"))
     line_is_larger = F.col("_wsize") < F.col("_lsize")
-    met = probes.join(index, [*on, "_token"]).where(line_is_larger == F.startswith("_token", F.lit(_MARK)))
-    candidates = met.select(*on, "_lid", *window_key).distinct()
+    is_marked = F.col("_token").bitwiseAND(F.lit(1).cast("bigint")) == 1
+    met = probes.join(index, [*on, "_token"]).where(line_is_larger == is_marked)
+    candidates = met.select(*on, "_line", *window_key).distinct()
     return (
-        candidates.join(lsets.select(*on, "_lid", "_lset"), [*on, "_lid"])
+        candidates.join(lsets.select(*on, "_lid", line, "_lset"), [*on, "_line"])
         .join(windows.select(*on, *window_key, "_wset"), [*on, *window_key])
         .withColumn("similarity", overlap_coefficient(F.col("_lset"), F.col("_wset")))
         .where(F.col("similarity") > threshold)
@@ -93,11 +102,6 @@ def similar_pairs(
     )
 
 
-def _word_counts(windows: DataFrame) -> DataFrame:
-    """In how many windows each word stands, combined before the shuffle."""
-    return windows.select(F.explode("_wset").alias("_token")).groupBy("_token").agg(F.count("*").alias("_n"))
-
-
 def spoken_windows(transcripts: DataFrame, min_words: int = 1) -> DataFrame:
     """The transcript windows lines are compared with. The last ones may be short, down to one
     word, and then match easily; ``min_words`` above 1 leaves such windows out."""
@@ -125,7 +129,7 @@ def duplicate_pairs(
     """Every (lecture_id, line_id, start) above the threshold: lines against the windows of their own lecture."""
     on = ["lecture_id"]
     windows = _compared(lines, transcripts, min_window_words)
-    pairs = similar_pairs(_line_sets(lines, on, "line"), windows, _word_counts(windows), on, ["start"], threshold)
+    pairs = similar_pairs(_line_sets(lines, on, "line"), windows, on, ["start"], threshold)
     named = lines.select("lecture_id", "line_id", _set_id("line").alias("_lid"))
     return pairs.join(named, ["lecture_id", "_lid"]).select("lecture_id", "line_id", "start", "similarity")
 
@@ -145,7 +149,7 @@ def novel_lines(
     lines = written(lines, "lines")
     windows = _compared(lines, transcripts, min_window_words)
     spoken = similar_pairs(
-        _line_sets(lines, on, text), windows, _word_counts(windows), on, ["start"], threshold
+        _line_sets(lines, on, text), windows, on, ["start"], threshold
     ).select("lecture_id", "_lid")
     tagged = lines.withColumn("_lid", _set_id(text))
     return tagged.join(spoken, ["lecture_id", "_lid"], "left_anti").drop("_lid")

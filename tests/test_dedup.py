@@ -4,6 +4,7 @@ import random
 import re
 
 from chalkline.operators import dedup
+from chalkline.session import written
 
 LINE = "lecture_id bigint, frame_index int, line_no int, line string"
 TRANSCRIPT = "lecture_id bigint, transcript string"
@@ -94,3 +95,23 @@ def test_distinct_ocr_keeps_first_place(spark):
     rows = [(1, 0, 61.0, " A "), (1, 1, 130.0, "A"), (1, 2, 10.0, "B"), (1, 3, 11.0, " ")]
     df = spark.createDataFrame(rows, "lecture_id bigint, frame_index int, timestamp_sec double, ocr_text string")
     assert dedup.joined_ocr(dedup.distinct_ocr(df)).head()["ocr_text"] == "[00min] B\n[01min] A"
+
+
+def test_words_no_window_has_stop_at_the_join(spark, monkeypatch):
+    sent = {}
+
+    def kept(df, purpose):
+        sent[purpose] = written(df, purpose)
+        return sent[purpose]
+
+    monkeypatch.setattr(dedup, "written", kept)
+    said = spark.createDataFrame([(1, "red green blue"), (2, "alpha beta")], "lecture_id int, transcript string")
+    lines = spark.createDataFrame(
+        [(1, "red green blue"), (1, "red green blue much more to say here"), (1, "alpha beta"), (2, "red"), (2, "beta alpha alpha"), (2, "")],
+        "lecture_id int, line string",
+    )
+    got = {tuple(r) for r in dedup.novel_lines(lines, said).collect()}
+    # the longer line holds all words of the window, which is the smaller set
+    assert got == {(1, "alpha beta"), (2, "red"), (2, "")}
+    assert sent["line-words"].count() == 3 + 3 + 2
+    assert dict(sent["line-words"].dtypes)["_token"] == "bigint"

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from chalkline import fixed_values as V
 from chalkline.functions.text import clock, one_decimal, strip, whole_number
 from chalkline.operators.concat import ordered_concat
+from chalkline.session import written
 
 BASE_BIN_SEC = 64.0
 PAD_SEC = 1.0
@@ -148,31 +149,39 @@ def ocr_at(lookups: DataFrame, aligned: DataFrame) -> DataFrame:
     t = F.coalesce("timestamp_seconds", F.lit(0.0))
     window = F.coalesce("window_seconds", F.lit(float(V.LOOKUP_WINDOW_SEC)))
     asking = lookups.withColumn("_at", t).withColumn("_window", window)
-    key = ["lecture_id", "_at", "_window"]
-    pairs = band_pairs(
-        aligned.select("lecture_id", "frame_index", "timestamp_sec", "ocr_text"),
+    key, span = ["lecture_id", "_at", "_window"], ["lecture_id", "_from", "_to"]
+    # the times near a lookup are consecutive, so lookups between the same two of them share an answer: texts are joined once per answer
+    near = band_pairs(
+        aligned.select("lecture_id", "timestamp_sec").distinct(),
         asking.select(*key).distinct(), ["lecture_id"], "timestamp_sec",
         F.col("_at") - F.col("_window"), F.col("_at") + F.col("_window"),
         F.abs(F.col("timestamp_sec") - F.col("_at")) <= F.col("_window"),
     )
+    spans = near.groupBy(*key).agg(F.min("timestamp_sec").alias("_from"), F.max("timestamp_sec").alias("_to"))
+    spans = written(spans, "lookup-spans")
+    pairs = band_pairs(
+        aligned.select("lecture_id", "frame_index", "timestamp_sec", "ocr_text"), spans.select(*span).distinct(),
+        ["lecture_id"], "timestamp_sec", F.col("_from"), F.col("_to"),
+        (F.col("_from") <= F.col("timestamp_sec")) & (F.col("timestamp_sec") <= F.col("_to")),
+    )
     text = strip("ocr_text")
     line = F.when(text != "", F.format_string(V.OCR_LINE, clock("timestamp_sec"), text))
     # rows without text count as near and add no line, so one aggregate answers both questions
     answers = ordered_concat(
-        pairs.withColumn("_line", line), key, ["timestamp_sec", "frame_index"], "_line", "\n",
+        pairs.withColumn("_line", line), span, ["timestamp_sec", "frame_index"], "_line", "\n",
         F.floor(F.col("timestamp_sec") / 600), "_lines", keep_empty=True,
     ).withColumn("_near", F.lit(True))
     shown_window = F.coalesce(F.col("window_seconds").cast("string"), F.lit(str(V.LOOKUP_WINDOW_SEC)))
     shown_time = F.coalesce(F.col("timestamp_seconds").cast("string"), F.lit("0"))
     return (
-        asking.join(answers, key, "left")
+        asking.join(spans, key, "left").join(answers, span, "left")
         .withColumn(
             "result",
             F.when(F.col("_near").isNull(), F.format_string(V.NO_OCR_NEAR, shown_window, shown_time))
             .when(F.col("_lines") == "", F.format_string(V.NO_OCR_TEXT, shown_time))
             .otherwise(F.col("_lines")),
         )
-        .drop("_at", "_window", "_near", "_lines")
+        .drop("_at", "_window", "_from", "_to", "_near", "_lines")
     )
 
 

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from chalkline.operators import change, temporal
+from chalkline.operators.concat import ordered_concat
 
 FRAME = "lecture_id bigint, frame_index int, timestamp_sec double, image_path string, raw_text string, is_slide boolean"
 SEGMENT = "lecture_id bigint, id int, start_sec double, end_sec double, text string"
@@ -206,3 +207,21 @@ def test_drift_over_a_hundred_blocks_is_exact_in_a_bounded_number_of_jobs(spark)
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert got == want and 10 < len(want) < 200
     assert jobs < 60
+
+
+def test_lookups_near_the_same_frames_share_one_answer(spark, monkeypatch):
+    joined = []
+
+    def recorded(df, *args, **kwargs):
+        joined.append(df.count())
+        return ordered_concat(df, *args, **kwargs)
+
+    monkeypatch.setattr(temporal, "ordered_concat", recorded)
+    aligned = spark.createDataFrame(
+        [(1, 0, 10.0, "s", "a"), (1, 1, 20.0, "s", "b"), (1, 2, 20.0, "s", None), (1, 3, 500.0, "s", "c"), (2, 0, 20.0, "s", "d")], ALIGNED
+    )
+    calls = [(i, 1, 15.0 + i / 100, 30.0) for i in range(200)] + [(200, 1, 20.0, 0.0), (201, 2, None, None), (202, 2, 20.0, 5.0)]
+    got = {r.call_id: r.result for r in temporal.ocr_at(spark.createDataFrame(calls, LOOKUP), aligned).collect()}
+    assert {got[i] for i in range(200)} == {"[00:10] a\n[00:20] b"}
+    assert (got[200], got[201], got[202]) == ("[00:20] b", "[00:20] d", "[00:20] d")
+    assert joined == [3 + 2 + 1]

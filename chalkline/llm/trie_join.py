@@ -1,6 +1,7 @@
 """Classes of texts whose word n-gram sets are similar: a prefix-tree join, verified exactly.
 
-All n-grams have one global order: those that a sample shows to be common last, by hash otherwise. A set is stored as a path of
+All n-grams have one global order: common ones last, by hash otherwise. They are counted over all texts, among the n-grams that
+hashes alone would put first in a set. A set is stored as a path of
 a trie in that order. Two sets with a Jaccard similarity of p percent share an n-gram among the first
 n - ceil(p n / 100) + 1 of each (their prefixes), so the trie is dealt out by n-gram: the tree of an n-gram holds, of every
 set with it in its prefix, the path that follows. A tree is traversed with all its sets at once, level by level: sets
@@ -9,7 +10,7 @@ overlap and what remains of both sides, by the shortest and longest sets below,
 compared by parity sketches (bits that an odd number of n-grams set: no more of them differ than n-grams), and then verified on the whole sets.
 
 Classes, not pairs, are wanted: neighbours in a tree (or in seed groups that the caller knows) are verified first,
-and only sets that these links do not connect are then searched. Sets are compared by 63-bit n-gram hashes. The sample
+and only sets that these links do not connect are then searched. Sets are compared by 63-bit n-gram hashes. The order
 decides how much work is done, never the result.
 """
 
@@ -28,9 +29,9 @@ from chalkline.llm.shingles import set_ids, shingle_sets, text_groups
 from chalkline.session import written
 
 SIZE, PERCENT = 3, 90
-#: Common n-grams are counted in this share of the texts, or in about so many if that is more; a common one is in so many of them, and
-#: at most so many, the most frequent, are sent to the tasks.
-SAMPLE_SHARE, SAMPLE_DOCS, COMMON, MOST_COMMON = 1 / 8, 20_000, 4, 1_000_000
+#: A common n-gram is in so many sets of a corpus of so many texts, and in up to ``GROWTH`` times as many sets of a larger one; at
+#: most so many, the most frequent, are sent to the tasks. The first ones of a set by hash, one in so many, are counted, or its prefix.
+COMMON, SAMPLE_DOCS, GROWTH, MOST_COMMON, COUNTED = 4, 20_000, 8, 1_000_000, 5
 #: Neighbours are verified first if they meet in one tree of so many that a set is in.
 OFTEN = 3
 #: Tokens of a path that travel with it; what lies deeper is left to verification.
@@ -67,12 +68,26 @@ def _hashed(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "set_id long, shingles array<bigint>")
 
 
-def _common(rows: DataFrame, size: int) -> np.ndarray:
-    """Sorted hashes of n-grams that many sets of a sample hold. The sample is a range of the texts' hashes."""
-    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_DOCS / max(1, rows.count())))
-    low = int(-(2**63) + share * (2**64 - 1))
-    sample = _hashed(rows.where(F.xxhash64("text") <= F.lit(min(low, 2**63 - 1))), size).dropDuplicates(["set_id"])
-    counts = sample.select(F.explode("shingles").alias("h")).groupBy("h").count().where(F.col("count") >= COMMON)
+def _first_grams(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """(set_id, grams) per row of (key, text): the n-grams that come first in the set by hash alone, as many as its prefix has, or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_groups(batch, 1):
+                hashes, n = shingle_sets(texts, size)
+                length = np.maximum(prefix_length(n, percent), n // COUNTED)
+                within = np.arange(len(hashes)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(length, n)
+                columns = [pa.array(set_ids(hashes, n)), _lists(hashes[within], length)]
+                yield pa.RecordBatch.from_arrays(columns, ["set_id", "grams"])
+
+    return rows.mapInArrow(run, "set_id long, grams array<bigint>")
+
+
+def _common(rows: DataFrame, size: int, percent: int) -> np.ndarray:
+    """Sorted hashes of n-grams that many sets hold among their first. Every text is counted, copies once."""
+    least = COMMON * min(GROWTH, max(1.0, rows.count() / max(1, SAMPLE_DOCS)))
+    sets = _first_grams(rows, size, percent).dropDuplicates(["set_id"])
+    counts = sets.select(F.explode("grams").alias("h")).groupBy("h").count().where(F.col("count") >= least)
     most = counts.orderBy(F.desc("count"), "h").limit(MOST_COMMON).select("h").toArrow()
     return np.sort(most.column(0).to_numpy())
 
@@ -332,7 +347,7 @@ def classes(
 
 
 def _classes(rows: DataFrame, size: int, percent: int, seeds: DataFrame | None, tree_rows: int, depth: int) -> DataFrame:
-    prints = written(_prefixes(rows, size, percent, _common(rows, size)), "prefixes")
+    prints = written(_prefixes(rows, size, percent, _common(rows, size, percent)), "prefixes")
     sets = written(
         prints.groupBy("set_id").agg(F.min("key").alias("least"), *(F.first(c).alias(c) for c in ("n", "sketch", "prefix"))),
         "distinct-sets",

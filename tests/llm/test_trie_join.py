@@ -179,3 +179,15 @@ def test_sketches_bound_the_difference_whatever_the_size(n):
         assert bits <= len(np.setxor1d(sets[a], sets[b])) and (a != b or bits == 0)
         if {a, b} == {0, 2} and n >= 300:
             assert 190 * bits > 10 * 2 * n
+
+
+def test_common_grams_are_counted_over_all_texts(spark, monkeypatch):
+    """A common n-gram is found from its number in the whole corpus, to the last text; copies of a text count once."""
+    monkeypatch.setattr(T, "SAMPLE_DOCS", 1000)
+    monkeypatch.setattr(T, "COUNTED", 1)  # every n-gram
+    texts = [f"common gram {g} z{g}x{i}" for g in range(10) for i in range(32)]
+    texts += [f"seldom gram {g} z{g}x{i}" for g in range(10) for i in range(31)]
+    texts += ["a copied text"] * 1000 + [f"word{i}" for i in range(9000 - 1630)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string").repartition(8)
+    wanted = S.shingle_sets([f"common gram {g}".encode() for g in range(10)], 3)[0]
+    assert T._common(rows, 3, 90).tolist() == sorted(wanted.tolist())

@@ -1,8 +1,10 @@
 """Retrieval, passage search and lookups against brute force; prompts and merged documents."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,3 +236,35 @@ def test_log_errors(spark):
     df = spark.createDataFrame([("a", 2, "! B"), ("a", 1, "! A"), ("a", 3, "ok !"), ("b", 0, "fine")], "build_id string, line_no bigint, value string")
     got = {r.build_id: r.errors for r in prompts.log_errors(df).collect()}
     assert got == {"a": "! A\n! B", "b": V.UNKNOWN_BUILD_ERROR}
+
+
+def _peak_mb(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_a_block_of_distances_is_bounded():
+    rng = np.random.default_rng(1)
+    index = pd.DataFrame({"id": np.arange(20_000), "embedding": list(rng.random((20_000, 4)))})
+    asked = pd.DataFrame({"query_id": np.arange(300), "embedding": list(rng.random((300, 4)))})
+    found = []
+    assert _peak_mb(lambda: found.append(retrieval._nearest(asked, index, 3))) < 60
+    x, q = (np.stack(df["embedding"].to_numpy()) for df in (index, asked))
+    d = np.round(((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2), 6)
+    assert found[0]["id"].tolist() == np.argsort(d, axis=1, kind="stable")[:, :3].ravel().tolist()
+
+
+def test_memory_of_a_batch_of_embeddings_is_bounded():
+    embed = hashed_embedding()
+    count = next(c.cell_contents for c in embed.__closure__ if callable(c.cell_contents)).func
+    rng = np.random.default_rng(2)
+    buckets = pd.Series([rng.integers(0, 64, n, dtype=np.int32) for n in [500] * 6000 + [0, 3]])
+    found = []
+    assert _peak_mb(lambda: found.append(count(buckets))) < 20
+    want = np.stack([np.bincount(b, minlength=64) for b in buckets]).astype(float)
+    norms = np.sqrt((want**2).sum(axis=1))
+    assert np.array_equal(np.stack(found[0]), want / np.where(norms > 0, norms, 1.0)[:, None])

@@ -258,7 +258,7 @@ def test_memory_of_a_block_of_distances_is_bounded():
     assert found[0]["id"].tolist() == np.argsort(d, axis=1, kind="stable")[:, :3].ravel().tolist()
 
 
-def test_memory_of_a_batch_of_embeddings_is_bounded():
+def test_memory_of_a_batch_of_embeddings_is_bounded(spark):
     embed = hashed_embedding()
     count = next(c.cell_contents for c in embed.__closure__ if callable(c.cell_contents)).func
     rng = np.random.default_rng(2)

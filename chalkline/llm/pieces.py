@@ -13,6 +13,8 @@ from functools import cache
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A space inside or at the end of a run of white space.
 _INNER_SPACE = re.compile(r"\s (?:\s|\Z)")
@@ -50,6 +52,10 @@ class PieceTable:
             and not self.tokenizer.pre_tokenizer.add_prefix_space
             and not any(" " in x for x in self.added)
         )
+        #: Whether a piece begins with a space.
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for piece, i in vocabulary.items() if piece.startswith("\u0120")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -61,18 +67,31 @@ class PieceTable:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, words: list[str]) -> None:
-        """Encode words, thousands to a text, set apart by an added token's string."""
-        mark, between = self.split
-        texts = [w[:-1] if w[-1:] == " " else " " + w for w in words]
-        joined = [between.join(texts[at : at + _JOINED]) for at in range(0, len(texts), _JOINED)]
+        """Encode words, thousands to a text: set apart by their spaces, or by an added token's string those with white space
+        at an end, the first words of texts among them."""
+        within = [w for w in words if w and w.strip() == w]
+        if len(within) < len(words):
+            apart = [*set(words).difference(within)]
+            mark, between = self.split
+            ids = self._joined(between, [w[:-1] if w[-1:] == " " else " " + w for w in apart], mark)
+            self._remember(apart, ids[ids != mark], np.diff(np.flatnonzero(np.append(ids, mark) == mark), prepend=-1) - 1)
+        if within:
+            ids = self._joined(" ", within)
+            starts = np.flatnonzero(self.spaced[ids])
+            self._remember(within, ids, np.diff(starts, append=len(ids)))
+
+    def _joined(self, between: str, words: list[str], mark: int | None = None) -> np.ndarray:
+        """Ids of words with a string between them, in front of all if it is a space; ``mark`` comes between texts."""
+        first = " " if mark is None else ""
+        joined = [first + between.join(words[at : at + _JOINED]) for at in range(0, len(words), _JOINED)]
         found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
-        ids = np.concatenate([np.array(x, np.int32) for e in found for x in (e.ids, [mark])])[:-1]
-        ends = np.append(np.flatnonzero(ids == mark), len(ids))
-        sizes = np.diff(ends, prepend=-1) - 1
+        ids = np.concatenate([np.array(x, np.int32) for e in found for x in (e.ids, [mark] if mark is not None else [])])
+        return ids if mark is None else ids[:-1]
+
+    def _remember(self, words: list[str], pieces: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.code)
         while n + len(words) > len(self.start):
             self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
-        pieces = ids[ids != mark]
         while self.used + len(pieces) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.flat[self.used : self.used + len(pieces)] = pieces
@@ -87,29 +106,35 @@ class PieceTable:
         if len(self.code) > self.bound:
             self.clear()
         # words as the dictionary has them: without the space in front, the first one with a space behind
-        words: list[list[str] | None] = []
-        for text in texts:
-            if not text:
-                words.append([])
-            elif not self.separable or _INNER_SPACE.search(text) or any(a in text for a in self.added):
-                words.append(None)
-            else:
-                parts = text.split(" ")
-                if parts[0]:
-                    parts[0] += " "
-                else:
-                    del parts[0]
-                words.append(parts)
-        new = set().union(*(w for w in words if w)).difference(self.code)
-        if long := {w for w in new if len(w) > _LONG}:
-            words = [w if w is None or long.isdisjoint(w) else None for w in words]
-            new = set().union(*(w for w in words if w)).difference(self.code)
-        if new:
+        plain, heads, tails = [], [], []
+        for k, text in enumerate(texts):
+            if not text or (self.separable and not (_INNER_SPACE.search(text) or any(a in text for a in self.added))):
+                head, space, tail = text.partition(" ")
+                plain.append(k)
+                heads.append(head + " " if head else None)
+                tails.append(tail if space else None)
+        # words that occur many times in these texts are looked up once
+        listed = pc.split_pattern(pa.array(tails, pa.large_string()), " ")
+        in_tail = pc.fill_null(pc.list_value_length(listed), 0).to_numpy().astype(np.int64)
+        coded = pc.list_flatten(listed).dictionary_encode()
+        rest, words = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        code_of = self._codes_of([*words, *(h for h in heads if h is not None)])
+        flat, firsts = code_of[: len(words)][rest], iter(code_of[len(words) :].tolist())
+        found: list[np.ndarray | None] = [None] * len(texts)
+        for k, head, end, n in zip(plain, heads, np.cumsum(in_tail).tolist(), in_tail.tolist()):
+            codes = flat[end - n : end]
+            codes = codes if head is None else np.append(next(firsts), codes)
+            if not (codes < 0).any():
+                found[k] = codes
+        return [self.whole(t) if c is None else c for t, c in zip(texts, found)]
+
+    def _codes_of(self, words: list[str]) -> np.ndarray:
+        """Codes of words, new ones learned; -1 of words that are too long to be remembered."""
+        codes = [*map(self.code.get, words)]
+        if new := {w for w, code in zip(words, codes) if code is None and len(w) <= _LONG}:
             self._learn(list(new))
-        get = self.code.__getitem__
-        return [
-            self.whole(t) if w is None else np.fromiter(map(get, w), np.int64, len(w)) for t, w in zip(texts, words)
-        ]
+            codes = map(self.code.get, words)
+        return np.array([-1 if code is None else code for code in codes], np.int64)
 
     def counts(self, texts: list[str]) -> list[int]:
         """Pieces per text, without their ids."""

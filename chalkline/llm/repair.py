@@ -99,6 +99,21 @@ def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return symbols
 
 
+def expand_all(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """As :func:`expand`, for many symbols: every rule is expanded once and copied from there, unless rules are longer
+    than the ids."""
+    inner = symbols >= base
+    width = np.ones(len(symbols), np.int64)
+    width[inner] = lengths[symbols[inner] - base]
+    if lengths.sum() > width.sum():
+        return expand(symbols, rules, base)
+    # one place for every id that is a symbol itself, then the rules
+    table = np.concatenate([np.arange(base), expand(np.arange(base, base + len(rules)), rules, base)])
+    start = symbols.copy()
+    start[inner] = (base + np.cumsum(lengths) - lengths)[symbols[inner] - base]
+    return table[np.repeat(start - np.cumsum(width) + width, width) + np.arange(width.sum())]
+
+
 def pack(documents: list[np.ndarray], base: int) -> bytes:
     """The bytes of a shard."""
     symbols, rules, lengths = compress(np.concatenate(documents), base)
@@ -141,6 +156,10 @@ class Shard:
         before = int(self.ends[first - 1]) if first else 0
         return expand(self.symbols[first : last + 1], self.rules, self.base)[start - before : stop - before]
 
+    def all_ids(self) -> np.ndarray:
+        """Ids of the whole shard."""
+        return expand_all(self.symbols, self.rules, self.lengths, self.base)
+
     def document(self, k: int) -> np.ndarray:
         """Ids of the k-th document, the end id with it."""
         return self.ids(int(self.doc_ends[k] - self.sizes[k]), int(self.doc_ends[k]))
@@ -211,7 +230,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 shard = Shard(r["shard"])
                 n = len(shard.sizes)
                 # all of them, so the shard is expanded at once
-                ids = shard.ids(0, int(shard.doc_ends[-1])).astype("<u4")
+                ids = shard.all_ids().astype("<u4")
                 crcs = [zlib.crc32(d) for d in np.split(ids, shard.doc_ends[:-1])]
                 columns = [r["doc_ids"], [r["part"]] * n, [r["seq"]] * n, range(n), shard.doc_ends - shard.sizes, shard.sizes, crcs]
                 names = ["doc_id", "part", "seq", "doc_no", "before", "n_tokens", "ids_crc32"]

@@ -103,3 +103,24 @@ def test_shards_of_an_empty_table(spark, docs, tmp_path):
     path = f"file://{tmp_path}/shards"
     repair.write_shards(docs.limit(0), path)
     assert repair.read_documents(spark, path).count() == 0
+
+
+def test_words_are_encoded_without_marks_between_and_looked_up_once(monkeypatch):
+    """New words go to the tokenizer with their spaces only, a word of several texts is looked up once, ids are those of whole texts."""
+    pieces = PieceTable("byte_bpe_50k.json")
+    sent, looked = [], []
+    learned, codes_of = pieces._joined, pieces._codes_of
+    monkeypatch.setattr(pieces, "_joined", lambda between, words, *mark: (sent.append((between, words)), learned(between, words, *mark))[1])
+    monkeypatch.setattr(pieces, "_codes_of", lambda words: (looked.extend(words), codes_of(words))[1])
+    texts = ["one two two's 100%", "one two\nthree Ġa Ġ", " two  x", "", " ", "end\n", "\n in", "y" * 300 + " two"]
+    assert [x.tolist() for x in pieces.ids(texts)] == [pieces.whole(t) for t in texts]
+    assert looked.count("two") == 1
+    assert {w for between, words in sent if between == " " for w in words} >= {"two", "two's", "100%", "two\nthree", "Ġa", "Ġ"}
+
+
+def test_a_shard_is_expanded_rule_by_rule():
+    rng = np.random.default_rng(2)
+    for ids in (rng.integers(0, 9, 5000), np.zeros(4000, np.int64), np.arange(50), np.zeros(0, np.int64)):
+        symbols, rules, lengths = repair.compress(ids, 50)
+        assert np.array_equal(repair.expand_all(symbols, rules, lengths, 50), ids)
+        assert np.array_equal(repair.Shard(repair.pack([ids], 50)).all_ids(), ids)

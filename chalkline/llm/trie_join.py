@@ -10,7 +10,9 @@ overlap and what remains of both sides, by the shortest and longest sets below,
 compared by parity sketches (bits that an odd number of n-grams set: no more of them differ than n-grams), and then verified on the whole sets.
 
 Classes, not pairs, are wanted: neighbours in a tree (or in seed groups that the caller knows) are verified first,
-and only sets that these links do not connect are then searched. Sets are compared by 63-bit n-gram hashes. The order
+and only sets that these links do not connect are then searched. A search goes in rounds: a set names its closest partners of a tree,
+links found among them join classes, and sets that had more partners are searched again between classes, with more partners each.
+So a large group of similar sets costs a few pairs a set, not all its pairs, and none is left out. Sets are compared by 63-bit n-gram hashes. The order
 decides how much work is done, never the result.
 """
 
@@ -44,6 +46,8 @@ COMPARED = 1 << 20
 TREE_ROWS = 16_384
 #: Pairs of a set and a node that are looked at together.
 FRONTIER = 30_000
+#: Partners that a set names in a tree in the first round, and how many times as many in the next.
+PARTNERS, MORE = 2, 8
 _END = np.int64(2**63 - 1)
 _LATE = np.int64(-(2**63))
 
@@ -160,7 +164,7 @@ def tree_pairs(
     tree: np.ndarray, paths: np.ndarray, n: np.ndarray, rest: np.ndarray, root: np.ndarray, percent: int,
     frontier: int = FRONTIER,
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, j) row numbers, i < j, of sets that may be similar, in trees that are sorted by path.
+    """(i, j) row numbers, i < j, of sets that may be similar, in trees that are sorted by path; all partners j of an i come at once.
 
     ``tree`` numbers the trees (ascending), ``paths`` has a row of ascending tokens per set, filled up with _END, ``n`` is the size of a
     set and ``rest`` how many of its n-grams follow the one the tree belongs to. Pairs of one ``root`` are left out.
@@ -192,7 +196,7 @@ def tree_pairs(
         end = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + frontier, "right")))
         probe, node = np.arange(at, end), own[at:end]
         overlap, used = np.ones(len(probe), np.int64), np.zeros(len(probe), np.int64)
-        at = end
+        at, found = end, []
         for d in range(depth + 1):
             level = levels[d]
             read = d - (level["token"][node] == _END) if d else 0  # an end is no n-gram
@@ -206,7 +210,7 @@ def tree_pairs(
             if d == depth:
                 ended = np.ones(len(node), bool)
             if ended.any():
-                yield _leaves(probe[ended], overlap[ended], used[ended], level, node[ended], n, rest, root, percent, d)
+                found.append(_leaves(probe[ended], overlap[ended], used[ended], level, node[ended], n, rest, root, percent))
                 probe, node, overlap, used = probe[~ended], node[~ended], overlap[~ended], used[~ended]
             if not len(probe) or d == depth:
                 break
@@ -218,9 +222,11 @@ def tree_pairs(
             ahead = np.where(token == _END, used, ahead)
             met = (ahead < length[probe]) & (paths[probe, np.minimum(ahead, depth - 1)] == token)
             overlap, used = overlap + met, ahead + met
+        if found:
+            yield tuple(np.concatenate(e) for e in zip(*found))
 
 
-def _leaves(probe, overlap, used, level, node, n, rest, root, percent, depth) -> tuple[np.ndarray, np.ndarray]:
+def _leaves(probe, overlap, used, level, node, n, rest, root, percent) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of sets and the rows of leaves that no bound rules out."""
     lo = np.maximum(level["lo"][node], probe + 1)
     many = np.maximum(level["hi"][node] - lo, 0)
@@ -232,12 +238,22 @@ def _leaves(probe, overlap, used, level, node, n, rest, root, percent, depth) ->
     return i[may], j[may]
 
 
-def _traversed(rows: DataFrame, percent: int) -> DataFrame:
+def closest(i: np.ndarray, differ: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the ``most`` of their ``i`` that differ least."""
+    order = np.lexsort((differ, i))
+    ordered = i[order]
+    kept = np.zeros(len(i), bool)
+    kept[order] = np.arange(len(i)) - np.searchsorted(ordered, ordered) < most
+    return kept
+
+
+def _traversed(rows: DataFrame, percent: int, most: int) -> DataFrame:
     """Distinct pairs (a, b), a < b, of rows (token, block, path, sketch, set_id, root, n, rest) whose sketches
-    allow the similarity."""
+    allow the similarity: at most ``most`` of a set in a tree, the closest by sketches. Ends of the others come as (a, token, block)."""
     place = ["token", "block"]
     ordered = rows.repartition(*place).sortWithinPartitions(*place, "path", "set_id")
     columns = ordered.select(*place, "set_id", "root", "n", "rest", "sketch", "path")
+    names = ["a", "b", *place]
 
     def pairs(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows).combine_chunks()
@@ -252,12 +268,22 @@ def _traversed(rows: DataFrame, percent: int) -> DataFrame:
         )
         fresh = np.ones(len(ids), bool)
         fresh[1:] = (token[1:] != token[:-1]) | (block[1:] != block[:-1])
+        over = np.zeros(len(ids), bool)
         for i, j in tree_pairs(np.cumsum(fresh), paths, n, rest, root, percent):
-            may = (100 + percent) * differing(words, length, i, j) <= (100 - percent) * (n[i] + n[j])
+            differ = differing(words, length, i, j)
+            may = (100 + percent) * differ <= (100 - percent) * (n[i] + n[j])
             i, j = i[may], j[may]
+            kept = closest(i, differ[may], most)
+            over[i[~kept]] = over[j[~kept]] = True
+            i, j = i[kept], j[kept]
             if len(i):
-                ends = np.unique(np.sort(np.stack([ids[i], ids[j]]), axis=0), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(e) for e in ends], ["a", "b"])
+                a, b = np.unique(np.sort(np.stack([ids[i], ids[j]]), axis=0), axis=1)
+                none = pa.nulls(len(a), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none, none], names)
+        if over.any():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[over]), pa.nulls(int(over.sum()), pa.int64()), pa.array(token[over]), pa.array(block[over])], names
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -277,7 +303,7 @@ def _traversed(rows: DataFrame, percent: int) -> DataFrame:
             yield from pairs(held)
         free_unused()
 
-    return columns.mapInArrow(run, "a long, b long").distinct()
+    return columns.mapInArrow(run, "a long, b long, token long, block long").distinct()
 
 
 # --- the join ---------------------------------------------------------------------------
@@ -333,6 +359,12 @@ def _suspects(pairs: DataFrame, sets: DataFrame, rows: DataFrame, size: int) ->
     return written(found.dropDuplicates(["set_id"]), "suspect-sets")
 
 
+def _apart(rows: DataFrame, place: list[str]) -> DataFrame:
+    """The rows (set_id, root, ...) of trees that hold sets of two roots or more."""
+    trees = rows.groupBy(*place).agg(F.min("root").alias("_r0"), F.max("root").alias("_r1")).where("_r0 < _r1")
+    return rows.join(trees.select(*place), place, "left_semi")
+
+
 def classes(
     rows: DataFrame, size: int = SIZE, percent: int = PERCENT, seeds: DataFrame | None = None, tree_rows: int = TREE_ROWS,
     depth: int = DEPTH,
@@ -373,19 +405,32 @@ def _classes(rows: DataFrame, size: int, percent: int, seeds: DataFrame | None,
     roots = connected(links)
     rooted = met.drop("neighbour", "neighbour_n").join(roots, F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id"))
     rooted = written(rooted.drop("node"), "rooted-tokens")
-    apart = rooted.groupBy("token").agg(F.min("root").alias("_r0"), F.max("root").alias("_r1")).where("_r0 < _r1")
     own = F.pmod(F.xxhash64("set_id"), F.col("_blocks"))
     grid = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1), lambda o: F.least(own, o) * F.lit(1 << 20) + F.greatest(own, o)
     )
     many = F.when(F.col("held") > tree_rows, F.ceil(2 * F.col("held") / tree_rows)).otherwise(1).cast("long")
     paths = sets.select("set_id", "sketch", "prefix")
-    dealt = rooted.join(apart.select("token"), "token", "left_semi").join(paths, "set_id").withColumn("_blocks", many).select(
-        "token", F.explode(grid).alias("block"), "set_id", "root", "n", (F.col("n") - F.col("place") - 1).alias("rest"),
-        "sketch", F.slice("prefix", F.col("place") + 2, F.lit(depth)).alias("path"),
-    )
-    second = written(_traversed(dealt, percent).join(first, ["a", "b"], "left_anti"), "pairs")
-    links = written(links.unionByName(_similar(second, _suspects(second, sets, rows, size), percent)), "links")
+    searched = _apart(rooted, ["token"]).withColumn("_blocks", many).withColumn("block", F.explode(grid))
+    known, most = first, PARTNERS
+    while True:
+        dealt = searched.join(paths, "set_id").select(
+            "token", "block", "set_id", "root", "n", (F.col("n") - F.col("place") - 1).alias("rest"),
+            "sketch", F.slice("prefix", F.col("place") + 2, F.lit(depth)).alias("path"),
+        )
+        found = written(_traversed(dealt, percent, most), "pairs")
+        second = written(found.where("b IS NOT NULL").select("a", "b").join(known, ["a", "b"], "left_anti"), "new-pairs")
+        links = written(links.unionByName(_similar(second, _suspects(second, sets, rows, size), percent)), "links")
+        over = found.where("b IS NULL").select(F.col("a").alias("set_id"), "token", "block")
+        if over.isEmpty():
+            break
+        # sets with more partners, in trees that still hold two classes
+        again = rooted.drop("root").join(over, ["token", "set_id"])
+        again = again.join(connected(links), F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id"))
+        searched = written(_apart(again.drop("node"), ["token", "block"]), "searched-tokens")
+        if searched.isEmpty():
+            break
+        known, most = known.unionByName(second), most * MORE
 
     nodes = connected(links)
     named = sets.select("set_id", "least").join(nodes, F.col("set_id") == F.col("node"), "left")

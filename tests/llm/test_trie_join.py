@@ -191,3 +191,34 @@ def test_common_grams_are_counted_over_all_texts(spark, monkeypatch):
     rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string").repartition(8)
     wanted = S.shingle_sets([f"common gram {g}".encode() for g in range(10)], 3)[0]
     assert T._common(rows, 3, 90).tolist() == sorted(wanted.tolist())
+
+
+def test_a_large_group_costs_few_pairs(spark, monkeypatch):
+    """Near copies of one text, few of them neighbours: pairs that are compared do not grow with the square of their number."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+    texts = []
+    for i in range(600):
+        edited = list(base)
+        for at in rng.sample(range(200), 1 + (i % 10 > 0)):
+            edited[at] = f"e{i}x{at}"
+        texts.append(" ".join(edited))
+    compared, similar = [], T._similar
+    monkeypatch.setattr(T, "_similar", lambda pairs, *rest: (compared.append(pairs.count()), similar(pairs, *rest))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [(r.n_shingles, r.component_id) for r in T.with_components(docs).orderBy("doc_id").collect()] == plain_classes(texts)
+    assert sum(compared) < 20 * len(texts)
+
+
+@pytest.mark.parametrize("more", [2, 10**6])
+def test_every_partner_is_searched_in_the_end(spark, texts, monkeypatch, more):
+    monkeypatch.setattr(T, "PARTNERS", 1)
+    monkeypatch.setattr(T, "MORE", more)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [(r.n_shingles, r.component_id) for r in T.with_components(docs, 5, 80).orderBy("doc_id").collect()] == plain_classes(texts, 5, 80)
+
+
+def test_closest_pairs_of_each_row():
+    i, differ = np.array([4, 2, 4, 2, 4, 7]), np.array([3, 1, 1, 0, 2, 9])
+    assert T.closest(i, differ, 2).tolist() == [False, True, True, True, True, True]
+    assert T.closest(i[:0], differ[:0], 2).tolist() == []

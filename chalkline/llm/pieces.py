@@ -8,6 +8,7 @@ on both sides (it may join the run before it), and text that holds an added toke
 
 from __future__ import annotations
 
+import os
 import re
 from functools import cache
 from pathlib import Path
@@ -20,8 +21,8 @@ import pyarrow.compute as pc
 _INNER_SPACE = re.compile(r"\s (?:\s|\Z)")
 #: Longer words are encoded, but not remembered.
 _LONG = 200
-#: Words that are encoded as one text.
-_JOINED = 2000
+#: Words that are encoded as one text: few enough for what the library holds of a text to stay in the processor's cache.
+_JOINED = 200
 
 
 def resolve(name: str) -> str:
@@ -40,6 +41,8 @@ class PieceTable:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
+        # a task has one core: threads of the library's own take those of other tasks, and wait for one another
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(resolve(name))
         self.bound = bound
         added = self.tokenizer.get_added_tokens_decoder()
@@ -131,10 +134,12 @@ class PieceTable:
     def _codes_of(self, words: list[str]) -> np.ndarray:
         """Codes of words, new ones learned; -1 of words that are too long to be remembered."""
         codes = [*map(self.code.get, words)]
-        if new := {w for w, code in zip(words, codes) if code is None and len(w) <= _LONG}:
+        missing = [at for at, code in enumerate(codes) if code is None]
+        if new := {words[at] for at in missing if len(words[at]) <= _LONG}:
             self._learn(list(new))
-            codes = map(self.code.get, words)
-        return np.array([-1 if code is None else code for code in codes], np.int64)
+        for at in missing:
+            codes[at] = self.code.get(words[at], -1)
+        return np.array(codes, np.int64)
 
     def counts(self, texts: list[str]) -> list[int]:
         """Pieces per text, without their ids."""

@@ -124,3 +124,26 @@ def test_a_shard_is_expanded_rule_by_rule():
         symbols, rules, lengths = repair.compress(ids, 50)
         assert np.array_equal(repair.expand_all(symbols, rules, lengths, 50), ids)
         assert np.array_equal(repair.Shard(repair.pack([ids], 50)).all_ids(), ids)
+
+
+def test_words_are_looked_up_once_and_encoded_without_threads(monkeypatch):
+    """A batch asks the dictionary once for each word it knows, and a task leaves the library's threads alone."""
+    import os
+
+    class Asked(dict):
+        asked = 0
+
+        def get(self, *a):
+            Asked.asked += 1
+            return super().get(*a)
+
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    table = PieceTable("byte_bpe_50k.json")
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    known, new = [f"w{i}x" for i in range(900)], ["other", "y" * 300]
+    table._codes_of(known)
+    table.code = Asked(table.code)
+    codes = table._codes_of([*known, *new, "other"])
+    assert Asked.asked <= len(known) + 2 * 3
+    assert codes[:900].tolist() == [table.code[w] for w in known]
+    assert codes[900] == codes[902] == table.code["other"] and codes[901] == -1

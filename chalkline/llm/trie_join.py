@@ -38,8 +38,9 @@ COMMON, SAMPLE_DOCS, GROWTH, MOST_COMMON, COUNTED = 4, 20_000, 8, 1_000_000, 5
 OFTEN = 3
 #: Tokens of a path that travel with it; what lies deeper is left to verification.
 DEPTH = 32
-#: 64-bit words of a sketch at least, and how many n-grams a bit of a longer one stands for at most.
-LEAST_WORDS, BIT_GRAMS = 4, 2
+#: 64-bit words of a sketch at least, how many n-grams a bit of a longer one stands for at most, and the share of a sketch's bits that
+#: similar sets may differ in at most: sets that share nothing differ in nearly half of them.
+LEAST_WORDS, BIT_GRAMS, FAR = 4, 2, 0.25
 #: Words of sketches that are compared at a time.
 COMPARED = 1 << 20
 #: Trees of more sets are worked on in blocks of this size, two at a time.
@@ -96,12 +97,22 @@ def _common(rows: DataFrame, size: int, percent: int) -> np.ndarray:
     return np.sort(most.column(0).to_numpy())
 
 
-def sketches(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def bit_grams(percent: int) -> float:
+    """N-grams that a bit of a sketch stands for at most, a power of two: the less similar sets need be, the more bits tell them
+    from others."""
+    grams = BIT_GRAMS
+    while 2 * grams * (100 - percent) > FAR * (100 + percent):
+        grams /= 2
+    return grams
+
+
+def sketches(hashes: np.ndarray, n: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Parity sketches of sets and their lengths in 64-bit words, a power of two that grows with the set: a sketch of
     fixed length fills up, and two long sets then look alike.
 
     A sketch is that of half its length once its halves are joined by exclusive or."""
-    words = np.maximum(n, LEAST_WORDS * 64 * BIT_GRAMS) / (64 * BIT_GRAMS)
+    grams = bit_grams(percent)
+    words = np.maximum(n / (64 * grams), LEAST_WORDS)
     length = 2 ** np.ceil(np.log2(words)).astype(np.int64)
     bits = 64 * length
     at = np.repeat(np.cumsum(bits) - bits, n) + (hashes & np.repeat(bits - 1, n))
@@ -149,7 +160,7 @@ def _prefixes(rows: DataFrame, size: int, percent: int, common: np.ndarray) -> D
                 tokens = tokens[np.lexsort((tokens, np.repeat(np.arange(len(n)), n)))]
                 within = np.arange(len(tokens)) - np.repeat(ends - n, n) < np.repeat(length, n)
                 columns = [
-                    part.column(0), pa.array(set_ids(hashes, n)), pa.array(n), _lists(*sketches(hashes, n)),
+                    part.column(0), pa.array(set_ids(hashes, n)), pa.array(n), _lists(*sketches(hashes, n, percent)),
                     _lists(tokens[within], length),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "set_id", "n", "sketch", "prefix"])
@@ -421,18 +432,18 @@ def _classes(rows: DataFrame, size: int, percent: int, seeds: DataFrame | None,
         found = written(_traversed(dealt, percent, most), "pairs")
         second = written(found.where("b IS NOT NULL").select("a", "b").join(known, ["a", "b"], "left_anti"), "new-pairs")
         links = written(links.unionByName(_similar(second, _suspects(second, sets, rows, size), percent)), "links")
+        nodes = connected(links)
         over = found.where("b IS NULL").select(F.col("a").alias("set_id"), "token", "block")
         if over.isEmpty():
             break
         # sets with more partners, in trees that still hold two classes
         again = rooted.drop("root").join(over, ["token", "set_id"])
-        again = again.join(connected(links), F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id"))
+        again = again.join(nodes, F.col("set_id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set_id"))
         searched = written(_apart(again.drop("node"), ["token", "block"]), "searched-tokens")
         if searched.isEmpty():
             break
         known, most = known.unionByName(second), most * MORE
 
-    nodes = connected(links)
     named = sets.select("set_id", "least").join(nodes, F.col("set_id") == F.col("node"), "left")
     named = named.select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -117,3 +117,15 @@ def test_connected(spark):
 def test_hex(spark):
     row = spark.createDataFrame([(-1,), (255,)], "fp long").select(S.hex_fingerprint(F.col("fp")).alias("h")).collect()
     assert [r.h for r in row] == ["f" * 16, "0" * 14 + "ff"]
+
+
+def test_few_links_are_joined_without_shuffles(spark, monkeypatch):
+    from chalkline.llm import components
+
+    rng = np.random.default_rng(5)
+    links = spark.createDataFrame(rng.integers(0, 300, (250, 2)).tolist(), "a long, b long")
+    step = components._stars(components._stars(links, larger=False, few=True), larger=True, few=True)
+    assert "Exchange hashpartitioning" not in step._jdf.queryExecution().executedPlan().toString()
+    found = sorted(map(tuple, connected(links).collect()))
+    monkeypatch.setattr(components, "FEW_LINKS", 0)
+    assert found == sorted(map(tuple, connected(links).collect()))

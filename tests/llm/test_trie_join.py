@@ -222,3 +222,15 @@ def test_closest_pairs_of_each_row():
     i, differ = np.array([4, 2, 4, 2, 4, 7]), np.array([3, 1, 1, 0, 2, 9])
     assert T.closest(i, differ, 2).tolist() == [False, True, True, True, True, True]
     assert T.closest(i[:0], differ[:0], 2).tolist() == []
+
+
+@pytest.mark.parametrize("percent", [70, 80, 90])
+def test_sketches_tell_unrelated_sets_of_any_size_apart(percent):
+    """Sets that fill their sketches best share nothing, and no pair of them may pass for similar."""
+    rng = np.random.default_rng(3)
+    n = np.repeat([250, 500, 512, 1000, 1024, 2040], 30)
+    words, length = T.sketches(rng.integers(0, 2**63, n.sum()), n, percent)
+    i, j = np.triu_indices(len(n), 1)
+    i, j = i[n[i] == n[j]], j[n[i] == n[j]]
+    differ = T.differing(words, length, i, j)
+    assert not ((100 + percent) * differ <= (100 - percent) * (n[i] + n[j])).any()

@@ -188,6 +188,20 @@ def test_stages_with_null_ids_repeats_and_long_texts(spark):
     assert sum(r.size for r in packed) == sum(len((r[1] or "").encode()) for r in rows)
 
 
+def test_one_row_of_every_near_duplicate_class(spark):
+    """Rows without an id are compared like all others, rows that share an id each for itself, and of repeated rows one stays."""
+    text = lambda name, *more: " ".join([*(f"{name}{i}" for i in range(60)), *more])
+    rows = [
+        (None, text("a")), (None, text("a", "end")), (4, text("a")), (None, text("b")), (None, text("b")), (None, None), (3, ""), (11, "..."),
+        (7, text("c")), (7, text("d")), (8, text("e")), (9, text("e", "end")), (9, text("f")), (9, text("f")), (10, text("f", "end")),
+        (12, text("g")), (12, text("g")), (12, text("g")), (13, text("h")), (13, text("h", "end")), (14, text("i")), (15, text("i", "end")),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, (r.text or "-")[:1]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()), key=repr)
+    want = [(None, "a"), (None, "b"), (None, "-"), (7, "c"), (7, "d"), (8, "e"), (9, "f"), (12, "g"), (13, "h"), (14, "i")]
+    assert got == sorted(want, key=repr)
+
+
 def test_contained_items_of_nothing(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     assert decontaminate.contained_items(empty, spark.read.parquet(f"{SF}/benchmark.parquet")).count() == 0

@@ -69,6 +69,38 @@ def test_few_results_and_no_collection(spark):
     assert got == {1: "[Lecture d, s]\ntext", 2: ""}
 
 
+@pytest.mark.parametrize("queries, size", [(3, 32 << 20), (10**6, 300), (10**6, 32 << 20)])
+def test_contexts_reach_their_rows_by_blocks(spark, monkeypatch, queries, size):
+    """Rows with contexts next to a join with contexts; a passage goes to a block once, and not to every query that found it."""
+    monkeypatch.setattr(retrieval, "PASSAGE_BLOCK_QUERIES", queries)
+    monkeypatch.setattr(retrieval, "PASSAGE_BLOCK_BYTES", size)
+    moved, with_contexts = [], retrieval._with_contexts
+    monkeypatch.setattr(retrieval, "_with_contexts", lambda r, p, own: (moved.append(p.count()), with_contexts(r, p, own))[1])
+    rng = np.random.default_rng(3)
+    index = [(f"c{i % 3}", f"id{i}", rng.normal(size=4).tolist(), f"day {i}", "s", f"passage {i} " * 5) for i in range(12)]
+    index += [(*index[0][:5], "again under one id"), (None, "id", [0.0] * 4, "d", "s", "x"), ("c1", "id13", [9.0] * 4, None, "s", None)]
+    asked = [(q, f"c{q % 4}", rng.normal(size=4).tolist()) for q in range(60)] + [(7, "c0", [1.0] * 4), (None, "c1", [1.0] * 4)]
+    index_df = spark.createDataFrame(index, "collection string, id string, embedding array<double>, lecture_date string, source string, document string")
+    asked_df = spark.createDataFrame(asked, "query_id bigint, collection string, embedding array<double>")
+    texts = {}
+    for c, i, _, day, source, document in index:
+        texts.setdefault((c, i), []).append(f"[Lecture {day or 'null'}, {source}]\n{document or 'null'}")
+    found = {}
+    for r in retrieval.vector_topk(asked_df, index_df, 3).orderBy("rank").collect():
+        found.setdefault(r.query_id, []).extend(sorted(texts[r.collection, r.id]))
+    context = {q: V.BLOCK_SEPARATOR.join(found.get(q, []) if q is not None else []) for q, _, _ in asked}
+    got = retrieval.context_text(asked_df, index_df, 3).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(((q, context[q]) for q, _, _ in asked), key=repr)
+    rows = [(q, n, [q]) for n, q in enumerate([*range(0, 70, 2), 7, 7, None, 10])]
+    rows_df = spark.createDataFrame(rows, "query_id bigint, n int, more array<int>")
+    twice = [(*r, context.get(r[0]) if r[0] is not None else None) for r in rows for _ in range(2 if r[0] == 7 else 1)]
+    got = retrieval.context_text(asked_df, index_df, 3, rows=rows_df)
+    assert got.columns == ["query_id", "n", "more", "context"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(twice, key=repr)
+    if queries > 60 and size > 300:
+        assert max(moved) <= len(texts)
+
+
 def lecture(spark, *rows):
     return spark.createDataFrame([(i, c, d, "transcript", t) for i, (c, d, t) in enumerate(rows)], LECTURE)
 
